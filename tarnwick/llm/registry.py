@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash, topk
+from . import decontaminate, lmscore, packing, simhash, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,22 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_paths(), keep_ids=False)
 
 
+def op4_decontamination(spark, sf_dir):
+    """Every document and benchmark item that it holds a copy of."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op5_lm_scoring(spark, sf_dir):
+    """Bigram and unigram scores of every document."""
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    """Expected severity of every document, and whether it is rejected."""
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "severity", "rejected")
+
+
 def op10_simhash_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,7 +63,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op4_decontamination, op5_lm_scoring, op9_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql():
