@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_blocks, row_keys, table
+from .common import by_blocks, table
+from .wordscan import Scanner, split_letters
 
 #: Least similarity of a leak: matched words over alignment columns, words of the item left out counted as columns.
 SIMILARITY = 0.8
@@ -21,11 +22,16 @@ ITEM_BLOCK = 5_000
 SEED_WORDS, LONG = 3, 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words (letters, digits, underscores), without punctuation."""
+def scanner() -> Scanner:
+    """Words as words_of has them."""
+    return Scanner(split_letters(), lower=True, seed=4)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of letters, digits, underscores and non-ASCII characters, A-Z lower-cased; no ASCII punctuation."""
     return WORD.findall(text.lower())
 
 
@@ -76,9 +82,15 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float):
         self.similarity = similarity
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.ids = [r[0] for r in rows]
-        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(r[1])] for r in rows]
+        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(r[1].encode())] for r in rows]
+        line = np.frombuffer(b" ".join(self.vocabulary), np.uint8)
+        self.hashes, _ = scanner().words(line, np.array([0, len(line)]))
+        self.numbers = np.argsort(self.hashes)
+        self.hashes = self.hashes[self.numbers]
+        self.maybe = np.zeros(65536, bool)
+        self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
         self.grams: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         for i, words in enumerate(self.words):
             if n := seed_length(len(words)):
@@ -130,41 +142,18 @@ def codes(ids: np.ndarray, n: int, size: int) -> np.ndarray:
     return out
 
 
-class Numbers(dict):
-    """Lower-cased, space-separated pieces to the numbers of their words; unknown words are -1."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[piece] = tuple(self.vocabulary.get(w, -1) for w in WORD.findall(piece))
-        return value
-
-
-def numbered(texts: list[bytes], memo: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts with a -1 after each, and the start of each text."""
-    out: list[int] = []
-    starts = []
-    for x in texts:
-        starts.append(len(out))
-        for t in map(memo.__getitem__, x.decode().lower().split(" ")):
-            out += t
-        out.append(-1)
-    return np.array(out, dtype=np.int64), np.array(starts, dtype=np.int64)
-
-
-def parts(texts: list[bytes], size: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    first = 0
-    while first < len(texts):
-        end, held = first, 0
-        while end < len(texts) and (held == 0 or held + len(texts[end]) <= size):
-            held += len(texts[end]) + 1
-            end += 1
-        yield first, texts[first:end]
-        first = end
+def numbered(items: Items, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of texts laid end to end with a -1 after each (unknown words are -1 too), and their starts."""
+    n = np.diff(starts)
+    found = np.full(len(h), -1, np.int64)
+    at = np.flatnonzero(items.maybe[(h >> np.uint64(48)).astype(np.int64)])
+    if len(at):
+        spot = np.minimum(np.searchsorted(items.hashes, h[at]), len(items.hashes) - 1)
+        same = items.hashes[spot] == h[at]
+        found[at[same]] = items.numbers[spot[same]]
+    ids = np.full(len(h) + len(n), -1, np.int64)
+    ids[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = found
+    return ids, starts[:-1] + np.arange(len(n))
 
 
 def gram_counter(shared):
@@ -172,17 +161,16 @@ def gram_counter(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
-        memo, size = Numbers(items.vocabulary), len(items.vocabulary)
+        size = len(items.vocabulary)
         known = {n: np.array(sorted(items.code(g) for g in grams), dtype=np.int64) for n, grams in items.grams.items()}
         counts = {n: np.zeros(len(k), np.int64) for n, k in known.items()}
-        for data in batches:
-            for _, texts in parts(as_bytes(data.column(0))):
-                ids, _ = numbered(texts, memo)
-                for n, k in known.items():
-                    c = codes(ids, n, size)
-                    c = c[c >= 0]
-                    at = np.minimum(np.searchsorted(k, c), len(k) - 1)
-                    counts[n] += np.bincount(at[k[at] == c], minlength=len(k))
+        for _, _, h, starts in scanner().scan(batches, 0):
+            ids, _ = numbered(items, h, starts)
+            for n, k in known.items():
+                c = codes(ids, n, size)
+                c = c[c >= 0]
+                at = np.minimum(np.searchsorted(k, c), len(k) - 1)
+                counts[n] += np.bincount(at[k[at] == c], minlength=len(k))
         for n, k in known.items():
             seen = counts[n] > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), n), pa.int32()), pa.array(k[seen]), pa.array(counts[n][seen])], names=["n", "code", "c"])
@@ -209,43 +197,40 @@ def aligner(shared):
         rows, least, counts = shared.value
         items = Items(rows, least)
         seeds = items.seeds(counts)
-        memo, size = Numbers(items.vocabulary), len(items.vocabulary)
+        size = len(items.vocabulary)
         known = {n: np.array(sorted(found), dtype=np.int64) for n, found in seeds.items()}
         grams = [{tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if (n := seed_length(len(w))) else set() for w in items.words]
-        seen = 0
-        for data in batches:
-            docs, raw = data.column(0).to_pylist(), as_bytes(data.column(1))
+        for rows, keys, h, starts in scanner().scan(batches):
+            ids, begin = numbered(items, h, starts)
+            ends = begin + np.diff(starts)
+            hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for n, k in known.items():
+                c = codes(ids, n, size)
+                where = np.flatnonzero(c >= 0)
+                at = np.minimum(np.searchsorted(k, c[where]), len(k) - 1)
+                where = where[k[at] == c[where]]
+                owner = np.searchsorted(begin, where, side="right") - 1
+                for place, doc, code in zip(where.tolist(), owner.tolist(), c[where].tolist(), strict=True):
+                    for item, p in seeds[n][code]:
+                        hits.setdefault((doc, item), []).append((place - int(begin[doc]), p))
             out: list[tuple] = []
-            for first, texts in parts(raw):
-                ids, starts = numbered(texts, memo)
-                ends = np.append(starts[1:], len(ids)) - 1
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for n, k in known.items():
-                    c = codes(ids, n, size)
-                    at = np.minimum(np.searchsorted(k, c), len(k) - 1)
-                    where = np.flatnonzero(k[at] == c)
-                    owner = np.searchsorted(starts, where, side="right") - 1
-                    for place, doc, code in zip(where.tolist(), owner.tolist(), c[where].tolist(), strict=True):
-                        for item, p in seeds[n][code]:
-                            hits.setdefault((doc, item), []).append((place - int(starts[doc]), p))
-                for (doc, item), found in hits.items():
-                    words = items.words[item]
-                    m, n = len(words), seed_length(len(words))
-                    errors = errors_allowed(m, least)
-                    whole = max(1, len(words) - n + 1 - n * errors)
-                    text = ids[starts[doc] : ends[doc]]
-                    best = None
-                    for a, b in windows(found, m, errors, len(text)):
-                        part = text[a:b].tolist()
-                        if len({tuple(part[i : i + n]) for i in range(len(part) - n + 1)} & grams[item]) < min(whole, len(grams[item])):
-                            continue
-                        got = align(words, part)
-                        if got[4] >= least - 1e-12 and (best is None or got[0] > best[0]):
-                            best = (got[0], a + got[1], a + got[2], got[3], got[4])
-                    if best:
-                        out.append((first + doc, items.ids[item], *best))
-            keys = row_keys(seen, len(docs))
-            seen += len(docs)
+            for (doc, item), found in hits.items():
+                words = items.words[item]
+                m, n = len(words), seed_length(len(words))
+                errors = errors_allowed(m, least)
+                whole = max(1, m - n + 1 - n * errors)
+                text = ids[begin[doc] : ends[doc]]
+                best = None
+                for a, b in windows(found, m, errors, len(text)):
+                    part = text[a:b].tolist()
+                    if len({tuple(part[i : i + n]) for i in range(len(part) - n + 1)} & grams[item]) < max(1, whole - (m - n + 1 - len(grams[item]))):
+                        continue
+                    got = align(words, part)
+                    if got[4] >= least - 1e-12 and (best is None or got[0] > best[0]):
+                        best = (got[0], a + got[1], a + got[2], got[3], got[4])
+                if best:
+                    out.append((doc, items.ids[item], *best))
+            docs = rows.column(0).to_pylist()
             out.sort()
             columns = [list(x) for x in zip(*out, strict=True)] if out else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays([
@@ -263,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARI
     """One row for each text and test item that it holds a copy of, edited copies included.
 
     An item is leaked if its best local alignment has a similarity of at least ``similarity``: matched words over
-    the columns of the alignment and the item's words outside it. Case and punctuation do not count. Items without
+    the columns of the alignment and the item's words outside it. The case of A-Z and ASCII punctuation do not count. Items without
     words match nothing; null texts hold nothing; repeated rows (told apart by ``row``) and repeated items each give
     their own rows; null ids stay null; other columns are ignored; empty tables give no rows.
 
