@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Leading tokens that lead to a leaf of the tree; together with the token count its fixed depth.
 DEPTH = 3
 #: A template recurs if it stands in so many different surroundings, each counted at its first document.
@@ -12,40 +14,43 @@ SUPPORT = 20
 #: Share of its surroundings among the documents that hold it: near copies of one text share theirs.
 SPREAD = 0.5
 
-#: What stands for a variable field, and what makes a token one (a digit, or an address).
+#: What stands for a variable field, what makes a token one (a digit, or an address), and white space.
 WILDCARD = "<*>"
-VARIABLE = r"\S*([0-9]|@|://)\S*"
+VARIABLE = r"[0-9@]|://"
 SPACE = r"[ \t\r\f\x0B]+"
+UNEVEN = r"[\t\r\f\x0B]|  "
+
+
+def bare(line: Column) -> Column:
+    """The line's tokens with single spaces between them."""
+    return F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
 def template(line: Column) -> Column:
     """The line's path in the tree and its leaf, as text: token count, leading tokens, and all tokens, wildcards in.
 
-    Null for a line without tokens. Each field with a digit or an address becomes a wildcard, whatever its length.
+    ``line`` is bare. Each token with a digit or an address becomes a wildcard, whatever its length.
     """
-    bare = F.trim(F.regexp_replace(line, SPACE, " "))
-    masked = F.regexp_replace(bare, VARIABLE, WILDCARD)
-    tokens = F.split(masked, " ")
-    path = F.array_join(F.slice(tokens, 1, DEPTH), " ")
-    return F.when(bare != "", F.concat_ws("|", F.size(tokens).cast("string"), path, masked))
+    fields = F.transform(F.split(line, " "), lambda x: F.when(x.rlike(VARIABLE), WILDCARD).otherwise(x))
+    masked = F.when(line.rlike(VARIABLE), F.array_join(fields, " ")).otherwise(line)
+    path = F.substring_index(masked, " ", DEPTH)
+    return F.concat_ws("|", (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("string"), path, masked)
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(key, line_no, template, around) for each line with tokens; around is made of the lines before and after."""
-    lines = F.split(F.col("text"), "\n")
-    hashed = F.transform(lines, lambda x: F.xxhash64(template(x)))
-    blank = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACE, " ")) == "")
-    spread = docs.select("key", "doc", hashed.alias("h"), blank.alias("blank"))
-    each = spread.select("key", "doc", "h", "blank", F.posexplode("h").alias("line_no", "template"))
-    before = F.when(F.col("line_no") > 0, F.get("h", F.col("line_no") - 1))
-    around = F.xxhash64(before, F.get("h", F.col("line_no") + 1))
-    return each.where(~F.get("blank", "line_no")).select("key", "doc", "line_no", "template", around.alias("around"))
+    """(key, doc, line_no, template, around) for each line with tokens; around is made of the lines before and after."""
+    spread = docs.withColumn("lines", F.split("text", "\n")).withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, F.size("h") - 1))
+    after = F.concat(F.slice("h", 2, F.size("h")), F.array(F.lit(0).cast("long")))
+    each = spread.select("key", "doc", F.posexplode(F.arrays_zip("lines", before.alias("before"), after.alias("after"))).alias("line_no", "x"))
+    each = each.select("key", "doc", "line_no", bare(F.col("x.lines")).alias("line"), F.xxhash64("x.before", "x.after").alias("around"))
+    return each.where(F.col("line") != "").select("key", "doc", "line_no", F.xxhash64(template(F.col("line"))).alias("template"), "around")
 
 
 def recurring(lines: DataFrame, support: int, spread: float) -> DataFrame:
     """Hashes of the templates that recur across documents.
 
-    Surroundings are the templates of the lines before and after. Copies of a text show a line in the same
+    Surroundings are the lines before and after. Copies of a text show a line in the same
     surroundings, so they count once, and so does what one document repeats: each surrounding is credited to its
     first document, and the support is the number of documents credited.
     """
@@ -70,7 +75,7 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     own = F.xxhash64(F.col("doc_id"), F.col("text"))
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    lines = numbered_lines(source)
+    lines = written(numbered_lines(source), "lines")
     bad = recurring(lines, support, spread)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
     drops = hits.groupBy("key").agg(F.collect_set("line_no").alias("__drop"))

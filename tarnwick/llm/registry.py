@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lmscore, packing, simhash, topk, toxicity
+from . import chats, decontaminate, lines, lmscore, packing, passages, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_paths(), keep_ids=False)
 
 
+def op3_chat_formatting(spark, sf_dir):
+    """All conversations as canonical JSON lines, answers linked to the turns that call for them."""
+    return chats.format_turns(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark, sf_dir):
     """Every document and benchmark item that it holds a copy of."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
@@ -34,6 +39,21 @@ def op5_lm_scoring(spark, sf_dir):
     return lmscore.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    """Every stretch of 50 words or more that another document holds too."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op8_line_dedup(spark, sf_dir):
+    """Every document without its recurring lines."""
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_toxicity(spark, sf_dir):
     """Expected severity of every document, and whether it is rejected."""
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,10 +81,65 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP3_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+c AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+         CAST(to_json({'prompt': text, 'turn': turn}) AS VARCHAR) AS arguments,
+         CASE WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: too short'
+              WHEN turn < 0 THEN 'turn: too small' ELSE 'ok' END AS status
+  FROM m WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY to_json({'prompt': text, 'turn': turn})) = 1),
+r AS (
+  SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS content
+  FROM m WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT conv_id, turn AS order_turn, 0 AS level, CAST(NULL AS VARCHAR) AS call_id, 'message' AS status,
+       CAST(to_json({'content': text, 'conv_id': conv_id, 'role': role, 'turn': turn}) AS VARCHAR) AS json
+FROM m WHERE NOT coalesce(role IN ('user', 'assistant') AND conv_id IS NOT NULL AND turn IS NOT NULL, FALSE)
+UNION ALL
+SELECT conv_id, turn, 1, call_id, CASE WHEN call_id IN (SELECT call_id FROM r) THEN '' ELSE 'open, ' END || status,
+       CAST(to_json({'arguments': arguments, 'conv_id': conv_id, 'id': call_id, 'name': 'reply', 'role': 'call', 'turn': turn}) AS VARCHAR)
+FROM c
+UNION ALL
+SELECT r.conv_id, greatest(r.turn, c.turn), 2, r.call_id, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END,
+       CAST(to_json({'content': r.content, 'conv_id': r.conv_id, 'id': r.call_id,
+                     'name': CASE WHEN c.call_id IS NULL THEN NULL ELSE 'reply' END, 'role': 'result', 'turn': r.turn}) AS VARCHAR)
+FROM r LEFT JOIN c USING (call_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+e AS (
+  SELECT row_id, doc_id, unnest(range(len(lines))) AS i, lines FROM d WHERE text IS NOT NULL),
+f AS (
+  SELECT row_id, coalesce(doc_id, -1) AS doc, i, CASE WHEN i > 0 THEN lines[i] END AS before, lines[i + 2] AS after,
+         trim(regexp_replace(lines[i + 1], '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS line
+  FROM e),
+g AS (
+  SELECT row_id, doc, i, before, after,
+         list_transform(string_split(line, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS template
+  FROM f WHERE line <> ''),
+s AS (SELECT template, min(doc) AS doc, count(*) AS n FROM g GROUP BY template, before, after),
+k AS (
+  SELECT template FROM s GROUP BY template
+  HAVING count(DISTINCT doc) >= 20 AND count(*) >= 0.5 * sum(n)),
+x AS (SELECT row_id, list(i) AS gone FROM g WHERE template IN (SELECT template FROM k) GROUP BY row_id)
+SELECT d.doc_id,
+       CASE WHEN gone IS NULL THEN d.text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda j: NOT list_contains(gone, j)), lambda j: lines[j + 1]), chr(10)), '') END AS text,
+       CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_dropped
+FROM d LEFT JOIN x USING (row_id)
+"""
+
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_best_fit_packing, op4_decontamination, op5_lm_scoring, op9_toxicity, op10_simhash_dedup)}
+    found = (
+        op1_exact_topk, op2_best_fit_packing, op3_chat_formatting, op4_decontamination, op5_lm_scoring,
+        op6_url_filter, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_simhash_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op8_line_dedup": OP8_SQL}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,20 +116,20 @@ def best_split(rows: list, ridge: float) -> tuple | None:
 
 
 def train(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, ridge: float = RIDGE, suffixes: int = SUFFIXES) -> dict:
-    """Trees from labelled urls (url, host, path, blocked), for logistic loss.
+    """Trees from labelled urls (url, host, path, blocked), for logistic loss with both classes at equal weight.
 
     All labelled rows count. They are first summed by their features, which the number of bins bounds; each level of
     a tree is one aggregation of gradients by node, feature and bin, and only those sums reach the driver.
     """
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    prior = (blocked + 0.5) / (n + 1.0)
     if not n or blocked in (0, n):
-        return {"start": math.log(prior / (1 - prior)) if n else -1.0, "trees": [], "statistics": {}, "prior": prior}
+        return {"start": 1.0 if n and blocked else -1.0, "trees": [], "statistics": {}, "prior": 0.5}
+    prior, even, odd = 0.5, n / (2.0 * (n - blocked)), n / (2.0 * blocked)
     top = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-    statistics = {r["suffix"]: ((r["b"] + 10 * prior) / (r["n"] + 10), int(r["n"])) for r in top}
+    statistics = {r["suffix"]: ((r["b"] * odd + 10 * prior) / (r["b"] * odd + (r["n"] - r["b"]) * even + 10), int(r["n"])) for r in top}
     names = [f"f_{x}" for x in FEATURES]
-    rows = written(features(labelled, statistics, prior).groupBy(*names).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")), "urls")
-    model = {"start": math.log(prior / (1 - prior)), "trees": [], "statistics": statistics, "prior": prior}
+    rows = written(features(labelled, statistics, prior).groupBy(*names).agg((F.count("*") * even - F.sum("blocked") * (even - odd)).alias("n"), (F.sum("blocked") * odd).alias("b")), "urls")
+    model = {"start": 0.0, "trees": [], "statistics": statistics, "prior": prior}
     for _ in range(trees):
         p = 1.0 / (1.0 + F.exp(-raw_score(model)))
         graded = rows.withColumn("g", F.col("b") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
@@ -167,8 +165,8 @@ def judge(pages: DataFrame, *, rules=RULES, **training) -> DataFrame:
     The verdict is that of the longest rule that fits the host, or a host above it, and the start of the path; where
     none fits (then rule is null), that of boosted trees over lexical features, trained on the urls that rules
     label. A null url, or one without ``://``, has an empty host and path. Repeated rows and null ids come out as
-    they come; other columns are ignored; an empty table gives no rows; without labelled urls of both kinds the
-    share of blocked ones decides.
+    they come; other columns are ignored; an empty table gives no rows; where rules label urls of one kind only, that
+    kind is the verdict of all, and allow where they label none.
     """
     url = F.col("url")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
