@@ -45,14 +45,6 @@ def row_keys(first: int, n: int) -> np.ndarray:
     return (np.int64(part) << ROW_BITS) + np.arange(first, first + n, dtype=np.int64)
 
 
-def longs(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def as_bytes(column: pa.Array) -> list:
     """Texts as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -60,7 +52,7 @@ def as_bytes(column: pa.Array) -> list:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of MurmurHash3)."""
-    x = x.astype(np.uint64, copy=True)
+    x = np.array(x, dtype=np.uint64, ndmin=1)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
@@ -69,14 +61,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def sorted_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of equal values in a sorted array, and their lengths."""
-    if not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return starts, np.diff(np.append(starts, len(values)))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,41 +4,39 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mixed, row_keys, written
+from .common import mixed, written
+from .wordscan import Scanner, split_white
 
-#: The token after each text; no word can hold a space.
-END = b" "
-#: Distinct tokens that travel to all workers with their exact counts; the counts of the others are joined.
-FREQUENT = 200_000
+#: Distinct tokens whose exact counts travel to all workers (16 bytes each); the counts of the others are joined.
+FREQUENT = 1_000_000
 #: Bits for each stored entry and probes for each membership test.
 BITS, PROBES = 8, 4
 #: Counts are kept as 1 + floor(STEPS * log2(count)).
 STEPS = 2
 #: n-grams for each shard of the filter (at most, on average), and bytes of it that one pass broadcasts.
 SHARD_GRAMS, PASS_BYTES = 4_000_000, 256_000_000
+#: A context with at least this share of all tokens has its bigrams spread over all shards.
+HOT_SHARE = 1 / 20_000
 #: Weight of the bigram estimate against the smoothed unigram.
 BIGRAM_WEIGHT = 0.2
 #: Distinct tokens or bigrams that a task holds before it passes them on.
-HELD = 400_000
-HELD_GRAMS = 4_000_000
+HELD = 1_000_000
 
-START = np.uint64(0x9E3779B97F4A7C15)
+#: The hash of the token after each text, and the context of a text's first token.
+END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens_of(text: bytes) -> list[bytes]:
+def scanner() -> Scanner:
     """Words between ASCII white space, A-Z lower-cased."""
-    return text.lower().split()
+    return Scanner(split_white(), lower=True, seed=7)
 
 
 def is_held_out(doc) -> bool:
@@ -46,32 +44,52 @@ def is_held_out(doc) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2
 
 
-class Hashes(dict):
-    """64-bit hashes of tokens, remembered up to a bound."""
+def with_ends(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with the end after each text, and where each text starts among them."""
+    n = np.diff(starts)
+    out = np.full(len(h) + len(n), END, np.uint64)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    return out, starts[:-1] + np.arange(len(n))
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token, 7)
-        return value
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their total counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def training_rows(rows: pa.RecordBatch) -> np.ndarray:
+    return np.array([not is_held_out(d) for d in rows.column(0).to_pylist()], dtype=bool)
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of the tokens of the training rows."""
-    counts: Counter = Counter()
+    keys: list = []
+    counts: list = []
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
-
-    for data in batches:
-        for doc, text in zip(data.column(0).to_pylist(), as_bytes(data.column(1)), strict=True):
-            if not is_held_out(doc):
-                counts.update(tokens_of(text))
-                counts[END] += 1
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-    yield out()
+        k, c = summed(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["token", "c"])
+
+    size = 0
+    for rows, _, h, starts in scanner().scan(batches):
+        h, begin = with_ends(h, starts)
+        mine = np.repeat(training_rows(rows), np.diff(np.append(begin, len(h))))
+        k, c = np.unique(h[mine], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+        size += len(k)
+        if size >= HELD:
+            k, c = summed(keys, counts)
+            keys, counts, size = [k], [c], len(k)
+            if size >= HELD // 2:
+                yield out()
+                keys, counts, size = [], [], 0
+    if size:
+        yield out()
 
 
 def contexts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -82,70 +100,64 @@ def contexts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return before
 
 
-def grams(h: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """A hash for each bigram."""
-    return mixed(before * np.uint64(0x9FB21C651E98DF25) + h)
+class Hot:
+    """Tokens that are at least a HOT_SHARE of all, so at most 1 / HOT_SHARE of them, with their exact counts."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+        self.maybe = np.zeros(65536, bool)
+        self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
-def batched_tokens(texts: list[bytes], memo: Hashes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Hashes of all tokens, the starts of the texts among them, and the tokens."""
-    words = [[*tokens_of(x), END] for x in texts]
-    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=sum(map(len, words)))
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in words])[:-1]]).astype(np.int64) if words else np.zeros(0, np.int64)
-    return h, starts, words
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each token among the hot ones, or -1."""
+        found = np.full(len(h), -1, np.int64)
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[spot] == h[at]
+        found[at[same]] = spot[same]
+        return found
 
 
-def shard_of(before: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of all bigrams of a context, and of the context's own count."""
-    return (mixed(before + np.uint64(1)) >> np.uint64(20)) % np.uint64(shards)
+def grams(h: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A hash for each bigram. Its high bits are its context's, so that they share a shard, but after hot contexts."""
+    own = mixed(before * np.uint64(0x9FB21C651E98DF25) + h)
+    return np.where(hot, own, (mixed(before) & np.uint64(0xFFFFFF0000000000)) | (own >> np.uint64(24)))
 
 
-def pieces(texts: list, size: int) -> Iterator[list]:
-    """Runs of texts of about ``size`` bytes."""
-    part, held = [], 0
-    for x in texts:
-        part.append(x)
-        held += len(x)
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a context or bigram, by the high bits of its hash."""
+    return ((keys >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
 
 
-def count_grams(shards: int):
+def count_grams(shared, shards: int):
     """Partial counts of bigrams and contexts, as one packed row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = Hashes(), [], 0
+        hot = Hot(*shared.value)
+        keys: list = []
+        counts: list = []
 
         def out() -> pa.RecordBatch:
-            keys, where, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((keys, where))
-            keys, where, counts = keys[order], where[order], counts[order]
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (where[1:] != where[:-1])])
-            first = np.flatnonzero(fresh)
-            counts = np.add.reduceat(counts, first)
-            keys, where = keys[first], where[first]
-            cuts = np.searchsorted(where, np.arange(shards + 1, dtype=np.uint64))
-            rows = [(s, keys[a:b].tobytes(), counts[a:b].astype("<i8").tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            k, c = summed(keys, counts)
+            cuts = np.searchsorted(shard_of(k, shards), np.arange(shards + 1, dtype=np.uint64))
+            rows = [(s, k[a:b].tobytes(), c[a:b].astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
 
-        for data in batches:
-            mine = [t for d, t in zip(data.column(0).to_pylist(), as_bytes(data.column(1)), strict=True) if not is_held_out(d)]
-            for part in pieces(mine, 4_000_000):
-                h, starts, _ = batched_tokens(part, memo)
-                before = contexts(h, starts)
-                where = shard_of(before, shards)
-                both, spots = np.concatenate([grams(h, before), mixed(before)]), np.concatenate([where, where])
-                unique, first, n = np.unique(both, return_index=True, return_counts=True)
-                held.append((unique, spots[first], n))
-                size += len(unique)
-                if size >= HELD_GRAMS:
-                    yield out()
-                    held.clear()
-                    size = 0
-        if held:
+        size = 0
+        for rows, _, h, starts in scanner().scan(batches):
+            h, begin = with_ends(h, starts)
+            before = contexts(h, begin)
+            mine = np.repeat(training_rows(rows), np.diff(np.append(begin, len(h))))
+            after_hot = hot.find(before) >= 0
+            for values in (grams(h, before, after_hot)[mine], mixed(before[mine & ~after_hot])):
+                k, c = np.unique(values, return_counts=True)
+                keys.append(k)
+                counts.append(c)
+                size += len(k)
+            if size >= HELD:
+                yield out()
+                keys, counts, size = [], [], 0
+        if size:
             yield out()
 
     return run
@@ -156,50 +168,41 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(STEPS * np.log2(counts.astype(np.float64)) + 1e-9).astype(np.int64)
 
 
-def positions(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+def probes(keys: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
     """Where the probes for (key, level) fall among ``size`` bits: double hashing."""
     a = mixed(keys + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
     b = mixed(a) | np.uint64(1)
     for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % np.uint64(size)
+        yield (a + np.uint64(i) * b) % size
 
 
-def filled(key_counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, bytes]:
-    """(bits, filter) for partial counts: each key is stored at every level up to that of its total."""
-    keys, counts = (np.concatenate(x) for x in zip(*key_counts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, top = keys[first], levels_of(np.add.reduceat(counts, first))
+def filled(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """(bits, filter): each key is stored at every level up to that of its count."""
+    top = levels_of(counts)
     size = max(64, -(-int(top.sum()) * BITS // 64) * 64)
-    bits = np.zeros(size // 8, np.uint8)
+    bits = np.zeros(size, bool)
     level = 1
     while len(keys):
-        for at in positions(keys, level, size):
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        for at in probes(keys, level, np.uint64(size)):
+            bits[at.astype(np.int64)] = True
         level += 1
         more = top >= level
         keys, top = keys[more], top[more]
-    return size, bits.tobytes()
+    return size, np.packbits(bits, bitorder="little").tobytes()
 
 
 def build_shard(key, part):
-    size, bits = filled([(np.frombuffer(k, np.uint64), np.frombuffer(c, "<i8")) for k, c in zip(part["keys"], part["counts"], strict=True)])
+    """The filter of one shard from its partial counts."""
+    keys, counts = summed([np.frombuffer(k, np.uint64) for k in part["keys"]], [np.frombuffer(c, "<u4").astype(np.int64) for c in part["counts"]])
+    size, bits = filled(keys, counts)
     return pd.DataFrame({"shard": [key[0]], "bits": [size], "filter": [bits]})
 
 
 class Filter:
     """Some shards of the Bloom filter in one array."""
 
-    def __init__(self, shards: int, rows: list):
-        self.shards = shards
-        self.size = np.zeros(shards, np.uint64)
-        self.base = np.zeros(shards, np.int64)
-        at = 0
-        for shard, size, raw in rows:
-            self.size[shard], self.base[shard] = size, at
-            at += len(raw)
-        self.bits = np.frombuffer(b"".join(bytes(raw) for _, _, raw in rows) or b"\0", np.uint8)
+    def __init__(self, size: np.ndarray, base: np.ndarray, raw: bytes):
+        self.size, self.base, self.bits = size, base, np.frombuffer(raw or b"\0", np.uint8)
 
     def has(self, shard: np.ndarray) -> np.ndarray:
         return self.size[shard.astype(np.int64)] > 0
@@ -216,11 +219,8 @@ class Filter:
             at, keys, size, base = at[alive], keys[alive], size[alive], base[alive]
             if not len(at):
                 return found
-            a = mixed(keys + np.uint64(level * 0xD6E8FEB86659FD93 % 2**64))
-            b = mixed(a) | np.uint64(1)
             alive = np.ones(len(at), bool)
-            for i in range(PROBES):
-                spot = (a + np.uint64(i) * b) % size
+            for spot in probes(keys, level, size):
                 byte = self.bits[base + (spot >> np.uint64(3)).astype(np.int64)]
                 alive &= (byte >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
             found[at[alive]] = level
@@ -231,64 +231,60 @@ def scorer(shared, first_pass: bool, bigram_weight: float):
     """Sums for each row: what is known here of both scores. The first pass also sends out its rare tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common_tokens, common_counts, total, distinct, rare_mean, shards, rows = shared.value
-        model = Filter(shards, rows)
-        order = np.argsort(hashed := np.array([xxhash.xxh64_intdigest(x, 7) for x in common_tokens], dtype=np.uint64))
-        known_hash, known_count = hashed[order], np.asarray(common_counts, dtype=np.int64)[order]
-        memo, seen = Hashes(), 0
+        known_hash, known_count, hot_hash, hot_count, total, distinct, rare_mean, size, base, raw = shared.value
+        hot = Hot(hot_hash, hot_count)
+        model, shards = Filter(size, base, raw), len(size)
         scale = math.log10(total + distinct + 1)
         rare_log = math.log10(rare_mean + 1) - scale
-        for data in batches:
-            docs, texts = data.column(0).to_pylist(), as_bytes(data.column(1))
-            done = 0
-            for part in pieces(texts, 4_000_000):
-                h, starts, words = batched_tokens(part, memo)
-                lengths = np.diff(np.append(starts, len(h)))
-                unique, back = np.unique(h, return_inverse=True)
-                spot = np.minimum(np.searchsorted(known_hash, unique), max(0, len(known_hash) - 1))
-                is_known = known_hash[spot] == unique if len(known_hash) else np.zeros(len(unique), bool)
-                count = np.where(is_known, known_count[spot] if len(known_hash) else 0, 0)
-                log_count = np.where(is_known, np.log10(count + 1.0), 0.0)
-                uni = np.where(is_known, log_count - scale, rare_log)[back]
-                before = contexts(h, starts)
-                where = shard_of(before, shards)
-                here = model.has(where)
-                pair, pair_at, pair_back = np.unique(grams(h, before), return_index=True, return_inverse=True)
-                low = model.level(pair, where[pair_at])
-                ctx, ctx_at, ctx_back = np.unique(mixed(before), return_index=True, return_inverse=True)
-                high = model.level(ctx, where[ctx_at])
-                # a pair counts for the least its level allows, its context for the most
-                ratio = np.where(low > 0, 2.0 ** ((low - 1) / STEPS), 0.0)[pair_back] / 2.0 ** (high / STEPS)[ctx_back]
-                p_uni = 10.0**uni
-                p = np.where(high[ctx_back] > 0, bigram_weight * np.minimum(ratio, 1.0) + (1 - bigram_weight) * p_uni, p_uni)
-                logs = np.where(here, np.log10(p), 0.0)
-                keys = row_keys(seen + done, len(part))
-                of_doc = docs[done : done + len(part)]
-                zero = np.zeros(len(part), np.int64)
-                n_known = np.add.reduceat(is_known[back].astype(np.int64), starts) if first_pass else zero
-                base = np.add.reduceat(log_count[back], starts) if first_pass else zero.astype(float)
-                tokens = [b" %d" % k for k in keys.tolist()]  # no word: joins nothing, and is no hot key
-                yield _sums(tokens, keys, of_doc, lengths if first_pass else zero, n_known, base, np.add.reduceat(logs, starts))
-                if first_pass:
-                    at = np.flatnonzero(~is_known[back])
-                    flat = list(chain.from_iterable(words))
-                    row = np.repeat(np.arange(len(part)), lengths)[at]
-                    for i in range(0, len(at), 100_000):
-                        r = row[i : i + 100_000]
-                        nothing = np.zeros(len(r), np.int64)
-                        yield _sums([flat[j] for j in at[i : i + 100_000].tolist()], keys[r], [of_doc[j] for j in r.tolist()], nothing, nothing, nothing.astype(float), nothing.astype(float))
-                done += len(part)
-            seen += len(docs)
+        for part, keys, h, starts in scanner().scan(batches):
+            h, begin = with_ends(h, starts)
+            lengths = np.diff(np.append(begin, len(h)))
+            unique, back = np.unique(h, return_inverse=True)
+            spot = np.minimum(np.searchsorted(known_hash, unique), max(0, len(known_hash) - 1))
+            is_known = known_hash[spot] == unique if len(known_hash) else np.zeros(len(unique), bool)
+            log_count = np.log10(np.where(is_known, known_count[spot] if len(known_hash) else 0, 0) + 1.0)
+            uni = np.where(is_known, log_count - scale, rare_log)
+            p_uni = (10.0**uni)[back]
+            context = np.append(unique, START)
+            context_at = np.full(len(h), len(unique))
+            context_at[1:] = back[:-1]
+            context_at[begin] = len(unique)
+            is_hot = hot.find(context)
+            key = mixed(context)
+            high = model.level(key, shard_of(key, shards))
+            most = np.where(is_hot >= 0, hot.counts[is_hot], 2.0 ** (high / STEPS))
+            pair = grams(h, context[context_at], (is_hot >= 0)[context_at])
+            where = shard_of(pair, shards)
+            low, here = model.level(pair, where), model.has(where)
+            # a pair counts for the least its level allows, its context for the most
+            ratio = np.where(low > 0, 2.0 ** ((low - 1) / STEPS), 0.0) / most[context_at]
+            p = np.where(((high > 0) | (is_hot >= 0))[context_at], bigram_weight * np.minimum(ratio, 1.0) + (1 - bigram_weight) * p_uni, p_uni)
+            logs = np.add.reduceat(np.where(here, np.log10(p), 0.0), begin)
+            docs = part.column(0)
+            zero = np.zeros(len(keys), np.int64)
+            if first_pass:
+                known = np.add.reduceat(is_known[back].astype(np.int64), begin)
+                base = np.add.reduceat(log_count[back], begin)
+                at = np.flatnonzero(~is_known[back])
+                row = np.repeat(np.arange(len(keys)), lengths)[at]
+                for i in range(0, len(at), 100_000):
+                    r = row[i : i + 100_000]
+                    nothing = np.zeros(len(r), np.int64)
+                    yield _sums(h[at[i : i + 100_000]].view(np.int64), keys[r], docs.take(pa.array(r)), nothing, nothing, nothing, nothing)
+                yield _sums(~keys, keys, docs, lengths, known, base, logs)
+            else:
+                yield _sums(~keys, keys, docs, zero, zero, zero, logs)
 
     return run
 
 
-SUMS = "token binary, row long, doc_id long, n_tokens long, n_known long, base double, model double"
+#: In a row of sums, the token is the complement of the row's key: few tokens can have such a hash, and it is no hot key.
+SUMS = "token long, row long, doc_id long, n_tokens long, n_known long, base double, model double"
 
 
-def _sums(*columns) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["token", "row", "doc_id", "n_tokens", "n_known", "base", "model"])
+def _sums(token, row, docs, n_tokens, n_known, base, model) -> pa.RecordBatch:
+    columns = [pa.array(token), pa.array(row), docs, pa.array(n_tokens), pa.array(n_known), pa.array(np.asarray(base, np.float64)), pa.array(np.asarray(model, np.float64))]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "row", "doc_id", "n_tokens", "n_known", "base", "model"])
 
 
 def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = SHARD_GRAMS, pass_bytes: int = PASS_BYTES, bigram_weight: float = BIGRAM_WEIGHT) -> DataFrame:
@@ -300,17 +296,17 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. The base sums
     log10((c + 1) / (N + V + 1)) with exact counts: those of the ``frequent`` most frequent tokens are broadcast, the
-    rest joined. The score interpolates a bigram estimate with a unigram: the quantised counts of bigrams and of
+    rest joined; tokens are told apart by 64-bit hashes. The score interpolates a bigram estimate with a unigram: the quantised counts of bigrams and of
     their contexts are in a Bloom filter, stored at every level up to their own and read by probing upwards. In the
     score's unigram, tokens outside the broadcast table share the mean of such tokens.
 
-    The filter is built in shards by context, each by one task, as many as the training tokens need. It is broadcast
-    in passes of at most ``pass_bytes`` (and at least one shard); the sums of the passes add up.
+    The filter is built in shards, each by one task, as many as the training tokens need; bigrams are with their
+    contexts, but those of hot contexts, whose counts are broadcast exactly, are spread. It is broadcast in passes of at most ``pass_bytes`` (and at least one shard); the sums of the passes add up.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    counts = written(source.mapInArrow(count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
+    counts = written(source.mapInArrow(count_tokens, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
     level = F.floor(F.log2("c") * 16).cast("int")
     histogram = sorted(counts.groupBy(level.alias("level")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
     total, distinct = sum(r[2] for r in histogram), sum(r[1] for r in histogram)
@@ -319,11 +315,19 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
         if kept + n > frequent:
             break
         kept, at = kept + n, lv
-    top = [] if at is None else counts.where(level >= at).collect()
-    rare = distinct - len(top)
-    rare_mean = (total - sum(r[1] for r in top)) / rare if rare else 0.0
+    top = counts.where(level >= at if at is not None else F.lit(False)).toArrow()
+    known_hash, known_count = np.asarray(top["token"]).view(np.uint64), np.asarray(top["c"])
+    order = np.argsort(known_hash)
+    known_hash, known_count = known_hash[order], known_count[order]
+    popular = known_count >= max(1, total * HOT_SHARE)
+    ends = known_count[known_hash == END]
+    hot_hash, hot_count = np.append(known_hash[popular], START), np.append(known_count[popular], ends[0] if len(ends) else 1)
+    order = np.argsort(hot_hash)
+    hot = (hot_hash[order], hot_count[order])
+    rare = distinct - len(known_hash)
+    rare_mean = (total - int(known_count.sum())) / rare if rare else 0.0
     shards = max(16, -(-2 * total // shard_grams))
-    built = written(source.mapInArrow(count_grams(shards), "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
+    built = written(source.mapInArrow(count_grams(spark.sparkContext.broadcast(hot), shards), "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
     sizes = dict(built.select("shard", "bits").collect())
     groups, held = [[]], 0
     for shard, bits in sorted(sizes.items()):
@@ -334,16 +338,20 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
         held += bits // 8
     parts = None
     for i, group in enumerate(groups):
-        rows = [tuple(r) for r in built.where(F.col("shard").isin(group)).select("shard", "bits", "filter").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(([bytes(r[0]) for r in top], [r[1] for r in top], total, distinct, rare_mean, shards, rows))
+        size, base, raw = np.zeros(shards, np.uint64), np.zeros(shards, np.int64), bytearray()
+        for shard, bits, part in built.where(F.col("shard").isin(group)).select("shard", "bits", "filter").toLocalIterator():
+            size[shard], base[shard] = bits, len(raw)
+            raw += part
+        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, size, base, bytes(raw)))
         found = source.mapInArrow(scorer(shared, i == 0, bigram_weight), SUMS)
         parts = found if parts is None else parts.unionByName(found)
     rest = counts if at is None else counts.where(level < at)
     joined = parts.join(rest.withColumnRenamed("c", "rare"), "token", "left")
+    real = F.when(F.col("token") != F.bitwise_not("row"), F.col("rare"))
     sums = joined.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.count("rare")).alias("n_known"),
-        (F.sum("base") + F.coalesce(F.sum(F.log10(F.col("rare") + 1.0)), F.lit(0.0))).alias("base"),
+        (F.sum("n_known") + F.count(real)).alias("n_known"),
+        (F.sum("base") + F.coalesce(F.sum(F.log10(real + 1.0)), F.lit(0.0))).alias("base"),
         F.sum("model").alias("score"),
     )
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))

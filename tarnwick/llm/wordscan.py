@@ -10,7 +10,7 @@ import pyarrow as pa
 from .common import mixed, row_keys
 
 #: Bytes of text that are worked on at once; one longer text is its own part.
-PART = 2_000_000
+PART = 1_000_000
 #: Odd multiplier of the polynomial hash; 3 modulo 4, so that few differences of powers lose low bits.
 MULTIPLIER = 0x9E3779B97F4A7C17
 #: White space between words, space and 0x09 to 0x0D.
