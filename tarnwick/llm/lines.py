@@ -13,6 +13,8 @@ DEPTH = 3
 SUPPORT = 20
 #: Share of its surroundings among the documents that hold it: near copies of one text share theirs.
 SPREAD = 0.5
+#: Recurring templates (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_TEMPLATES = 500_000
 
 #: What stands for a variable field, what makes a token one (a digit, or an address), and white space.
 WILDCARD = "<*>"
@@ -76,7 +78,9 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     own = F.xxhash64(F.col("doc_id"), F.col("text"))
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
-    bad = recurring(lines, support, spread)
+    bad = written(recurring(lines, support, spread), "templates")
+    if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        bad = F.broadcast(bad)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
     drops = hits.groupBy("key").agg(F.collect_set("line_no").alias("__drop"))
     joined = docs.withColumn("__key", own).join(drops.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")

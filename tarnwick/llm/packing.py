@@ -178,3 +178,15 @@ def pack_documents(docs: DataFrame, tokenizer_paths: tuple, *, capacity: int = C
         placed = local.join(moved, "bin", "left").withColumn("sequence_id", F.coalesce("into", "bin")).withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return placed.select(*columns, *["ids"] * keep_ids)
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: the documents as pieces of sequences, with the ids of each piece."""
+    return pack_documents(docs, public_paths())
+
+
+def public_paths() -> tuple:
+    """Where the public vocabulary is: (json, ranks, pattern); found beside the library that carries it."""
+    import public_tokenizers as p
+
+    return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN

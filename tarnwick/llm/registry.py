@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chats, decontaminate, lines, lmscore, packing, passages, simhash, topk, toxicity, urls
 from .common import table
 
 
-def tokenizer_paths() -> tuple:
-    import public_tokenizers as p
-
-    return p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN
-
-
 def op1_exact_topk(spark, sf_dir):
     """Ten highest integer inner products for every hundredth vector."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).drop("query_row")
@@ -21,7 +17,7 @@ def op1_exact_topk(spark, sf_dir):
 
 def op2_best_fit_packing(spark, sf_dir):
     """All documents as pieces of sequences of at most 1024 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_paths(), keep_ids=False)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_paths(), keep_ids=False)
 
 
 def op3_chat_formatting(spark, sf_dir):
@@ -138,7 +134,7 @@ def queries():
         op1_exact_topk, op2_best_fit_packing, op3_chat_formatting, op4_decontamination, op5_lm_scoring,
         op6_url_filter, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_simhash_dedup,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

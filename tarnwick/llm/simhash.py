@@ -46,7 +46,7 @@ def fingerprinter(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
             found = np.array([fingerprint(x, words, seed) for x in as_bytes(data.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([data.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([data.column(0), data.column(2), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
     return run
 
@@ -182,18 +182,18 @@ def sharded(fingerprints: DataFrame, radius: int, limit: int, levels: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, shard: int = SHARD, levels: int = LEVELS) -> DataFrame:
-    """doc_id, fp (a long), component_id (the smallest doc_id reachable over links of at most ``radius`` bits).
+    """doc_id, fp (a long), component_id (the smallest doc_id reachable over links of at most ``radius`` bits), key.
 
     A null or empty text has fingerprint zero, linked like any other; with fewer words than a shingle has, the whole
     sequence is the shingle. Rows with a null doc_id keep their fingerprint, and get the component of their
     fingerprint if a document with an id has it, else null. Repeated rows come out as often as they come; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. key is document_key's.
 
     Equal fingerprints are one vertex, so copies never make pairs. Shards of distinct fingerprints each build a
     BK-tree and emit a spanning forest of their links, fewer links than members.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(source.mapInArrow(fingerprinter(words, seed), "doc_id long, fp long"), "fingerprints")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), document_key().alias("key"))
+    prints = written(source.mapInArrow(fingerprinter(words, seed), "doc_id long, key long, fp long"), "fingerprints")
     vertices = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
     shards = sharded(vertices.select("fp"), radius, shard, levels)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -203,4 +203,26 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
     named = vertices.join(components, vertices["fp"] == components["v"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     members = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(members, "fp").select("doc_id", "fp", "component_id", "key")
+
+
+def document_key():
+    """Tells documents apart, those without an id included; rows repeated as they are share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each near-duplicate group the document with the smallest id, with the columns it came with.
+
+    Of documents with one id, the one whose key is smallest stays; a group whose ids are all null keeps one too. A
+    group without any id is known by its fingerprint.
+    """
+    found = near_duplicates(docs).withColumn("group", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
+    own = docs.withColumn("__key", document_key()).join(kept.distinct(), "__key", "left_semi")
+    # rows repeated as they are: one stays
+    repeated = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key"))
+    once = own.join(repeated, "__key", "left_anti")
+    again = own.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(again).drop("__key")
