@@ -86,9 +86,7 @@ def dedupe_entities(entities: DataFrame) -> DataFrame:
 
 def spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(paper_id, term, start, end): where each paper's own terms stand first in its text, case aside; misses left out."""
-    at = F.locate(F.lower("term"), F.lower("text"))
     joined = terms.where("trim(term) <> ''").join(texts, "paper_id").select("paper_id", "term", (F.instr(F.lower("text"), F.lower("term")) - 1).alias("start"))
-    del at
     return joined.where("start >= 0").select("paper_id", "term", "start", (F.col("start") + F.length("term")).alias("end"))
 
 
