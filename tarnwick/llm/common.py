@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bits of a row key that number the row within its partition.
 ROW_BITS = 36
@@ -75,3 +76,16 @@ def by_blocks(rows: Iterator, size: int) -> Iterator[list]:
             block = []
     if block:
         yield block
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns of df by their own names, whatever is in these."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

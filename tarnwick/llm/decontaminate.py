@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_blocks, table
+from .common import by_blocks, columns_of, fresh, table
 from .wordscan import Scanner, split_letters
 
 #: Least similarity of a leak: matched words over alignment columns, words of the item left out counted as columns.
@@ -229,12 +229,12 @@ def aligner(shared):
                     if got[4] >= least - 1e-12 and (best is None or got[0] > best[0]):
                         best = (got[0], a + got[1], a + got[2], got[3], got[4])
                 if best:
-                    out.append((doc, items.ids[item], *best))
+                    out.append((doc, item, *best))
             docs = rows.column(0).to_pylist()
             out.sort()
             columns = [list(x) for x in zip(*out, strict=True)] if out else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[np.array(columns[0], dtype=np.int64)]), pa.array([docs[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[6], pa.float64()),
+                pa.array(keys[np.array(columns[0], dtype=np.int64)]), pa.array([docs[i] for i in columns[0]], pa.int64()), pa.array([items.ids[i] for i in columns[1]], pa.int64()), pa.array(columns[6], pa.float64()),
                 pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array([e - s for s, e in zip(columns[3], columns[4], strict=True)], pa.int64()), pa.array(columns[5], pa.int64()),
             ], names=["row", "doc_id", "item_id", "similarity", "score", "first_word", "n_words", "n_matched"])
 
@@ -274,7 +274,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents are told apart by id and text; a document with a null id goes if its text holds a leak.
     """
-    benchmark = table(spark, sf_dir, "benchmark")
-    tagged = docs.withColumn("doc_id", F.xxhash64("doc_id", "text"))
-    bad = leaks(tagged, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("__leaked"), "left_anti")
+    key = fresh(docs, "key")
+    tagged = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    bad = leaks(tagged, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, key, "left_anti").select(*columns_of(docs))

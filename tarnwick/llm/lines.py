@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, fresh, written
 
 #: Leading tokens that lead to a leaf of the tree; together with the token count its fixed depth.
 DEPTH = 3
@@ -62,7 +62,7 @@ def recurring(lines: DataFrame, support: int, spread: float) -> DataFrame:
     return totals.where((F.col("docs") >= support) & (F.col("around") >= F.lit(spread) * F.col("n"))).select("template")
 
 
-def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: float = SPREAD) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: float = SPREAD, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs without the lines whose template recurs across documents, with ``n_lines`` and ``n_dropped``.
 
     A template is what is left of a line when its variable fields (tokens with a digit, a mail or web address) are
@@ -70,11 +70,11 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     documents in different surroundings, and these make up at least the share ``spread`` of its lines.
 
     Lines end at a line feed. Lines without tokens always stay. A null text stays null, with no lines; an empty one
-    is one line. All columns and rows stay, repeated rows and null ids included; columns named n_lines or n_dropped
-    are replaced; an empty table gives no rows.
+    is one line. All columns and rows stay, repeated rows and null ids included; columns that have the names of the
+    two counts are replaced; an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (n_lines.lower(), n_dropped.lower())])
+    key, drop = fresh(docs, "key"), fresh(docs, "drop")
     own = F.xxhash64(F.col("doc_id"), F.col("text"))
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
@@ -82,15 +82,15 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         bad = F.broadcast(bad)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
-    drops = hits.groupBy("key").agg(F.collect_set("line_no").alias("__drop"))
-    joined = docs.withColumn("__key", own).join(drops.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    drops = hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("line_no").alias(drop))
+    joined = docs.withColumn(key, own).join(drops, key, "left")
     parts = F.split(F.col("text").cast("string"), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
-    columns = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in kept]
-    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).alias("n_dropped"))
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)
+    columns = [text.alias(c) if c.lower() == "text" else own for c, own in zip(docs.columns, columns_of(docs), strict=True)]
+    return joined.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias(n_lines), F.coalesce(F.size(drop), F.lit(0)).alias(n_dropped))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their recurring lines taken out, with the columns they came with."""
-    return drop_recurring_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_recurring_lines(docs, n_lines=fresh(docs, "n_lines"), n_dropped=fresh(docs, "n_dropped")).select(*columns_of(docs))

@@ -201,11 +201,11 @@ def build_shard(key, part):
 class Filter:
     """Some shards of the Bloom filter in one array."""
 
-    def __init__(self, size: np.ndarray, base: np.ndarray, raw: bytes):
-        self.size, self.base, self.bits = size, base, np.frombuffer(raw or b"\0", np.uint8)
+    def __init__(self, mine: np.ndarray, size: np.ndarray, base: np.ndarray, raw: bytes):
+        self.mine, self.size, self.base, self.bits = mine, size, base, np.frombuffer(raw or b"\0", np.uint8)
 
     def has(self, shard: np.ndarray) -> np.ndarray:
-        return self.size[shard.astype(np.int64)] > 0
+        return self.mine[shard.astype(np.int64)]
 
     def level(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The highest level up to which every probe is set, found by probing level after level; 0 if none."""
@@ -231,12 +231,13 @@ def scorer(shared, first_pass: bool, bigram_weight: float):
     """Sums for each row: what is known here of both scores. The first pass also sends out its rare tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_hash, known_count, hot_hash, hot_count, total, distinct, rare_mean, size, base, raw = shared.value
+        known_hash, known_count, hot_hash, hot_count, total, distinct, rare_mean, mine, size, base, raw = shared.value
         hot = Hot(hot_hash, hot_count)
-        model, shards = Filter(size, base, raw), len(size)
+        model, shards = Filter(mine, size, base, raw), len(size)
         scale = math.log10(total + distinct + 1)
         rare_log = math.log10(rare_mean + 1) - scale
-        for part, keys, h, starts in scanner().scan(batches):
+        for part, _, h, starts in scanner().scan(batches):
+            keys = np.asarray(part.column(2))
             h, begin = with_ends(h, starts)
             lengths = np.diff(np.append(begin, len(h)))
             unique, back = np.unique(h, return_inverse=True)
@@ -304,7 +305,7 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
     contexts, but those of hot contexts, whose counts are broadcast exactly, are spread. It is broadcast in passes of at most ``pass_bytes`` (and at least one shard); the sums of the passes add up.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     counts = written(source.mapInArrow(count_tokens, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
     level = F.floor(F.log2("c") * 16).cast("int")
@@ -330,7 +331,8 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
     built = written(source.mapInArrow(count_grams(spark.sparkContext.broadcast(hot), shards), "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
     sizes = dict(built.select("shard", "bits").collect())
     groups, held = [[]], 0
-    for shard, bits in sorted(sizes.items()):
+    for shard in range(shards):  # those that hold nothing too
+        bits = sizes.get(shard, 0)
         if groups[-1] and held + bits // 8 > pass_bytes:
             groups.append([])
             held = 0
@@ -338,22 +340,27 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
         held += bits // 8
     parts = None
     for i, group in enumerate(groups):
-        size, base, raw = np.zeros(shards, np.uint64), np.zeros(shards, np.int64), bytearray()
+        mine, size, base, raw = np.zeros(shards, bool), np.zeros(shards, np.uint64), np.zeros(shards, np.int64), bytearray()
+        mine[group] = True
         for shard, bits, part in built.where(F.col("shard").isin(group)).select("shard", "bits", "filter").toLocalIterator():
             size[shard], base[shard] = bits, len(raw)
             raw += part
-        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, size, base, bytes(raw)))
+        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, mine, size, base, bytes(raw)))
         found = source.mapInArrow(scorer(shared, i == 0, bigram_weight), SUMS)
         parts = found if parts is None else parts.unionByName(found)
     rest = counts if at is None else counts.where(level < at)
     joined = parts.join(rest.withColumnRenamed("c", "rare"), "token", "left")
+    # rows repeated as they are share a key; their equal sums are dealt out again
     real = F.when(F.col("token") != F.bitwise_not("row"), F.col("rare"))
     sums = joined.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
+        F.count_if(F.col("n_tokens") > 0).alias("copies"),
         (F.sum("n_known") + F.count(real)).alias("n_known"),
         (F.sum("base") + F.coalesce(F.sum(F.log10(real + 1.0)), F.lit(0.0))).alias("base"),
         F.sum("model").alias("score"),
     )
+    each = [(F.col(c) / F.col("copies")).cast(kind).alias(c) for c, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))]
+    sums = sums.select("doc_id", *each, F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     scale = math.log10(total + distinct + 1)
     out = sums.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")

@@ -161,7 +161,8 @@ def window_sender(shared, shards: int, passage: int, gram: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, spread = shared.value
         certain = np.zeros(0, np.uint64)
-        for rows, keys, h, starts in scanner().scan(batches):
+        for rows, _, h, starts in scanner().scan(batches):
+            keys = np.asarray(rows.column(2))
             place, minimiser, key, owner = selected(h, starts, passage, gram, block)
             found = np.flatnonzero(within(key, repeated))
             if not len(found):
@@ -232,9 +233,9 @@ def compare_shard(part):
 def repeated_passages(docs: DataFrame, *, passage: int = PASSAGE, gram: int = GRAM, block: int = BLOCK, pass_keys: int = PASS_KEYS, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """Stretches of at least ``passage`` words of which every window of so many words stands in another document too.
 
-    One row for each stretch, as long as it can be: row (tells repeated rows apart), doc_id, first_word, n_words.
+    One row for each stretch, as long as it can be: row (of a document id and text), doc_id, first_word, n_words.
     Words are what stands between ASCII white space, compared as they are. Rows with the same doc_id are one
-    document, so are all with a null one (given back as null); null, empty and shorter texts have no passages; other
+    document, so are all with a null one (given back as null), and rows repeated as they are come out once; null, empty and shorter texts have no passages; other
     columns are ignored; an empty table gives no rows.
 
     Suffixes are kept at the minimisers of all windows. A first scan finds which of their leading parts stand in two
@@ -244,7 +245,7 @@ def repeated_passages(docs: DataFrame, *, passage: int = PASSAGE, gram: int = GR
     shards by their own hashes, and of windows that repeat within a task two are sent for all.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"))
     keys = source.mapInArrow(key_counter(passage, gram, block), "key long, low long, high long, n long").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     repeated = written(keys.where("low < high").select("key", "n"), "keys")
     count = repeated.count()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, columns_of, fresh, written
 from .components import connected_components
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -217,12 +217,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of documents with one id, the one whose key is smallest stays; a group whose ids are all null keeps one too. A
     group without any id is known by its fingerprint.
     """
+    key = fresh(docs, "key")
     found = near_duplicates(docs).withColumn("group", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
-    own = docs.withColumn("__key", document_key()).join(kept.distinct(), "__key", "left_semi")
+    kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    own = docs.withColumn(key, document_key()).join(kept.distinct(), key, "left_semi")
     # rows repeated as they are: one stays
-    repeated = found.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key"))
-    once = own.join(repeated, "__key", "left_anti")
-    again = own.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(again).drop("__key")
+    repeated = found.groupBy("key").count().where("count > 1").select(F.col("key").alias(key))
+    once = own.join(repeated, key, "left_anti")
+    again = own.join(repeated, key, "left_semi").dropDuplicates([key])
+    return once.unionByName(again).select(*columns_of(docs))

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import as_bytes, table, written
+from .common import as_bytes, columns_of, fresh, table, written
 
 #: Labelled rows to learn from at most.
 SAMPLE = 20_000
@@ -160,31 +161,34 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features:
     return fit(np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows], names)
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs with ``severity`` (expected grade) and ``grade_probabilities``; a null text has no features.
+def score(docs: DataFrame, model: OrdinalModel, *, severity: str = "severity", probabilities: str = "grade_probabilities") -> DataFrame:
+    """docs with the expected grade and the probability of each; a null text has no features.
 
-    All rows and columns stay. Columns of these two names are replaced.
+    All rows and columns stay, but for columns that have the names of the new ones.
     """
-    rest = [c for c in docs.columns if c.lower() not in ("severity", "grade_probabilities")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in rest])
-    at = [c.lower() for c in rest].index("text")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (severity.lower(), probabilities.lower())])
+    at = [c.lower() for c in docs.columns].index("text")
+    plain = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns_of(docs))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
             found = [model.severity(x) for x in as_bytes(data.column(at).cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*data.columns, pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.float64()))], names=[*data.schema.names, "severity", "grade_probabilities"])
+            yield pa.RecordBatch.from_arrays([*data.columns, pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.list_(pa.float64()))], names=[*data.schema.names, "severity", "probabilities"])
 
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("severity", DoubleType()), StructField("grade_probabilities", ArrayType(DoubleType()))])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*plain.schema.fields, StructField("severity", DoubleType()), StructField("probabilities", ArrayType(DoubleType()))])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, severity, probabilities)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
-    """docs with severity, grade probabilities and ``rejected`` (severity of at least ``reject``)."""
+    """docs with severity, grade_probabilities and ``rejected`` (severity of at least ``reject``).
+
+    Repeated rows, null ids and null or empty texts stay and are graded like any other; an empty table gives no rows.
+    """
     return score(docs, train(docs, labels, sample=sample)).withColumn("rejected", F.col("severity") >= reject)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not rejected, with the columns they came with."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    severity = fresh(docs, "severity")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), severity=severity, probabilities=fresh(docs, "grade_probabilities"))
+    return scored.where(F.col(severity) < REJECT).select(*columns_of(docs))

@@ -1,0 +1,397 @@
+"""Each operator against brute force on small rows, and on odd rows of every kind."""
+
+import collections
+import json
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from tarnwick.llm import chats, decontaminate, lines, lmscore, packing, passages, simhash, topk, toxicity, urls
+from tarnwick.llm.components import connected_components
+from tarnwick.llm.wordscan import Scanner, split_letters, split_white
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, severity string, n_lines string, drop string, fp int, `odd.name` int"
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join("w" + "abcdefghij"[(k := rng.randrange(vocabulary)) % 10] + "klmnopqrst"[k // 10 % 10] + "uvxyz"[k // 100] for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Ordinary texts, copies, near copies, a very long text, and odd ones."""
+    rng = random.Random(7)
+    out = [(i, words(rng, rng.randrange(60, 200))) for i in range(60)]
+    copy, passage = out[3][1], words(rng, 70)
+    out += [(100 + i, copy) for i in range(8)]
+    near = copy.split()
+    for i in range(6):
+        near[rng.randrange(len(near))] = f"edit{i}"
+        out.append((120 + i, " ".join(near)))
+    out += [(140 + i, words(rng, 30) + "\n" + passage + "\n" + words(rng, 30)) for i in range(4)]
+    out += [(150 + i, words(rng, 20) + f"\nSeen {i} times at http://a.b/{i}\n" + words(rng, 20)) for i in range(30)]
+    out += [(200, words(rng, 20_000)), (201, None), (202, ""), (203, " \t\n"), (204, "one"), (205, "Été  déjà vu\n\nß € 日本"), (None, copy), (None, None), (206, "a b"), (206, "a b"), (207, "x" * 5000)]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), "k", "v", "n", "d", 1, 2) for d, t in rows], DOCS).repartition(3)
+
+
+def tokens(text):
+    return (text or "").encode().lower().split()
+
+
+def test_word_scanner_splits_and_tells_words_apart():
+    texts = [b"The the\tTHE\x0bx", b"", b"  ", "déjà vu".encode(), b"end"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, starts = Scanner(split_white(), lower=True, seed=1).words(data, offsets)
+    assert np.diff(starts).tolist() == [4, 0, 0, 2, 1]
+    assert len(set(h.tolist())) == 5 and h[0] == h[1] == h[2]
+    h, starts = Scanner(split_letters(), lower=True, seed=1).words(np.frombuffer(b"a.b c", np.uint8), np.array([0, 5]))
+    assert len(h) == 3
+    rng = random.Random(1)
+    many = [bytes(rng.choice(b"abAB12") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    h, _ = Scanner(split_white(), lower=False, seed=1).words(np.frombuffer(b" ".join(many), np.uint8), np.array([0, sum(map(len, many)) + len(many) - 1]))
+    assert len(set(h.tolist())) == len(set(many))
+
+
+def brute_topk(vectors, k=10):
+    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in good:
+        if q % 100 == 0:
+            best = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b)))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    vectors = [(i, [rng.gauss(0, 0.2) for _ in range(20)]) for i in range(700)]
+    vectors += [(1000 + i, vectors[5][1]) for i in range(30)]  # ties
+    vectors += [(2000, None), (2001, []), (2002, [None] * 20), (2100, [float("nan")] * 20), (2200, [1.0] * 3), (2203, [2.0] * 3), (None, [0.1] * 20), (2300, [float("inf")] + [0.0] * 19)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string").repartition(3)
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    for block in (4, 8192):
+        got = topk.exact_topk(df, F.col("vec_id") % 100 == 0, query_block=block).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_topk(vectors)
+    assert topk.exact_topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_topk_with_values_beyond_doubles(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, 1.0]), (2, [1e8, 2.0])], "vec_id long, embedding array<float>")
+    got = topk.exact_topk(df, F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, (1024 * 10**8) ** 2 + 2 * 1024**2), (1, (1024 * 10**8) ** 2 + 1024**2)] or got[0].score == 2**63 - 1
+
+
+def test_packing(spark, rows):
+    tokenizer = packing.Encoder(*packing.public_paths())
+    got = packing.pack_documents(frame(spark, rows), packing.public_paths(), fan_in=2).collect()
+    want = collections.Counter()
+    for d, t in rows:
+        ids = np.array([*tokenizer.reference.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for k, (a, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[d, k, a, n, zlib.crc32(ids[a : a + n].tobytes()), ids[a : a + n].tobytes()] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in got) == want
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    total = sum(r.length for r in got)
+    assert len(places) <= -(-total // 1024) + 6
+    assert packing.pack_documents(frame(spark, rows).limit(0), packing.public_paths()).count() == 0
+    assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
+
+
+def test_best_fit_takes_the_tightest_bin():
+    bins, places, loads = packing.best_fit(np.array([6, 5, 4, 3]), 10)
+    assert bins.tolist() == [0, 1, 0, 1] and places.tolist() == [0, 0, 6, 5] and loads.tolist() == [10, 8, 10, 8]
+
+
+def brute_fingerprint(text):
+    w = tokens(text)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, rows):
+    from pyspark.sql import functions as F
+
+    for shard, levels in ((1000, 3), (2, 3), (2, 1)):
+        got = simhash.near_duplicates(frame(spark, rows), shard=shard, levels=levels).collect()
+        prints = [brute_fingerprint(t) for _, t in rows]
+        parent = list(range(len(rows)))
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    parent[root(i)] = root(j)
+        groups = collections.defaultdict(list)
+        for i, (d, _) in enumerate(rows):
+            if d is not None:
+                groups[root(i)].append(d)
+        want = sorted((str(d), prints[i], str(min(groups[root(i)], default=None))) for i, (d, _) in enumerate(rows))
+        assert sorted((str(r.doc_id), r.fp & (2**64 - 1), str(r.component_id)) for r in got) == want
+    assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+    one = spark.createDataFrame([("The quick  Brown",)], "text string").select(F.xxhash64(F.lit("the quick brown")).alias("x")).first().x
+    assert brute_fingerprint("The quick  Brown") == one & (2**64 - 1)
+    kept = simhash.stage(spark, frame(spark, rows), "").collect()
+    assert len(kept) == len({r.component_id if r.component_id is not None else r.fp for r in got})
+    assert set(kept[0].asDict()) == set(frame(spark, rows).columns)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(50, 90)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300 + i) for i in range(40)] + [(7, 7)]
+    got = {r.v: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    low = {v: v for e in edges for v in e}
+    for _ in range(200):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    assert got == {v: c for v, c in low.items() if v != 7}
+
+
+def test_bk_tree_finds_all_within_the_radius():
+    rng = random.Random(2)
+    values = [rng.getrandbits(64) for _ in range(50)]
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values]
+    tree = simhash.BKTree()
+    for i, v in enumerate(values):
+        assert sorted(tree.add_and_find(v, 3)) == [j for j in range(i) if (values[j] ^ v).bit_count() <= 3]
+
+
+def test_chats(spark):
+    call = json.dumps({"tool_calls": [{"id": "c1", "name": "reply", "arguments": '{"prompt":"hi","turn":1}'}, {"id": "c2", "name": "other", "arguments": "{}"}, {"id": "c3", "name": "reply", "arguments": '{"turn":"x"}'}]})
+    rows = [
+        (1, 0, "system", "Be kind."), (1, 1, "user", "hi"), (1, 2, "assistant", "ho\n\"é\""), (1, 4, "assistant", "lost"), (1, 5, "user", ""),
+        (2, 3, "assistant", call), (2, 1, "tool", '{"tool_call_id":"c1","content":"early"}'), (2, 5, "tool", '{"tool_call_id":"zz","content":"?"}'),
+        (None, None, None, None), (3, 0, "user", None), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, status string")
+    got = chats.format_turns(df).collect()
+    by_id = {(r.level, r.call_id): r for r in got}
+    assert by_id[1, "1:1"].status == "ok" and by_id[1, "1:5"].status == "open, prompt: too short" and by_id[1, "3:0"].status == "prompt: missing"
+    assert by_id[2, "1:3"].status == "orphan" and by_id[2, "1:1"].status == "linked"
+    assert by_id[1, "c1"].status == "ok" and by_id[1, "c2"].status == "open, no schema" and by_id[1, "c3"].status == "open, prompt: missing"
+    assert (by_id[2, "c1"].order_turn, by_id[2, "zz"].status) == (3, "orphan")  # after its call, though logged before
+    assert sum(r.call_id == "3:0" and r.level == 2 for r in got) == 2
+    for r in got:
+        value = json.loads(r.json)
+        assert r.json == json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    assert chats.format_turns(df.limit(0)).count() == 0
+
+
+def edited(rng, w, rate):
+    out = []
+    for x in w:
+        u = rng.random()
+        if u < rate / 3:
+            continue
+        out.append("zzz" if u < 2 * rate / 3 else x)
+        if u > 1 - rate / 3:
+            out.append("yyy")
+    return out
+
+
+def test_decontamination(spark, rows):
+    rng = random.Random(9)
+    items = [(i, words(rng, n)) for i, n in enumerate((45, 20, 12, 7, 3, 1, 30))] + [(7, None), (8, " ."), (9, "rep a rep a rep a rep a rep b"), (None, words(rng, 15))]
+    texts = list(rows)
+    for k in range(80):
+        base = rng.choice([t for _, t in rows if t and len(t) < 2000]).split()
+        cut = rng.randrange(len(base) + 1)
+        item = rng.choice([t for _, t in items if t])
+        texts.append((1000 + k, " ".join(base[:cut] + edited(rng, item.upper().split(), rng.choice([0, 0.1, 0.2, 0.3])) + base[cut:])))
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    want = collections.Counter()
+    for d, t in texts:
+        w = decontaminate.words_of((t or "").encode())
+        for i, b in items:
+            bw = decontaminate.words_of((b or "").encode())
+            if bw and set(bw) & set(w):
+                found = decontaminate.align(bw, w)
+                if found[4] >= 0.8 - 1e-12:
+                    want[d, i, found[0]] += 1
+    for block in (3, 5000):
+        got = decontaminate.leaks(frame(spark, texts), benchmark, item_block=block).collect()
+        assert collections.Counter((r.doc_id, r.item_id, r.score) for r in got) == want
+    assert decontaminate.leaks(frame(spark, texts).limit(0), benchmark).count() == 0
+    assert decontaminate.leaks(frame(spark, texts), benchmark.limit(0)).count() == 0
+
+
+def test_alignment():
+    score, first, end, matches, similarity = decontaminate.align([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5, 9])
+    assert (score, first, end, matches, similarity) == (7, 1, 6, 4, 0.8)
+
+
+def test_lm_scores(spark, rows, monkeypatch):
+    counts = collections.Counter()
+    for d, t in rows:
+        if not (d is not None and zlib.crc32(str(d).encode()) % 7 == 2):
+            counts.update([*tokens(t), b" "])
+    n, v = sum(counts.values()), len(counts)
+    want = collections.defaultdict(list)
+    for d, t in rows:
+        w = [*tokens(t), b" "]
+        want[d].append((len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)))
+    scores = {}
+    for how in ({}, {"frequent": 20}, {"frequent": 0, "pass_bytes": 2000}):
+        got = collections.defaultdict(list)
+        for r in lmscore.lm_scores(frame(spark, rows), **how).collect():
+            got[r.doc_id].append((r.n_tokens, r.n_known, r.train_tokens, r.base_score))
+            assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+            assert r.score < 0
+            scores.setdefault(str(how), {})[r.doc_id] = r.score
+        assert got.keys() == want.keys()
+        for d in want:
+            assert np.allclose(sorted(got[d]), sorted(want[d]), rtol=1e-9)
+    passes = {r.doc_id: r.score for r in lmscore.lm_scores(frame(spark, rows), pass_bytes=2000).collect()}
+    copies = [d for d, t in rows if d is not None and t == rows[3][1]]
+    base = {d: want[d][0][3] for d in copies}
+    assert all(scores["{}"][d] > base[d] for d in copies)  # bigrams of a text seen in training
+    assert all(math.isclose(scores["{}"][d], x, rel_tol=1e-9) for d, x in passes.items())  # passes over parts add up
+    assert lmscore.lm_scores(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_bloom_filter_gives_back_quantised_counts():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
+    counts = rng.integers(1, 200, len(keys))
+    size, raw = lmscore.filled(keys, counts)
+    model = lmscore.Filter(np.array([True]), np.array([size], np.uint64), np.array([0]), raw)
+    level = model.level(keys, np.zeros(len(keys), np.uint64))
+    exact = lmscore.levels_of(counts)
+    assert (level >= exact).all() and (level == exact).mean() > 0.9
+    other = rng.integers(2**63, 2**64, 5000, dtype=np.uint64)
+    assert (model.level(other, np.zeros(5000, np.uint64)) > 0).mean() < 0.06
+
+
+def test_urls(spark):
+    cases = [
+        ("http://www.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        ("https://a.example.com/en/2?x=/fr/", "a.example.com", "/en/2", "example.com/en/", "block"),
+        ("https://a.example.com/fr/2#top", "a.example.com", "/fr/2", "com/", "allow"),
+        ("http://x.net/es/", "x.net", "/es/", "net/es/", "block"),
+        ("http://x.net", "x.net", "", None, None),
+        ("http://x.com?q=/", "x.com", "", None, None),
+        ("http://notexample.com/en/1", "notexample.com", "/en/1", "com/", "allow"),
+        ("nothing", "", "", None, None),
+        (None, "", "", None, None),
+        ("", "", "", None, None),
+        ("ftp://ÄB.ORG/a b\nc", "Äb.org", "/a b\nc", None, None),
+        ("http://" + "a" * 5000 + ".net/fr/x", "a" * 5000 + ".net", "/fr/x", "net/fr/", "block"),
+    ]
+    pages = [(i, c[0]) for i, c in enumerate(cases)] + [(None, cases[0][0]), (3, cases[3][0])]
+    df = spark.createDataFrame([(i, u, "<p>", "h", "r") for i, u in pages], "page_id long, url string, html string, host string, rule string")
+    got = urls.judge(df, trees=2).collect()
+    assert len(got) == len(pages)
+    by_id = {r.page_id: r for r in got}
+    for i, (_, host, path, rule, verdict) in enumerate(cases):
+        assert (by_id[i].host, by_id[i].path, by_id[i].rule) == (host, path, rule)
+        assert by_id[i].verdict == verdict if verdict else by_id[i].verdict in ("allow", "block")
+    assert urls.judge(df.limit(0)).count() == 0
+    assert {r.verdict for r in urls.judge(df.where("url IS NULL")).collect()} == {"allow"}
+
+
+def test_trees_learn_from_labelled_urls(spark):
+    rows = [(i, f"http://h{i}.org/" + ("a/" * 6 + f"{i:09d}" if i % 2 else "page"), i % 2) for i in range(300)]
+    df = spark.createDataFrame([(u, b) for _, u, b in rows], "url string, blocked int")
+    from pyspark.sql import functions as F
+
+    ready = df.withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
+    model = urls.train(ready.where("length(url) % 2 >= 0"))
+    scored = urls.features(ready, model["statistics"], model["prior"]).select("blocked", (urls.raw_score(model) > 0).cast("int").alias("p")).collect()
+    assert sum(r.blocked == r.p for r in scored) >= 290
+
+
+def brute_passages(rows, n):
+    seen = collections.defaultdict(set)
+    for d, t in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])].add(d)
+    out = []
+    for d, t in rows:
+        w = (t or "").encode().split()
+        start = None
+        for i in range(len(w) - n + 2):
+            repeats = i <= len(w) - n and len(seen[tuple(w[i : i + n])]) > 1
+            if repeats and start is None:
+                start = i
+            if not repeats and start is not None:
+                out.append((str(d), start, i - 1 - start + n))
+                start = None
+    return sorted(out)
+
+
+def test_passages(spark, rows, monkeypatch):
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.first_word, r.n_words) for r in got) == brute_passages(rows, 50)
+    assert any(140 <= (r.doc_id or 0) < 144 and r.n_words == 70 for r in got)
+    # small passages over a small vocabulary: many mixed contexts; several passes; spread keys
+    rng = random.Random(4)
+    common = [words(rng, 12, 9) for _ in range(6)]
+    mixed = [(i, " ".join(rng.choice([rng.choice(common), words(rng, 5, 9)]) for _ in range(8))) for i in range(60)]
+    monkeypatch.setattr(passages, "SPREAD", 3)
+    got = passages.repeated_passages(frame(spark, mixed), passage=12, gram=2, block=4, pass_keys=40, shard_windows=50).collect()
+    assert sorted((str(r.doc_id), r.first_word, r.n_words) for r in got) == brute_passages(mixed, 12)
+    assert passages.repeated_passages(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_lines(spark, rows):
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(frame(spark, rows)).collect()}
+    assert got[150].text == "\n".join(rows[[d for d, _ in rows].index(150)][1].split("\n")[::2]) and (got[150].n_lines, got[150].n_dropped) == (3, 1)
+    before = dict(rows)
+    assert all(got[d].text == before[d] for d in got if d is not None and not 150 <= d < 180)
+    assert (got[201].n_lines, got[202].n_lines, got[203].n_lines) == (0, 1, 2)
+    kept = lines.stage(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows) and kept.first()["n_lines"] == "n"
+    assert lines.drop_recurring_lines(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_line_templates(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(" a  12\tb ",), ("a 7x b",), ("a mail@x b",), ("a b",)], "x string")
+    found = [r[0] for r in df.select(lines.template(lines.bare(F.col("x")))).collect()]
+    assert found == ["3|a <*> b|a <*> b"] * 3 + ["2|a b|a b"]
+
+
+def test_toxicity(spark, rows):
+    rng = random.Random(6)
+    bad = ["foul", "vile", "nasty"]
+    texts, grades = list(rows), []
+    for i in range(400):
+        severe = i % 3
+        texts.append((5000 + i, words(rng, 60) + (" " + " ".join(rng.choices(bad, k=1 + 4 * (severe == 2))) if severe else "")))
+        grades.append((5000 + i, int(severe > 0), int(severe != 2)))
+    labels = spark.createDataFrame([(d, q, t, 1) for d, t, q in grades[:250]] + [(None, 1, 1, 1), (5000, None, None, 1), (99999, 1, 1, 1)], "doc_id long, quality int, toxic int, text int")
+    df = frame(spark, texts)
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    assert all(got[d].rejected == bool(t) for d, t, _ in grades[250:])
+    assert not any(got[d].rejected for d, _ in rows)
+    assert all(abs(sum(r.grade_probabilities) - 1) < 1e-9 for r in got.values())
+    assert np.mean([got[d].severity for d, t, q in grades if not q]) > np.mean([got[d].severity for d, t, q in grades if t and q])
+    assert toxicity.toxicity(df, labels.limit(0)).where("rejected").count() == 0
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0
