@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,15 @@ def as_bytes(column: pa.Array) -> list:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again and would hold it through the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of MurmurHash3)."""
     x = np.array(x, dtype=np.uint64, ndmin=1)

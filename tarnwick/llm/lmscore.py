@@ -256,7 +256,9 @@ def scorer(shared, first_pass: bool, bigram_weight: float):
             most = np.where(is_hot >= 0, hot.counts[is_hot], 2.0 ** (high / STEPS))
             pair = grams(h, context[context_at], (is_hot >= 0)[context_at])
             where = shard_of(pair, shards)
-            low, here = model.level(pair, where), model.has(where)
+            here = model.has(where)
+            distinct_pairs, pair_at = np.unique(pair, return_inverse=True)  # sorted: probes stay near each other
+            low = model.level(distinct_pairs, shard_of(distinct_pairs, shards))[pair_at]
             # a pair counts for the least its level allows, its context for the most
             ratio = np.where(low > 0, 2.0 ** ((low - 1) / STEPS), 0.0) / most[context_at]
             p = np.where(((high > 0) | (is_hot >= 0))[context_at], bigram_weight * np.minimum(ratio, 1.0) + (1 - bigram_weight) * p_uni, p_uni)
@@ -345,7 +347,7 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
         for shard, bits, part in built.where(F.col("shard").isin(group)).select("shard", "bits", "filter").toLocalIterator():
             size[shard], base[shard] = bits, len(raw)
             raw += part
-        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, mine, size, base, bytes(raw)))
+        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, mine, size, base, raw))
         found = source.mapInArrow(scorer(shared, i == 0, bigram_weight), SUMS)
         parts = found if parts is None else parts.unionByName(found)
     rest = counts if at is None else counts.where(level < at)

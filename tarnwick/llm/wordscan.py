@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import mixed, row_keys
+from .common import mixed, release, row_keys
 
 #: Bytes of text that are worked on at once; one longer text is its own part.
 PART = 1_000_000
@@ -82,13 +82,16 @@ class Scanner:
         """(rows, row keys, hashes, starts) for parts of a partition; a null text is empty."""
         seen = 0
         for data in batches:
-            texts = data.column(column).fill_null("").cast(pa.large_binary())
+            texts = data.column(column)
+            if texts.null_count:
+                texts = texts.fill_null("")
+            kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
             keys = row_keys(seen, data.num_rows)
             seen += data.num_rows
             if not data.num_rows:
                 continue
             _, places, raw = texts.buffers()
-            offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            offsets = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             flat = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
             i = 0
             while i < len(texts):
@@ -97,3 +100,4 @@ class Scanner:
                 hashes, starts = self.words(flat[a:b], offsets[i : j + 1] - a)
                 yield data.slice(i, j - i), keys[i:j], hashes, starts
                 i = j
+            release()
