@@ -8,13 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words too common in titles to tell two apart.
-GENERIC_TITLE_WORDS = ("a", "an", "and", "approach", "based", "by", "for", "from", "in", "into", "learning", "method", "model", "of", "on", "the", "to", "towards", "using", "via", "with")
-#: What marks a title as that of a survey.
-SURVEY_MARKERS = ("survey", "review", "systematic literature")
-#: Citation intents by the names that services and classifiers give them.
-SERVICE_INTENTS = {"background": "background", "methodology": "method", "method": "method", "result": "comparison", "comparison": "comparison"}
-CLASSIFIER_INTENTS = {"background": "background", "method": "method", "result": "comparison", "label_0": "background", "label_1": "method", "label_2": "comparison"}
+from tarnwick.functions.vocabulary import CLASSIFIER_INTENTS, GENERIC_TITLE_WORDS, SERVICE_INTENTS, SURVEY_MARKERS  # noqa: F401
 
 
 def title_key(title: Column) -> Column:

@@ -201,28 +201,31 @@ def holding(patterns: DataFrame, docs: DataFrame, block: int = 20_000) -> DataFr
     return spark.createDataFrame([], "pattern_id long, paper_id long") if found is None else found
 
 
-def resolve_titles(gold: DataFrame, papers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(title_id, paper_id, strategy) of each gold title: by its whole key, what stands before a colon, an alias, or a part.
+def resolve_titles(gold: DataFrame, papers: DataFrame, aliases: dict[str, str] | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """(title_id, paper_id, strategy) of each gold title by the first way that works.
 
-    Of several papers the first by pos counts. An alias whose target no paper has resolves to nothing and no other
-    way is tried; titles that nothing resolves have nulls. Parts are keys of at least four characters within keys.
+    Ways: an anchor (key, paper_id) whose paper is there; the whole key; what stands before a colon; an alias's part of
+    a key; the key as part of a longer one (four characters at least). Of several papers the first by pos counts. Where
+    a title is an alias whose part no paper has, nothing else is tried; what nothing resolves has nulls.
     """
     keyed = papers.select("paper_id", "pos", T.marked_up_title_key(F.col("title")).alias("key"), T.marked_up_title_key(F.substring_index("title", ":", 1)).alias("head"), F.col("title").contains(":").alias("colon"))
     exact = keyed.where("key <> ''").groupBy("key").agg(F.min_by("paper_id", "pos").alias("exact"))
     heads = keyed.where("colon AND head <> ''").groupBy(F.col("head").alias("key")).agg(F.min_by("paper_id", "pos").alias("head"))
-    wanted = gold.select("title_id", T.marked_up_title_key(F.col("title")).alias("key"))
-    joined = wanted.join(exact, "key", "left").join(heads, "key", "left")
-    if aliases is not None:
-        target = aliases.select("key", F.col("target").alias("t")).join(exact.select(F.col("key").alias("t"), F.col("exact").alias("alias")), "t", "left").select("key", "alias", F.lit(True).alias("is_alias"))
-        joined = joined.join(target, "key", "left")
+    joined = gold.select("title_id", T.marked_up_title_key(F.col("title")).alias("key")).join(exact, "key", "left").join(heads, "key", "left")
+    entries = F.create_map(*[F.lit(x) for pair in sorted((aliases or {}).items()) for x in pair]) if aliases else None
+    joined = joined.withColumn("target", F.try_element_at(entries, F.col("key")) if aliases else F.lit(None).cast("string"))
+    if anchors is not None:
+        there = anchors.select("key", F.col("paper_id").alias("anchor")).join(papers.select(F.col("paper_id").alias("anchor")).distinct(), "anchor", "left_semi")
+        joined = joined.join(there, "key", "left")
     else:
-        joined = joined.withColumn("alias", F.lit(None).cast("long")).withColumn("is_alias", F.lit(False))
-    open_titles = joined.where("exact IS NULL AND head IS NULL AND NOT coalesce(is_alias, false) AND length(key) >= 4")
-    parts = holding(open_titles.select(F.col("title_id").alias("pattern_id"), F.col("key").alias("text")), keyed.select("paper_id", F.col("key").alias("text")))
-    first = parts.join(keyed.select("paper_id", "pos"), "paper_id").groupBy(F.col("pattern_id").alias("title_id")).agg(F.min_by("paper_id", "pos").alias("part"))
+        joined = joined.withColumn("anchor", F.lit(None).cast(papers.schema["paper_id"].dataType))
+    pattern = F.coalesce("target", F.when(F.length("key") >= 4, F.col("key")))
+    still = joined.where("exact IS NULL AND head IS NULL AND anchor IS NULL").select(F.col("title_id").alias("pattern_id"), pattern.alias("text"))
+    parts = holding(still, keyed.select(F.col("pos").alias("paper_id"), F.col("key").alias("text")))
+    first = parts.groupBy(F.col("pattern_id").alias("title_id")).agg(F.min("paper_id").alias("pos")).join(keyed.select("pos", F.col("paper_id").alias("part")), "pos").drop("pos")
     out = joined.join(first, "title_id", "left")
-    strategy = F.when(F.col("exact").isNotNull(), "exact").when(F.col("head").isNotNull(), "colon").when(F.col("is_alias"), F.when(F.col("alias").isNotNull(), "alias")).when(F.col("part").isNotNull(), "substring")
-    return out.select("title_id", F.coalesce("exact", "head", F.when(F.col("is_alias"), F.col("alias")).otherwise(F.col("part"))).alias("paper_id"), strategy.alias("strategy"))
+    strategy = F.when(F.col("anchor").isNotNull(), "anchor").when(F.col("exact").isNotNull(), "exact").when(F.col("head").isNotNull(), "colon").when(F.col("part").isNotNull(), F.when(F.col("target").isNotNull(), "alias").otherwise("substring"))
+    return out.select("title_id", F.coalesce("anchor", "exact", "head", "part").alias("paper_id"), strategy.alias("strategy"))
 
 
 def close_titles(gold: list[str], keys: list[str], cutoff: float = 0.85) -> list[str | None]:

@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
-
-#: A recogniser's labels by the kinds they stand for.
-ENTITY_KINDS = {"method": "method", "model": "method", "dataset": "dataset", "material": "dataset", "metric": "metric", "task": "task"}
+from tarnwick.functions.vocabulary import ENTITY_KINDS
 
 
 def messages(system: str, examples: list[tuple[str, str]], title: Column, abstract: Column) -> Column:
@@ -67,8 +65,8 @@ def check_citations(cited: DataFrame, references: DataFrame, retrieved: DataFram
 
 
 def entity_kind(label: Column) -> Column:
-    """The kind that a recogniser's label stands for, B- and I- taken off; null if none."""
-    bare = F.regexp_replace(F.lower(F.trim(label)), "[bi]-", "")
+    """The kind that a recogniser's label stands for, marks of place and kind taken off; null if none."""
+    bare = F.regexp_replace(F.lower(F.trim(label)), "[bi]-|entity_|label_", "")
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(ENTITY_KINDS.items()) for x in pair]), bare)
 
 
