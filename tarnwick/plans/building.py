@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import text as T
 from tarnwick.operators import corpus, evaluation, extraction
 
+from . import greedy
 from . import views as V
 
 GRAPH_WORDS, TOPIC_WORDS = ("graph", "the", "que", "ung", "ción"), ("recommend", "tion", "der ", "la ")
@@ -185,6 +186,11 @@ def history_latest(spark, sf_dir):
     return evaluation.latest(h)
 
 
+def dedupe_greedy(spark, sf_dir):
+    """What the order-dependent pass keeps; no SQL expresses it."""
+    return greedy.greedy(V.papers(spark, sf_dir))
+
+
 P = f"WITH {V.PAPERS}"
 
 
@@ -270,5 +276,5 @@ QUERIES = (
     topic_gate, title_normalize, title_normalize_html, title_dup_pairs, dedupe_exact, first_seen_area, merge_seeds, merge_ids,
     balanced_select, seed_match, gold_resolution, gold_resolution_rate, top_cited, select_by_ids, extract_missing, survey_filter,
     corpus_stats, field_fill_rates, abstract_rebuild, id_normalize, context_records, llm_json_parse, prompt_messages,
-    citation_check, entity_dedupe, weak_ner_spans, classifier_metrics, history_latest,
+    citation_check, entity_dedupe, weak_ner_spans, classifier_metrics, history_latest, dedupe_greedy,
 )

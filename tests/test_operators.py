@@ -101,6 +101,15 @@ def test_greedy_dedupe_keeps_the_fuller_in_the_first_slot():
     assert [r["id"] for r in corpus.greedy_dedupe(iter(rec))] == ["b", "d"]
 
 
+def test_greedy_dedupe_over_a_corpus(spark):
+    from tarnwick.plans.greedy import components, greedy
+
+    p = papers(spark, ("LightGCN", "short"), ("lightgcn: simplifying and powering", "a longer one"), ("Alpha beta gamma", "x"), ("alpha, beta gamma", "x"), ("Other", ""), ("", "y"))
+    assert sorted(r.paper_id for r in greedy(p).collect()) == [1, 2, 4]
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9), (3, 0)], "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    assert {r.rep: r.component for r in components(pairs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 5: 5, 9: 5}
+
+
 def test_title_resolution(spark):
     p = papers(spark, ("LightGCN: Simplifying GCN", ""), ("SiReN: Sign-Aware", ""), ("Neural Graph Collaborative Filtering", ""), ("DiffNet", ""), ("DiffNet++", ""), ("SelfGNN: x", ""))
     gold = spark.createDataFrame([(1, "LightGCN"), (2, "<i>SiReN</i>"), (3, "NGCF"), (4, "DiffNet"), (5, "DiffNet++"), (6, "FGNN"), (7, "Collaborative Filter"), (8, "zzz")], "title_id long, title string")
