@@ -40,11 +40,12 @@ def greedy(papers: DataFrame) -> DataFrame:
 
     Records of one title key meet in one slot, and one that is no fuller than an earlier one of its key never changes
     it; so of equal keys and fullness the first counts, and copies are combined before they meet. Blank titles match
-    nothing and are left out.
+    nothing and are left out. A title that meets no other needs no pass: its fullest record stays, the first of equal ones.
     """
     keyed = papers.select("paper_id", "pos", T.title_key(F.col("title")).alias("key"), corpus.completeness().alias("c")).where("key <> ''")
     first = keyed.groupBy("key", "c").agg(F.min_by("paper_id", "pos").alias("paper_id"), F.min("pos").alias("pos"))
     reps = keyed.groupBy("key").agg(F.min("paper_id").alias("rep"))
     linked = first.join(reps, "key").join(components(corpus.duplicate_titles(papers)), "rep", "left")
-    records = linked.select(F.coalesce("component", "rep").cast("long").alias("component"), F.col("paper_id").cast("long"), F.col("pos").cast("long"), "key", F.col("c.has").alias("has"), F.col("c.n").alias("n"))
-    return records.groupBy("component").applyInPandas(fold, "component long, paper_id long")
+    alone = linked.where("component IS NULL").groupBy(F.col("rep").cast("long").alias("component")).agg(F.max_by("paper_id", F.struct("c", (-F.col("pos")).alias("p"))).cast("long").alias("paper_id"))
+    records = linked.where("component IS NOT NULL").select(F.col("component").cast("long"), F.col("paper_id").cast("long"), F.col("pos").cast("long"), "key", F.col("c.has").alias("has"), F.col("c.n").alias("n"))
+    return alone.unionByName(records.groupBy("component").applyInPandas(fold, "component long, paper_id long"))
