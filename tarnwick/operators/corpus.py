@@ -95,10 +95,11 @@ def greedy_dedupe(records: Iterator[dict]) -> list[dict]:
     kept: list[dict] = []
     by_id: dict = {}
     by_key: dict = {}
+    words = SignificantWords()
     for r in records:
         at = next((by_id[i] for i in r["ids"] if i in by_id), by_key.get(r["key"]) if r["key"] else None)
         if at is None and r["key"]:
-            at = next((n for key, n in by_key.items() if titles_match(key, r["key"])), None)
+            at = next((n for key, n in by_key.items() if titles_match(key, r["key"], words)), None)
         if at is None:
             at = len(kept)
             kept.append(r)
@@ -113,12 +114,19 @@ def greedy_dedupe(records: Iterator[dict]) -> list[dict]:
     return kept
 
 
-def titles_match(a: str, b: str) -> bool:
+class SignificantWords(dict):
+    """The words of title keys that are not generic, remembered by key."""
+
+    def __missing__(self, key: str) -> frozenset[str]:
+        value = self[key] = frozenset(key.split()) - frozenset(T.GENERIC_TITLE_WORDS)
+        return value
+
+
+def titles_match(a: str, b: str, words: SignificantWords) -> bool:
     """duplicate_titles' rule for two title keys."""
     if a == b:
         return True
-    generic = set(T.GENERIC_TITLE_WORDS)
-    wa, wb = set(a.split()) - generic, set(b.split()) - generic
+    wa, wb = words[a], words[b]
     short, long = (wa, wb) if len(wa) <= len(wb) else (wb, wa)
     if len(short) == 1 and len(next(iter(short))) >= 4:
         return short <= long
