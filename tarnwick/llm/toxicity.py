@@ -21,9 +21,12 @@ SAMPLE = 20_000
 #: Besides whole words, the first so many characters of a word are features: languages that inflect share stems.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Features kept at most, and what a feature's log-likelihood ratio must exceed the log of their number by.
-FEATURES, EVIDENCE = 5_000, 3.0
+FEATURES, EVIDENCE = 5_000, 0.0
 #: Steps of gradient descent, their length, and the pull of all weights towards zero at each.
-STEPS, RATE, SHRINK = 300, 0.5, 1e-4
+STEPS, RATE, SHRINK = 600, 0.5, 1e-5
+#: What the thresholds above the lowest count for in the shared weights. Which toxic texts are of the higher grade hangs
+#: on quality, which their words tell little of: at full weight these thresholds hold down what the lowest one learns.
+UPPER = 0.001
 #: A text is rejected if its expected severity is at least this.
 REJECT = 0.5
 
@@ -99,7 +102,7 @@ class OrdinalModel:
         return sum(above), [a - b for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> OrdinalModel:
+def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, upper: float = UPPER) -> OrdinalModel:
     """Fits shared weights and cuts to graded feature sets by gradient descent (AdaGrad with soft thresholding)."""
     top = int(grades.max(initial=0))
     if not len(grades) or top == 0:
@@ -111,11 +114,12 @@ def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: i
     cuts = -np.log(rates / (1 - rates))
     w = np.zeros(len(names))
     w_sum, cut_sum = np.full(len(names), 1e-8), np.full(top, 1e-8)
+    counts_for = np.array([1.0] + [upper] * (top - 1))
     for _ in range(steps):
         z = np.bincount(row, weights=w[col], minlength=len(grades))
         p = 1.0 / (1.0 + np.exp(np.clip(cuts[:, None] - z[None, :], -30, 30)))
         error = (p - above) / len(grades)
-        g = np.bincount(col, weights=error.sum(axis=0)[row], minlength=len(names))
+        g = np.bincount(col, weights=(counts_for @ error)[row], minlength=len(names))
         gc = -error.sum(axis=1)
         w_sum += g * g
         cut_sum += gc * gc
