@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
+from tarnwick.sources.shared import written
 
 #: Overlap of the shorter title's words, and ratio of the titles' lengths, from which titles are duplicates.
 OVERLAP, LENGTH_RATIO, LEAST_WORDS = 0.9, 0.75, 3
+#: Likeness from which a title resolves to the closest one.
+CLOSE = 0.85
 
 
 def with_abstract(papers: DataFrame) -> DataFrame:
@@ -236,8 +242,84 @@ def resolve_titles(gold: DataFrame, papers: DataFrame, aliases: dict[str, str] |
     return out.select("title_id", F.coalesce("anchor", "exact", "head", "part").alias("paper_id"), strategy.alias("strategy"))
 
 
-def close_titles(gold: list[str], keys: list[str], cutoff: float = 0.85) -> list[str | None]:
-    """The key most like each title (Ratcliff-Obershelp), if any reaches the cutoff."""
-    from difflib import get_close_matches
+def close_titles(gold: DataFrame, papers: DataFrame, cutoff: float = CLOSE, block: int = 2_000_000) -> DataFrame:
+    """(title_id, paper_id, ratio): the paper whose title key is most like each gold key, if any reaches the cutoff.
 
-    return [next(iter(get_close_matches(g, keys, n=1, cutoff=cutoff)), None) for g in gold]
+    gold has title_id and key, papers have paper_id, pos and key; of equal ratios the greater key counts, of equal keys
+    the first paper. Likeness is Ratcliff-Obershelp's 2M/T. Gold keys go to the papers in blocks of about ``block``
+    characters and each task keeps its own best, so neither what is broadcast nor what is shuffled grows with the
+    papers. Pairs whose lengths, or whose longest common subsequence, rule out the cutoff are not compared further.
+    """
+    spark = papers.sparkSession
+    keys = papers.where("key <> ''").groupBy("key").agg(F.min_by("paper_id", "pos").alias("paper_id"))
+    # Comparing costs far more than the keys weigh, so partitions must not be merged by their size.
+    spread = keys.select("key").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def scan_for(wanted: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(sorted(wanted, key=lambda g: len(g[1])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            targets = [CloseTitle(i, key) for i, key in shared.value]
+            lengths = [len(t.key) for t in targets]
+            for data in batches:
+                for key in data.column(0).to_pylist():
+                    first = bisect_left(lengths, len(key) * cutoff / (2 - cutoff) - 1)
+                    last = bisect_right(lengths, len(key) * (2 - cutoff) / cutoff + 1)
+                    for t in targets[first:last]:
+                        t.meet(key, cutoff)
+            hits = [t for t in targets if t.best]
+            yield pa.RecordBatch.from_arrays([pa.array([t.title_id for t in hits], pa.int64()), pa.array([t.best[0] for t in hits], pa.float64()), pa.array([t.best[1] for t in hits], pa.string())], names=["title_id", "ratio", "key"])
+
+        return spread.mapInArrow(run, "title_id long, ratio double, key string")
+
+    parts, held, size = [], [], 0
+    for r in gold.where("key <> ''").select(F.col("title_id").cast("long"), "key").toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= block:
+            parts.append(scan_for(held))
+            held, size = [], 0
+    if held or not parts:
+        parts.append(scan_for(held))
+    best = reduce(DataFrame.unionByName, parts).groupBy("title_id").agg(F.max(F.struct("ratio", "key")).alias("best"))
+    return best.select("title_id", "best.ratio", "best.key").join(keys, "key").select("title_id", "paper_id", "ratio")
+
+
+class CloseTitle:
+    """A gold key and the likest title key it has met."""
+
+    def __init__(self, title_id: int, key: str):
+        self.title_id, self.key = title_id, key
+        self.best: tuple[float, str] | None = None
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(key):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+
+    def common(self, other: str) -> int:
+        """Length of the longest common subsequence, a column of the table at a time as the bits of one number."""
+        full = (1 << len(self.key)) - 1
+        open_ = full
+        for c in other:
+            hit = open_ & self.places.get(c, 0)
+            open_ = (open_ + hit | open_ - hit) & full
+        return len(self.key) - open_.bit_count()
+
+    def meet(self, other: str, cutoff: float) -> None:
+        least = self.best[0] if self.best else cutoff
+        if 2.0 * self.common(other) / (len(self.key) + len(other)) < least:
+            return
+        ratio = SequenceMatcher(None, other, self.key).ratio()
+        if ratio >= least and (self.best is None or (ratio, other) > self.best):
+            self.best = (ratio, other)
+
+
+def resolve_close(gold: DataFrame, papers: DataFrame, aliases: dict[str, str] | None = None, anchors: DataFrame | None = None, cutoff: float = CLOSE) -> DataFrame:
+    """resolve_titles, and for titles that it leaves open and that are no alias the closest title ("fuzzy")."""
+    found = written(resolve_titles(gold, papers, aliases, anchors), "resolved")
+    key = T.marked_up_title_key(F.col("title"))
+    left = gold.select("title_id", key.alias("key")).join(found.where("paper_id IS NULL").select("title_id"), "title_id", "left_semi")
+    if aliases:
+        left = left.where(~F.col("key").isin(*aliases))
+    close = close_titles(left, papers.select("paper_id", "pos", key.alias("key")), cutoff).select("title_id", F.col("paper_id").alias("close"))
+    joined = found.join(close, "title_id", "left")
+    return joined.select("title_id", F.coalesce("paper_id", "close").alias("paper_id"), F.when(F.col("close").isNotNull(), "fuzzy").otherwise(F.col("strategy")).alias("strategy"))

@@ -93,6 +93,11 @@ def missing(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     return wanted.join(cached.select("paper_id"), "paper_id", "left_anti")
 
 
+def sampled(df: DataFrame, n: int, seed: int = 0, by: str = "paper_id") -> DataFrame:
+    """n rows at random, the same ones for the same seed: those whose ids hash lowest with it."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(by), F.lit(seed))), by).limit(n)
+
+
 def apply_model(df: DataFrame, column: str, model: Callable[[list], list], output: str = "output") -> DataFrame:
     """df (paper_id, column) with an injected model's answer for each value; batches of Arrow rows."""
 

@@ -83,6 +83,13 @@ def gold_resolution_rate(spark, sf_dir):
     return r.agg(F.count("*").alias("n"), F.count("paper_id").alias("n_resolved"), F.count_distinct("paper_id").alias("n_papers"), (F.count("paper_id") >= evaluation.RESOLVED * F.count("*")).alias("passes"))
 
 
+def gold_resolution_fuzzy(spark, sf_dir):
+    """Titles that lack their fourth character, for every paper whose id is divisible by 50."""
+    p = V.papers(spark, sf_dir)
+    gold = p.where("paper_id % 50 = 0").select(F.col("paper_id").alias("title_id"), F.concat(F.substring("title", 1, 3), F.expr("substring(title, 5)")).alias("title"))
+    return corpus.resolve_close(gold, p)
+
+
 def top_cited(spark, sf_dir):
     from tarnwick.operators import graph
 
@@ -100,6 +107,10 @@ def extract_missing(spark, sf_dir):
     return extraction.missing(V.papers(spark, sf_dir).select("paper_id", "lang"), V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id")))
 
 
+def card_sample(spark, sf_dir):
+    return extraction.sampled(V.papers(spark, sf_dir).select("paper_id", "origin", "lang"), 20, seed=7)
+
+
 def survey_filter(spark, sf_dir):
     """Pages whose markup does not name a survey or review."""
     return V.table(spark, sf_dir, "pages").where(~T.is_survey(F.col("html"))).select("page_id")
@@ -246,6 +257,7 @@ SELECT item_id, min(paper_id) AS paper_id, count(*) AS n FROM b JOIN p ON contai
     "top_cited": f"WITH {V.EDGES} SELECT vec_id AS node, (SELECT count(*) FROM edges WHERE dst = vec_id) AS in_degree FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20",
     "select_by_ids": "WITH w AS (SELECT unnest([doc_id, doc_id + 1000000000]) AS paper_id FROM labels) SELECT paper_id, lang, lang IS NULL AS is_missing FROM w LEFT JOIN documents ON doc_id = paper_id",
     "extract_missing": "SELECT doc_id AS paper_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "card_sample": f"{P} SELECT paper_id, origin, lang FROM papers ORDER BY md5(paper_id || ':7'), paper_id LIMIT 20",
     "survey_filter": "SELECT page_id FROM pages WHERE NOT (contains(lower(html), 'survey') OR contains(lower(html), 'review') OR contains(lower(html), 'systematic literature'))",
     "corpus_stats": f"{P} SELECT origin, count(*) AS n, count(*) FILTER (abstract <> '') AS with_abstract, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM papers GROUP BY 1",
     "field_fill_rates": f"{P} " + " UNION ALL ".join(f"SELECT '{c}' AS field, round_even(100 * avg(CASE WHEN trim({c}, ' ') <> '' THEN 1.0 ELSE 0.0 END), 1) AS rate FROM papers" for c in ("title", "abstract", "origin")),
@@ -274,7 +286,8 @@ SELECT round(avg(CASE WHEN nl + np > 0 THEN 2.0 * tp / (nl + np) END), 6) AS mac
 
 QUERIES = (
     topic_gate, title_normalize, title_normalize_html, title_dup_pairs, dedupe_exact, first_seen_area, merge_seeds, merge_ids,
-    balanced_select, seed_match, gold_resolution, gold_resolution_rate, top_cited, select_by_ids, extract_missing, survey_filter,
+    balanced_select, seed_match, gold_resolution, gold_resolution_rate, gold_resolution_fuzzy,
+    top_cited, select_by_ids, extract_missing, card_sample, survey_filter,
     corpus_stats, field_fill_rates, abstract_rebuild, id_normalize, context_records, llm_json_parse, prompt_messages,
     citation_check, entity_dedupe, weak_ner_spans, classifier_metrics, history_latest, dedupe_greedy,
 )

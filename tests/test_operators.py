@@ -1,6 +1,8 @@
 """Small worked examples for the library's operators."""
 
 import math
+import random
+from difflib import get_close_matches
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,7 +120,21 @@ def test_title_resolution(spark):
     anchors = spark.createDataFrame([("diffnet", 5), ("zzz", 77)], "key string, paper_id long")
     got = {r.title_id: (r.paper_id, r.strategy) for r in corpus.resolve_titles(gold, p, anchors=anchors).collect()}
     assert (got[4], got[8]) == ((5, "anchor"), (None, None))
-    assert corpus.close_titles(["Hypergraph Contrastive Collaborativ Filtering"], ["hypergraph contrastive collaborative filtering"], 0.8) == ["hypergraph contrastive collaborative filtering"]
+    r = corpus.resolve_close(gold.limit(0).unionByName(spark.createDataFrame([(1, "Hypergraph Contrastive Collaborativ Filtering"), (2, "FGNN"), (3, "")], gold.schema)), papers(spark, ("Hypergraph Contrastive Collaborative Filtering", ""), ("SelfGNN: x", "")), vocabulary.TITLE_ALIASES)
+    assert {x.title_id: x.strategy for x in r.collect()} == {1: "fuzzy", 2: None, 3: None}
+
+
+def test_close_titles_are_the_closest_of_all(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices("abc de", k=rng.randrange(1, 40))).strip() for _ in range(150)] + ["", "long " * 60, "long " * 59 + "lung"]
+    keys += keys[:5]
+    gold = ["".join(c for c in k if rng.random() > 0.08) for k in keys[:60]] + ["", "x", "long " * 60 + "end"]
+    p = spark.createDataFrame([(100 + i, i, k) for i, k in enumerate(keys)], "paper_id long, pos long, key string").repartition(3)
+    got = {r.title_id: (r.paper_id, r.ratio) for r in corpus.close_titles(spark.createDataFrame(list(enumerate(gold)), "title_id long, key string"), p, block=300).collect()}
+    for i, g in enumerate(gold):
+        hit = get_close_matches(g, [k for k in keys if k], n=1, cutoff=0.85) if g else []
+        assert got.get(i, (None,))[0] == (100 + keys.index(hit[0]) if hit else None)
+    assert corpus.close_titles(p.limit(0).select(F.col("pos").alias("title_id"), "key"), p).count() == 0
 
 
 def test_balanced_selection(spark):
