@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tarnwick.llm import decontaminate, lines, packing, simhash, toxicity
+from tarnwick.llm import decontaminate, lines, nearcopies, packing, toxicity
 from tarnwick.llm.common import table, written
 
 #: (name, function of (spark, docs, sf_dir)); each works on all that the one before it kept.
 STAGES = [
     ("toxicity", toxicity.stage),
     ("line dedup", lines.stage),
-    ("near-dedup", simhash.stage),
+    ("near-dedup", nearcopies.stage),
     ("decontamination", decontaminate.stage),
     ("packing", packing.stage),
 ]

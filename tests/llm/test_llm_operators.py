@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tarnwick.llm import chats, decontaminate, lines, lmscore, packing, passages, simhash, topk, toxicity, urls
+import corpus_pipeline
+from tarnwick.llm import chats, decontaminate, lines, lmscore, nearcopies, packing, passages, simhash, topk, toxicity, urls
 from tarnwick.llm.components import connected_components
 from tarnwick.llm.wordscan import Scanner, split_letters, split_white
 
@@ -161,6 +162,36 @@ def test_simhash(spark, rows):
     assert set(kept[0].asDict()) == set(frame(spark, rows).columns)
 
 
+def brute_groups(texts):
+    """Numbers of texts that are linked by a Jaccard similarity of five-word shingles of at least 0.8."""
+    sets = []
+    for t in texts:
+        w = tokens(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) * 5 >= 4 * len(x | y):
+                a, b = sorted((low[i], low[j]))
+                low = [a if k == b else k for k in low]
+    return low
+
+
+def test_near_dedup_stage_finds_every_pair_of_similar_texts(spark):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(1, 200)) for _ in range(30)]
+    for base in list(texts):
+        for rate in (0.01, 0.02, 0.03):
+            texts.append(" ".join(edited(rng, base.split(), rate)))
+    base = words(rng, 300).split()
+    texts += [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in range(100)]  # a large group
+    texts += ["Other ends " + " ".join(base[:30]) + " " + words(rng, 100) for _ in range(20)] + [None, "", " ", texts[4].upper()]
+    df = frame(spark, list(enumerate(texts)))
+    got = dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(brute_groups(texts)))
+    assert set(got[0].asDict()) == set(df.columns) and nearcopies.stage(spark, df.limit(0), "").count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300 + i) for i in range(40)] + [(7, 7)]
