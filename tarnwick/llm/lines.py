@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, fresh, written
+from .nearcopies import near_copies
 
 #: Leading tokens that lead to a leaf of the tree; together with the token count its fixed depth.
 DEPTH = 3
@@ -62,12 +63,27 @@ def recurring(lines: DataFrame, support: int, spread: float) -> DataFrame:
     return totals.where((F.col("docs") >= support) & (F.col("around") >= F.lit(spread) * F.col("n"))).select("template")
 
 
-def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: float = SPREAD, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def recurring_in_classes(lines: DataFrame, classes: DataFrame, support: int) -> DataFrame:
+    """Hashes of the templates that stand in at least ``support`` classes (key, group) of documents, each counted once."""
+    held = lines.select("template", "key").distinct()
+    often = held.groupBy("template").count().where(F.col("count") >= support).select("template")
+    counted = held.join(often, "template").join(classes.select("key", "group").distinct(), "key").select("template", "group").distinct()
+    return counted.groupBy("template").count().where(F.col("count") >= support).select("template")
+
+
+def text_key() -> Column:
+    """Tells documents apart."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: float = SPREAD, classes: DataFrame | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs without the lines whose template recurs across documents, with ``n_lines`` and ``n_dropped``.
 
     A template is what is left of a line when its variable fields (tokens with a digit, a mail or web address) are
     wildcards, found by its token count and leading tokens. It recurs if it stands in at least ``support``
-    documents in different surroundings, and these make up at least the share ``spread`` of its lines.
+    documents in different surroundings, and these make up at least the share ``spread`` of its lines. With
+    ``classes`` (key, group), where key is text_key's, it recurs if it stands in at least ``support`` groups,
+    whatever its surroundings.
 
     Lines end at a line feed. Lines without tokens always stay. A null text stays null, with no lines; an empty one
     is one line. All columns and rows stay, repeated rows and null ids included; columns that have the names of the
@@ -75,10 +91,10 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in (n_lines.lower(), n_dropped.lower())])
     key, drop = fresh(docs, "key"), fresh(docs, "drop")
-    own = F.xxhash64(F.col("doc_id"), F.col("text"))
+    own = text_key()
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
-    bad = written(recurring(lines, support, spread), "templates")
+    bad = written(recurring(lines, support, spread) if classes is None else recurring_in_classes(lines, classes, support), "templates")
     if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         bad = F.broadcast(bad)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
@@ -92,5 +108,10 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with their recurring lines taken out, with the columns they came with."""
-    return drop_recurring_lines(docs, n_lines=fresh(docs, "n_lines"), n_dropped=fresh(docs, "n_dropped")).select(*columns_of(docs))
+    """Pipeline stage: documents with their recurring lines taken out, with the columns they came with.
+
+    A line counts once for each group of near copies that holds it, so lines that always have the same neighbours
+    recur too, and copies do not lose their lines to each other.
+    """
+    classes = written(near_copies(docs, text_key()), "line-classes")
+    return drop_recurring_lines(docs, classes=classes, n_lines=fresh(docs, "n_lines"), n_dropped=fresh(docs, "n_dropped")).select(*columns_of(docs))

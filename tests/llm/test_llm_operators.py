@@ -401,6 +401,20 @@ def test_lines(spark, rows):
     assert lines.drop_recurring_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_stage_counts_each_group_of_copies_once(spark):
+    rng = random.Random(15)
+    footer, block = ["First footer line.", "Les."], ["Share this", "Tweet that", "Print me", "All rights held."]
+    docs = [(i, [*[words(rng, 12) for _ in range(4)], *(footer if i < 40 else block)]) for i in range(80)]
+    body = [words(rng, 40) for _ in range(6)]
+    copies = [(1000 + i, [*body[:5], f"{body[5]} copy" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10], *footer]) for i in range(60)]
+    copies += [(2000 + i, copies[0][1]) for i in range(60)]
+    texts = {d: "\n".join(x) for d, x in docs + copies + [(3000, ["Les."]), (3001, ["Les."])]}
+    got = {r.doc_id: r.text for r in lines.stage(spark, frame(spark, list(texts.items())), "").collect()}
+    assert all(got[d] == "\n".join(x[:4]) for d, x in docs)
+    assert all(got[d] == "\n".join(x[:6]) for d, x in copies)
+    assert got[3000] == got[3001] == ""
+
+
 def test_line_templates(spark):
     from pyspark.sql import functions as F
 
