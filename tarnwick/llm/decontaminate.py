@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_blocks, columns_of, fresh, table
@@ -241,6 +241,12 @@ def aligner(shared):
     return run
 
 
+def folded(text: Column) -> Column:
+    """The text with the case of all letters folded; sharp s and final sigma, which have no upper case of their own, too."""
+    lower = F.lower(text.cast("string"))
+    return F.replace(F.replace(lower, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 LEAKS = "row long, doc_id long, item_id long, similarity double, score long, first_word long, n_words long, n_matched long"
 
 
@@ -248,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARI
     """One row for each text and test item that it holds a copy of, edited copies included.
 
     An item is leaked if its best local alignment has a similarity of at least ``similarity``: matched words over
-    the columns of the alignment and the item's words outside it. The case of A-Z and ASCII punctuation do not count. Items without
+    the columns of the alignment and the item's words outside it. The case of letters and ASCII punctuation do not count. Items without
     words match nothing; null texts hold nothing; repeated rows (told apart by ``row``) and repeated items each give
     their own rows; null ids stay null; other columns are ignored; empty tables give no rows.
 
@@ -257,8 +263,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARI
     second scan; around them, stretches with too few of the item's n-grams are passed over and the others aligned.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.col("text")).alias("text"))
+    tests = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), folded(F.col("text")).alias("text"))
     found = None
     for block in by_blocks(tests.toLocalIterator(), item_block):
         items = [tuple(r) for r in block]

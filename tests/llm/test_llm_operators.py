@@ -271,6 +271,14 @@ def test_decontamination(spark, rows):
     assert decontaminate.leaks(frame(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_folds_the_case_of_all_letters(spark):
+    item = "Où était l'élève âgé né à Orléans après l'été où naît la forêt dorée straße über größe"
+    texts = [(1, item.upper()), (2, "Voilà " + item.lower() + " fin"), (3, item.replace("é", "x"))]
+    benchmark = spark.createDataFrame([(5, item), (6, item.upper())], "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(1, 5, 1.0), (1, 6, 1.0), (2, 5, 1.0), (2, 6, 1.0)]
+
+
 def test_alignment():
     score, first, end, matches, similarity = decontaminate.align([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5, 9])
     assert (score, first, end, matches, similarity) == (7, 1, 6, 4, 0.8)
