@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A tool's arguments: (name, type, required, least length or value). Types: string, integer, number, boolean.
@@ -69,8 +69,9 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     """One canonical JSON line for each event: messages, calls with what validation says, and results with their call.
 
     messages has conv_id, turn, role and text; calls conv_id, turn, call_id, name and arguments (JSON); results
-    conv_id, turn, call_id and content. Results join their call by call_id. Of repeated calls of one id, the first by
-    turn and arguments counts, so a result never meets two; results without a call have status ``orphan``, calls
+    conv_id, turn, call_id and content. Results join their call by conv_id (null is one conversation) and
+    call_id. Of repeated calls of one id in a conversation, the first by turn, name and arguments is linked, so a result
+    never meets two; the others have status ``repeated``; results without a call have status ``orphan``, calls
     without a result ``open``. Tools without a schema accept any object.
 
     Order is topological: sorted by conv_id, order_turn, level and the rest, a result stands after its call even if
@@ -79,19 +80,20 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     they come; empty tables give no rows.
     """
     long_ids = [F.col("conv_id").cast("long"), F.col("turn").cast("long")]
-    first = calls.groupBy("call_id").agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("conv_id").cast("long").alias("conv_id"), "name", "arguments")).alias("call"))
-    first = first.where("call_id IS NOT NULL").select("call_id", "call")
+    own = calls.where("call_id IS NOT NULL").select(long_ids[0].alias("conv"), "call_id", F.struct(long_ids[1].alias("turn"), long_ids[0].alias("conv_id"), "name", "arguments").alias("call"))
+    each = own.withColumn("again", F.row_number().over(Window.partitionBy("conv", "call_id").orderBy("call")) > 1)
     status = F.lit("no schema")
     for name, schema in sorted(schemas.items()):
         status = F.when(F.col("call.name") == name, problem(F.col("call.arguments"), schema)).otherwise(status)
-    first = first.withColumn("status", status)
-    answered = results.groupBy("call_id").agg(F.count("*").alias("n"))
-    call_rows = first.join(answered, "call_id", "left").select(
+    each = each.withColumn("status", status)
+    answered = results.groupBy(long_ids[0].alias("answer_conv"), F.col("call_id").alias("answer_id")).agg(F.count("*").alias("n"))
+    call_rows = each.join(answered, (F.col("call_id") == F.col("answer_id")) & F.col("conv").eqNullSafe(F.col("answer_conv")), "left").select(
         F.col("call.conv_id").alias("conv_id"), F.col("call.turn").alias("order_turn"), F.lit(1).alias("level"), "call_id",
-        F.when(F.col("n").isNull(), F.concat(F.lit("open, "), "status")).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("again"), F.concat(F.lit("repeated, "), "status")).when(F.col("n").isNull(), F.concat(F.lit("open, "), "status")).otherwise(F.col("status")).alias("status"),
         canonical(arguments=F.col("call.arguments"), conv_id=F.col("call.conv_id"), id=F.col("call_id"), name=F.col("call.name"), role=F.lit("call"), turn=F.col("call.turn")).alias("json"),
     )
-    linked = results.select(long_ids[0].alias("conv_id"), long_ids[1].alias("turn"), "call_id", "content").join(first.select("call_id", F.col("call.turn").alias("call_turn"), F.col("call.name").alias("name")).withColumn("linked", F.lit(True)), "call_id", "left")
+    known = each.where(~F.col("again")).select("conv", F.col("call_id").alias("known_id"), F.col("call.turn").alias("call_turn"), F.col("call.name").alias("name"), F.lit(True).alias("linked"))
+    linked = results.select(long_ids[0].alias("conv_id"), long_ids[1].alias("turn"), "call_id", "content").join(known, (F.col("call_id") == F.col("known_id")) & F.col("conv_id").eqNullSafe(F.col("conv")), "left")
     result_rows = linked.select(
         "conv_id", F.greatest("turn", "call_turn").alias("order_turn"), F.lit(2).alias("level"), "call_id",
         F.when(F.col("linked"), "linked").otherwise("orphan").alias("status"),

@@ -233,6 +233,14 @@ def test_chats(spark):
     assert chats.format_turns(df.limit(0)).count() == 0
 
 
+def test_chats_keep_repeated_calls_and_link_within_a_conversation(spark):
+    call = json.dumps({"tool_calls": [{"id": "call_1", "name": "other", "arguments": "{}"}]})
+    rows = [(c, 1, "assistant", call) for c in (1, 2)] + [(2, 2, "tool", '{"tool_call_id":"call_1","content":"x"}'), (3, 2, "tool", '{"tool_call_id":"call_1","content":"y"}'), (4, 0, "user", "one"), (4, 0, "user", "two")]
+    got = chats.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    found = sorted((r.conv_id, r.level, r.status) for r in got if r.call_id in ("call_1", "4:0"))
+    assert found == [(1, 1, "open, no schema"), (2, 1, "no schema"), (2, 2, "linked"), (3, 2, "orphan"), (4, 1, "open, ok"), (4, 1, "repeated, ok")]
+
+
 def edited(rng, w, rate):
     out = []
     for x in w:
