@@ -228,14 +228,13 @@ class Filter:
 
 
 def scorer(shared, first_pass: bool, bigram_weight: float):
-    """Sums for each row: what is known here of both scores. The first pass also sends out its rare tokens."""
+    """Sums for each row: what is known here of both scores. Each token outside the table is sent out by the pass that has its bigram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_hash, known_count, hot_hash, hot_count, total, distinct, rare_mean, mine, size, base, raw = shared.value
+        known_hash, known_count, hot_hash, hot_count, total, distinct, mine, size, base, raw = shared.value
         hot = Hot(hot_hash, hot_count)
         model, shards = Filter(mine, size, base, raw), len(size)
         scale = math.log10(total + distinct + 1)
-        rare_log = math.log10(rare_mean + 1) - scale
         for part, _, h, starts in scanner().scan(batches):
             keys = np.asarray(part.column(2))
             h, begin = with_ends(h, starts)
@@ -244,7 +243,7 @@ def scorer(shared, first_pass: bool, bigram_weight: float):
             spot = np.minimum(np.searchsorted(known_hash, unique), max(0, len(known_hash) - 1))
             is_known = known_hash[spot] == unique if len(known_hash) else np.zeros(len(unique), bool)
             log_count = np.log10(np.where(is_known, known_count[spot] if len(known_hash) else 0, 0) + 1.0)
-            uni = np.where(is_known, log_count - scale, rare_log)
+            uni = log_count - scale
             p_uni = (10.0**uni)[back]
             context = np.append(unique, START)
             context_at = np.full(len(h), len(unique))
@@ -261,19 +260,22 @@ def scorer(shared, first_pass: bool, bigram_weight: float):
             low = model.level(distinct_pairs, shard_of(distinct_pairs, shards))[pair_at]
             # a pair counts for the least its level allows, its context for the most
             ratio = np.where(low > 0, 2.0 ** ((low - 1) / STEPS), 0.0) / most[context_at]
-            p = np.where(((high > 0) | (is_hot >= 0))[context_at], bigram_weight * np.minimum(ratio, 1.0) + (1 - bigram_weight) * p_uni, p_uni)
-            logs = np.add.reduceat(np.where(here, np.log10(p), 0.0), begin)
+            after_known, gain = ((high > 0) | (is_hot >= 0))[context_at], bigram_weight * np.minimum(ratio, 1.0)
+            p = np.where(after_known, gain + (1 - bigram_weight) * p_uni, p_uni)
+            common = is_known[back]
+            logs = np.add.reduceat(np.where(here & common, np.log10(p), 0.0), begin)
+            # the others' counts are joined: what the bigram adds goes along, -1 after an unknown context
+            at = np.flatnonzero(here & ~common)
+            row, gain = np.repeat(np.arange(len(keys)), lengths)[at], np.where(after_known, gain, -1.0)[at]
+            for i in range(0, len(at), 100_000):
+                r = row[i : i + 100_000]
+                nothing = np.zeros(len(r), np.int64)
+                yield _sums(h[at[i : i + 100_000]].view(np.int64), keys[r], part.column(0).take(pa.array(r)), nothing, nothing, nothing, gain[i : i + 100_000])
             docs = part.column(0)
             zero = np.zeros(len(keys), np.int64)
             if first_pass:
                 known = np.add.reduceat(is_known[back].astype(np.int64), begin)
                 base = np.add.reduceat(log_count[back], begin)
-                at = np.flatnonzero(~is_known[back])
-                row = np.repeat(np.arange(len(keys)), lengths)[at]
-                for i in range(0, len(at), 100_000):
-                    r = row[i : i + 100_000]
-                    nothing = np.zeros(len(r), np.int64)
-                    yield _sums(h[at[i : i + 100_000]].view(np.int64), keys[r], docs.take(pa.array(r)), nothing, nothing, nothing, nothing)
                 yield _sums(~keys, keys, docs, lengths, known, base, logs)
             else:
                 yield _sums(~keys, keys, docs, zero, zero, zero, logs)
@@ -300,8 +302,8 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. The base sums
     log10((c + 1) / (N + V + 1)) with exact counts: those of the ``frequent`` most frequent tokens are broadcast, the
     rest joined; tokens are told apart by 64-bit hashes. The score interpolates a bigram estimate with a unigram: the quantised counts of bigrams and of
-    their contexts are in a Bloom filter, stored at every level up to their own and read by probing upwards. In the
-    score's unigram, tokens outside the broadcast table share the mean of such tokens.
+    their contexts are in a Bloom filter, stored at every level up to their own and read by probing upwards. The
+    score's unigram is the base's: every count is exact, broadcast or joined, and only unseen tokens have count 0.
 
     The filter is built in shards, each by one task, as many as the training tokens need; bigrams are with their
     contexts, but those of hot contexts, whose counts are broadcast exactly, are spread. It is broadcast in passes of at most ``pass_bytes`` (and at least one shard); the sums of the passes add up.
@@ -327,8 +329,6 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
     hot_hash, hot_count = np.append(known_hash[popular], START), np.append(known_count[popular], ends[0] if len(ends) else 1)
     order = np.argsort(hot_hash)
     hot = (hot_hash[order], hot_count[order])
-    rare = distinct - len(known_hash)
-    rare_mean = (total - int(known_count.sum())) / rare if rare else 0.0
     shards = max(16, -(-2 * total // shard_grams))
     built = written(source.mapInArrow(count_grams(spark.sparkContext.broadcast(hot), shards), "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
     sizes = dict(built.select("shard", "bits").collect())
@@ -347,19 +347,22 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
         for shard, bits, part in built.where(F.col("shard").isin(group)).select("shard", "bits", "filter").toLocalIterator():
             size[shard], base[shard] = bits, len(raw)
             raw += part
-        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, rare_mean, mine, size, base, raw))
+        shared = spark.sparkContext.broadcast((known_hash, known_count, *hot, total, distinct, mine, size, base, raw))
         found = source.mapInArrow(scorer(shared, i == 0, bigram_weight), SUMS)
         parts = found if parts is None else parts.unionByName(found)
     rest = counts if at is None else counts.where(level < at)
     joined = parts.join(rest.withColumnRenamed("c", "rare"), "token", "left")
     # rows repeated as they are share a key; their equal sums are dealt out again
-    real = F.when(F.col("token") != F.bitwise_not("row"), F.col("rare"))
+    is_token = F.col("token") != F.bitwise_not("row")
+    real = F.when(is_token, F.col("rare"))
+    uni = (F.coalesce(F.col("rare"), F.lit(0)) + 1.0) / F.lit(float(total + distinct + 1))
+    mixture = F.when(F.col("model") < 0, uni).otherwise(F.col("model") + F.lit(1 - bigram_weight) * uni)
     sums = joined.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.count_if(F.col("n_tokens") > 0).alias("copies"),
         (F.sum("n_known") + F.count(real)).alias("n_known"),
         (F.sum("base") + F.coalesce(F.sum(F.log10(real + 1.0)), F.lit(0.0))).alias("base"),
-        F.sum("model").alias("score"),
+        F.sum(F.when(is_token, F.log10(mixture)).otherwise(F.col("model"))).alias("score"),
     )
     each = [(F.col(c) / F.col("copies")).cast(kind).alias(c) for c, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))]
     sums = sums.select("doc_id", *each, F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

@@ -321,6 +321,13 @@ def test_lm_scores(spark, rows, monkeypatch):
     assert lmscore.lm_scores(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "HOT_SHARE", 2.0)  # the same contexts are hot in both
+    texts = [(i, "common common rare" + "abcdefgh"[i % 8] + " once" + str(i)) for i in range(40)]
+    scores = [{r.doc_id: r.score for r in lmscore.lm_scores(frame(spark, texts), frequent=n).collect()} for n in (1_000_000, 5)]
+    assert all(math.isclose(scores[0][d], x, rel_tol=1e-9) for d, x in scores[1].items())
+
+
 def test_bloom_filter_gives_back_quantised_counts():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
