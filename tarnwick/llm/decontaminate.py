@@ -69,7 +69,7 @@ def align(item: list[int], window: list[int]) -> tuple[int, int, int, int, float
 
 
 def seed_length(m: int) -> int:
-    return min(m, SEED_WORDS if m >= LONG else 2 if m >= 5 else m)
+    return min(m, SEED_WORDS if m >= LONG else 2 if m >= 4 else m)
 
 
 def errors_allowed(m: int, similarity: float) -> int:

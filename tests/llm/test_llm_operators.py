@@ -287,6 +287,12 @@ def test_decontamination_folds_the_case_of_all_letters(spark):
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(1, 5, 1.0), (1, 6, 1.0), (2, 5, 1.0), (2, 6, 1.0)]
 
 
+def test_an_item_of_four_words_is_found_with_a_word_inserted(spark):
+    benchmark = spark.createDataFrame([(5, "alpha beta gamma delta")], "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, [(1, "so alpha beta other gamma delta it is")]), benchmark).collect()
+    assert [(r.doc_id, r.similarity) for r in got] == [(1, 0.8)]
+
+
 def test_alignment():
     score, first, end, matches, similarity = decontaminate.align([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5, 9])
     assert (score, first, end, matches, similarity) == (7, 1, 6, 4, 0.8)
