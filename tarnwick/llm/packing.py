@@ -21,6 +21,10 @@ CAPACITY, SLACK = 1024, 2
 FAN_IN, GROUP_BINS = 8, 50_000
 #: The id that ends each document.
 END_ID = 2
+#: Tokens whose pieces a task packs at once; the underfull bins of its next ones meet them in the merge tree.
+BLOCK_TOKENS = 16_000_000
+#: Bits that number the bins of one block.
+BLOCK_BITS = 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, offset long, load long"
 #: Texts beyond these characters go to the reference tokenizer; within them both libraries split alike.
@@ -34,7 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.reference = Tokenizer.from_file(json_path)
-        self.reference.encode_special_tokens = True
+        added = sorted(re.escape(t.content) for t in self.reference.get_added_tokens_decoder().values())
+        self.unusual = re.compile("|".join([UNUSUAL.pattern, *added]))  # added tokens are ids of their own in texts
         self.fast = None
         if ranks_path and pattern:
             import tiktoken
@@ -44,7 +49,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and not UNUSUAL.search(text):
+        if self.fast and not self.unusual.search(text):
             return self.fast.encode_ordinary(text)
         return self.reference.encode(text, add_special_tokens=False).ids
 
@@ -92,33 +97,37 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] * bool(head) + [(i, capacity) for i in range(head, n, capacity)]
 
 
-def local_packer(paths: tuple, capacity: int, end_id: int, keep_ids: bool):
-    """Tokenises and packs one partition of documents; only lengths and digests stay in memory."""
+def local_packer(paths: tuple, capacity: int, end_id: int, keep_ids: bool, block_tokens: int):
+    """Tokenises and packs one partition of documents, in blocks of about ``block_tokens``: no more stays in memory."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*paths)
-        docs, pieces, starts, lengths, sums, tokens = [], [], [], [], [], []
-        for data in batches:
-            for doc, text in zip(data.column(0).to_pylist(), as_bytes(data.column(1)), strict=True):
-                ids = np.array([*encoder.ids(text.decode()), end_id], dtype="<u4")
-                for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    raw = ids[start : start + length].tobytes()
-                    docs.append(doc)
-                    pieces.append(k)
-                    starts.append(start)
-                    lengths.append(length)
-                    sums.append(zlib.crc32(raw))
-                    tokens.append(raw if keep_ids else None)
+    def packed(docs, pieces, starts, lengths, sums, tokens, base: int) -> Iterator[pa.RecordBatch]:
         size = np.array(lengths, dtype=np.int64)
         order = np.argsort(-size, kind="stable")
         bins, places, loads = (np.empty(len(size), np.int64) for _ in range(3))
         bins[order], places[order], loads[order] = best_fit(size[order], capacity)
-        bins += np.int64(TaskContext.get().partitionId()) << 33
+        bins += base
         for i in range(0, len(size), 20_000):
             part = slice(i, i + 20_000)
             arrays = [pa.array(docs[part], pa.int64()), pa.array(pieces[part], pa.int32()), pa.array(starts[part], pa.int64()), pa.array(lengths[part], pa.int64()), pa.array(sums[part], pa.int64()), pa.array(tokens[part], pa.binary()), pa.array(bins[part]), pa.array(places[part]), pa.array(loads[part])]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bin", "offset", "load"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*paths)
+        base, held = np.int64(TaskContext.get().partitionId()) << 40, 0
+        block: tuple[list, ...] = ([], [], [], [], [], [])
+        for data in batches:
+            for doc, text in zip(data.column(0).to_pylist(), as_bytes(data.column(1)), strict=True):
+                ids = np.array([*encoder.ids(text.decode()), end_id], dtype="<u4")
+                for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                    raw = ids[start : start + length].tobytes()
+                    for column, value in zip(block, (doc, k, start, length, zlib.crc32(raw), raw if keep_ids else None), strict=True):
+                        column.append(value)
+                held += len(ids)
+                if held >= block_tokens or len(block[0]) >= 1 << BLOCK_BITS:
+                    yield from packed(*block, base)
+                    base, held, block = base + (1 << BLOCK_BITS), 0, ([], [], [], [], [], [])
+        yield from packed(*block, base)
+
     return pack
 
 
@@ -140,21 +149,23 @@ def merger(capacity: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer_paths: tuple, *, capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, keep_ids: bool = True, fan_in: int = FAN_IN, group_bins: int = GROUP_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_paths: tuple, *, capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, keep_ids: bool = True, fan_in: int = FAN_IN, group_bins: int = GROUP_BINS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The pieces of all documents with their sequence and place in it, in as few sequences as best fit finds.
 
     Only documents longer than ``capacity`` are cut; the first piece may be shorter. A null or empty text is the end
     id alone; a null doc_id stays null; repeated rows are packed as often as they come; other columns are ignored; an
     empty table gives no rows. With ``keep_ids`` the pieces carry their ids (unsigned, 32 bits, little-endian).
 
-    Each partition packs its own pieces by best fit, longest first. Nearly full bins are done; the underfull ones
-    meet as items in ever fewer groups, ``fan_in`` groups in one at each level, and are packed by best fit again. A
+    Ids are those of ``tokenizers`` with its own settings: a text that spells an added token out has that token's id.
+
+    Each partition packs its own pieces by best fit, longest first, in blocks of ``block_tokens``. Nearly full bins are done; the underfull ones
+    meet as items in ever fewer groups (at first one for each block), ``fan_in`` groups in one at each level, and are packed by best fit again. A
     group never holds more than about ``group_bins`` bins: where that many are left, the tree ends at that level.
     """
     tokenised = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = written(tokenised.mapInArrow(local_packer(tokenizer_paths, capacity, end_id, keep_ids), PIECES), "pieces")
+    local = written(tokenised.mapInArrow(local_packer(tokenizer_paths, capacity, end_id, keep_ids, block_tokens), PIECES), "pieces")
     bins = local.where(F.col("offset") == 0).select("bin", "load")
-    count, parts = local.where((F.col("offset") == 0) & (F.col("load") < capacity - slack)).agg(F.count("*"), F.countDistinct(F.shiftright("bin", 33))).first()
+    count, parts = local.where((F.col("offset") == 0) & (F.col("load") < capacity - slack)).agg(F.count("*"), F.countDistinct(F.shiftright("bin", BLOCK_BITS))).first()
     moved, groups = None, max(1, parts)
     while groups > 1 and count > 1:
         fewer = max(-(-groups // fan_in), -(-count // group_bins))
@@ -181,7 +192,10 @@ def pack_documents(docs: DataFrame, tokenizer_paths: tuple, *, capacity: int = C
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents as pieces of sequences, with the ids of each piece."""
+    """Last pipeline stage: the documents as pieces of sequences, with the ids of each piece.
+
+    Null and empty texts, null ids, repeated rows and empty tables are as pack_documents has them.
+    """
     return pack_documents(docs, public_paths())
 
 

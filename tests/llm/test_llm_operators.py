@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tarnwick.llm import chats, decontaminate, lines, lmscore, nearcopies, packing, passages, simhash, topk, toxicity, urls
@@ -94,12 +95,14 @@ def test_topk_with_values_beyond_doubles(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, (1024 * 10**8) ** 2 + 2 * 1024**2), (1, (1024 * 10**8) ** 2 + 1024**2)] or got[0].score == 2**63 - 1
 
 
-def test_packing(spark, rows):
-    tokenizer = packing.Encoder(*packing.public_paths())
-    got = packing.pack_documents(frame(spark, rows), packing.public_paths(), fan_in=2).collect()
+@pytest.mark.parametrize("block_tokens", [16_000_000, 3000])
+def test_packing(spark, rows, block_tokens):
+    tokenizer = Tokenizer.from_file(packing.public_paths()[0])
+    rows = [*rows, (300, "<|endoftext|>"), (301, "hello <|endoftext|> x"), (302, "<|endoftext" + "|>" * 3 + " é")]
+    got = packing.pack_documents(frame(spark, rows), packing.public_paths(), fan_in=2, block_tokens=block_tokens).collect()
     want = collections.Counter()
     for d, t in rows:
-        ids = np.array([*tokenizer.reference.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
         for k, (a, n) in enumerate(packing.cut(len(ids), 1024)):
             want[d, k, a, n, zlib.crc32(ids[a : a + n].tobytes()), ids[a : a + n].tobytes()] += 1
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in got) == want
@@ -113,7 +116,8 @@ def test_packing(spark, rows):
             end += length
         assert end <= 1024
     total = sum(r.length for r in got)
-    assert len(places) <= -(-total // 1024) + 6
+    assert len(places) <= -(-total // 1024) + (6 if block_tokens > 3000 else 10)
+    assert [bytes(r.ids) for r in got if r.doc_id == 300] == [np.array([50256, 2], "<u4").tobytes()]
     assert packing.pack_documents(frame(spark, rows).limit(0), packing.public_paths()).count() == 0
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
 
