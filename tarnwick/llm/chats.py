@@ -10,7 +10,8 @@ REPLY_SCHEMA = (("prompt", "string", True, 1), ("turn", "integer", True, 0))
 
 CARRIED = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string,content:string>"
 
-PATTERNS = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": r"^(true|false)$"}
+#: What ``schema_of_variant`` calls values of each type; an integer may be too large for 64 bits.
+KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": r"^BOOLEAN$"}
 
 
 def carried_calls(messages: DataFrame) -> DataFrame:
@@ -43,20 +44,23 @@ def turn_results(messages: DataFrame) -> DataFrame:
 
 
 def problem(arguments: Column, schema) -> Column:
-    """The first thing wrong with a JSON object of arguments, by the order of the schema; ``ok`` if nothing is."""
-    fields = F.from_json(arguments, "map<string,string>")
-    found = F.when(fields.isNull(), "no object")
+    """The first thing wrong with a JSON object of arguments, by the order of the schema; ``ok`` if nothing is.
+
+    Values are of the type that their JSON token has: "3" is a string, 3 an integer, 3.5 a number. A null is missing.
+    """
+    value = F.try_parse_json(arguments)
+    found = F.when(~F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False)), "no object")
     for name, kind, required, least in schema:
-        value = F.try_element_at(fields, F.lit(name))
-        missing = value.isNull()
+        own = F.try_variant_get(value, "$['" + name + "']", "variant")
+        token = F.schema_of_variant(own)
+        missing = F.coalesce(token, F.lit("VOID")) == "VOID"
         if required:
             found = found.when(missing, f"{name}: missing")
+        found = found.when(~missing & ~token.rlike(KINDS[kind]), f"{name}: not of type {kind}")
         if kind == "string":
-            found = found.when(~missing & (F.length(value) < least), f"{name}: too short")
-        else:
-            found = found.when(~missing & ~value.rlike(PATTERNS[kind]), f"{name}: not of type {kind}")
-            if kind != "boolean":
-                found = found.when(~missing & (value.try_cast("double") < least), f"{name}: too small")
+            found = found.when(~missing & (F.length(F.try_variant_get(own, "$", "string")) < least), f"{name}: too short")
+        elif kind != "boolean":
+            found = found.when(~missing & (F.try_variant_get(own, "$", "double") < least), f"{name}: too small")
     return found.otherwise("ok")
 
 

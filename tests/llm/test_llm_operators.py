@@ -245,6 +245,22 @@ def test_chats_keep_repeated_calls_and_link_within_a_conversation(spark):
     assert found == [(1, 1, "open, no schema"), (2, 1, "no schema"), (2, 2, "linked"), (3, 2, "orphan"), (4, 1, "open, ok"), (4, 1, "repeated, ok")]
 
 
+def test_arguments_are_checked_by_the_types_of_their_tokens(spark):
+    from pyspark.sql import functions as F
+
+    schema = (("s", "string", True, 2), ("i", "integer", True, 0), ("n", "number", False, 0), ("b", "boolean", False, None))
+    cases = {
+        '{"s":"ab","i":3}': "ok", '{"s":"ab","i":"3"}': "i: not of type integer", '{"s":5,"i":3}': "s: not of type string",
+        '{"s":"a","i":3}': "s: too short", '{"s":"ab","i":-1}': "i: too small", '{"s":"ab","i":1.5}': "i: not of type integer",
+        '{"s":"ab","i":123456789012345678901234567890}': "ok", '{"s":"ab","i":null}': "i: missing", '{"i":1}': "s: missing",
+        '{"s":"ab","i":1,"n":1.5,"b":true}': "ok", '{"s":"ab","i":1,"n":"1"}': "n: not of type number", '{"s":"ab","i":1,"b":"true"}': "b: not of type boolean",
+        '{"s":"ab","i":1,"n":2e3,"x":{"y":[1]}}': "ok", "[1]": "no object", "null": "no object", "{": "no object", "": "no object", '"x"': "no object", '{"s":["ab"],"i":1}': "s: not of type string", '{}': "s: missing",
+    }
+    df = spark.createDataFrame([(a,) for a in cases] + [(None,)], "a string")
+    got = {r.a: r.p for r in df.select("a", chats.problem(F.col("a"), schema).alias("p")).collect()}
+    assert got == {**cases, None: "no object"}
+
+
 def edited(rng, w, rate):
     out = []
     for x in w:
