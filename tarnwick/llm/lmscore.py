@@ -330,7 +330,7 @@ def lm_scores(docs: DataFrame, *, frequent: int = FREQUENT, shard_grams: int = S
     order = np.argsort(hot_hash)
     hot = (hot_hash[order], hot_count[order])
     shards = max(16, -(-2 * total // shard_grams))
-    built = written(source.mapInArrow(count_grams(spark.sparkContext.broadcast(hot), shards), "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
+    built = written(source.mapInArrow(count_grams(spark.sparkContext.broadcast(hot), shards), "shard int, keys binary, counts binary").repartitionById(shards, "shard").groupBy("shard").applyInPandas(build_shard, "shard int, bits long, filter binary"), "filter")
     sizes = dict(built.select("shard", "bits").collect())
     groups, held = [[]], 0
     for shard in range(shards):  # those that hold nothing too
