@@ -17,23 +17,29 @@ RULES = (
 )
 #: Trees, their depth, the step of each, and the pull of leaves towards zero.
 TREES, DEPTH, RATE, RIDGE = 8, 2, 0.4, 1.0
-#: Bins of each feature, and host suffixes whose statistics are kept: the most frequent.
-BINS, SUFFIXES = 16, 256
+#: A url that no rule fits is blocked from this probability on; trees that know nothing of it say about one half.
+BLOCK = 0.6
+#: Bins of each feature; folds of the labelled urls; and how many urls the prior counts for in a suffix's rate.
+BINS, FOLDS, PRIOR_URLS = 16, 5, 10
 
-FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "suffix_rate", "suffix_weight")
+LEXICAL = ("length", "depth", "digits", "entropy", "parameters", "labels")
+FEATURES = (*LEXICAL, "suffix_rate", "suffix_weight")
+
+
+def after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty where there is none."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to a slash, question mark, hash or the end, A-Z lower-cased; else empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    host = F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?s)^([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(after_scheme(url), r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to a question mark, hash or the end; else empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    return F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?s)^[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -63,15 +69,9 @@ def binned(x: Column, step: float) -> Column:
     return F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(x / step))).cast("int")
 
 
-def features(df: DataFrame, statistics: dict[str, tuple[float, int]], prior: float) -> DataFrame:
-    """df (url, host, path) with one column of small integers for each feature."""
+def lexical(df: DataFrame) -> DataFrame:
+    """df (url, host, path) with one column of small integers for each lexical feature."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    if statistics:
-        pairs = [F.lit(x) for s, (r, n) in sorted(statistics.items()) for x in (s, F.struct(F.lit(r).alias("r"), F.lit(n).alias("n")))]
-        known = F.try_element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in pairs]), suffix_of(F.col("host")))
-        rate, weight = F.coalesce(known["r"], F.lit(prior)), F.coalesce(known["n"], F.lit(0))
-    else:
-        rate, weight = F.lit(prior), F.lit(0)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     values = {
         "length": binned(F.length(url), 8.0),
@@ -80,12 +80,30 @@ def features(df: DataFrame, statistics: dict[str, tuple[float, int]], prior: flo
         "entropy": binned(entropy(url), 0.35),
         "parameters": binned(F.size(F.filter(F.split(query, "&"), lambda x: x != "")), 1.0),
         "labels": binned(F.size(F.split("host", r"\.")), 1.0),
-        "suffix_rate": binned(rate, 1.0 / BINS),
-        "suffix_weight": binned(F.log2(weight + F.lit(1)), 1.5),
     }
     return df.withColumns({f"f_{k}": v for k, v in values.items()})
 
 
+def suffix_features(rate: Column, weight: Column) -> dict[str, Column]:
+    """The features of a suffix with a rate of blocked urls among so many labelled ones; nulls for a suffix without any."""
+    known = {"suffix_rate": binned(F.coalesce(rate, F.lit(0.5)), 1.0 / BINS), "suffix_weight": binned(F.log2(F.coalesce(weight, F.lit(0)) + F.lit(1)), 1.5)}
+    return {f"f_{k}": v for k, v in known.items()}
+
+
+def rate_of(n: Column, blocked: Column, even: float, odd: float) -> Column:
+    """Share of blocked urls, both verdicts at equal weight, drawn to one half."""
+    return (blocked * odd + PRIOR_URLS * 0.5) / (blocked * odd + (n - blocked) * even + PRIOR_URLS)
+
+
+def features(df: DataFrame, statistics: DataFrame | None) -> DataFrame:
+    """df (url, host, path) with one column of small integers for each feature; the statistics of suffixes are joined."""
+    own = lexical(df)
+    if statistics is None:
+        return own.withColumns(suffix_features(F.lit(None).cast("double"), F.lit(None).cast("long")))
+    joined = own.withColumn("suffix_", suffix_of(F.col("host"))).join(statistics.select(F.col("suffix").alias("suffix_"), "rate_", "weight_"), "suffix_", "left")
+    return joined.withColumns(suffix_features(F.col("rate_"), F.col("weight_"))).drop("suffix_", "rate_", "weight_")
+
+
 def tree_column(tree: dict) -> Column:
     """A tree as nested conditions."""
     if "leaf" in tree:
@@ -115,7 +133,28 @@ def best_split(rows: list, ridge: float) -> tuple | None:
     return best
 
 
-def train(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, ridge: float = RIDGE, suffixes: int = SUFFIXES) -> dict:
+def summed(labelled: DataFrame, even: float, odd: float) -> tuple[DataFrame, DataFrame]:
+    """Weights of all and of blocked urls by their features, and the statistics (suffix, rate_, weight_) of all suffixes.
+
+    A url learns from its suffix's statistics in the other folds, never from its own verdict; and each counts once more
+    as if its suffix were unknown, so that the trees know what to make of suffixes without labelled urls.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold")
+    names = [f"f_{x}" for x in LEXICAL]
+    each = written(lexical(labelled).select(*names, suffix_of(F.col("host")).alias("suffix"), fold, "blocked").groupBy(*names, "suffix", "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("b")), "labelled-urls")
+    by_fold = each.groupBy("suffix", "fold").agg(F.sum("n").alias("own_n"), F.sum("b").alias("own_b"))
+    totals = by_fold.groupBy("suffix").agg(F.sum("own_n").alias("all_n"), F.sum("own_b").alias("all_b"))
+    n, b = F.col("all_n") - F.col("own_n"), F.col("all_b") - F.col("own_b")
+    others = by_fold.join(totals, "suffix").where(n > 0).select("suffix", "fold", rate_of(n, b, even, odd).alias("rate_"), n.alias("weight_"))
+    seen = each.join(others, ["suffix", "fold"], "left").withColumns(suffix_features(F.col("rate_"), F.col("weight_")))
+    unseen = each.withColumns(suffix_features(F.lit(None).cast("double"), F.lit(None).cast("long")))
+    columns = [*(f"f_{x}" for x in FEATURES), "n", "b"]
+    both = seen.select(*columns).unionByName(unseen.select(*columns)).groupBy(*columns[:-2]).agg(((F.sum("n") - F.sum("b")) * even + F.sum("b") * odd).alias("n"), (F.sum("b") * odd).alias("b"))
+    statistics = totals.select("suffix", rate_of(F.col("all_n"), F.col("all_b"), even, odd).alias("rate_"), F.col("all_n").alias("weight_"))
+    return written(both, "urls"), written(statistics, "suffixes")
+
+
+def train(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, ridge: float = RIDGE) -> dict:
     """Trees from labelled urls (url, host, path, blocked), for logistic loss with both classes at equal weight.
 
     All labelled rows count. They are first summed by their features, which the number of bins bounds; each level of
@@ -123,13 +162,9 @@ def train(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, rate:
     """
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     if not n or blocked in (0, n):
-        return {"start": 1.0 if n and blocked else -1.0, "trees": [], "statistics": {}, "prior": 0.5}
-    prior, even, odd = 0.5, n / (2.0 * (n - blocked)), n / (2.0 * blocked)
-    top = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-    statistics = {r["suffix"]: ((r["b"] * odd + 10 * prior) / (r["b"] * odd + (r["n"] - r["b"]) * even + 10), int(r["n"])) for r in top}
-    names = [f"f_{x}" for x in FEATURES]
-    rows = written(features(labelled, statistics, prior).groupBy(*names).agg((F.count("*") * even - F.sum("blocked") * (even - odd)).alias("n"), (F.sum("blocked") * odd).alias("b")), "urls")
-    model = {"start": 0.0, "trees": [], "statistics": statistics, "prior": prior}
+        return {"start": 1.0 if n and blocked else -1.0, "trees": [], "statistics": None}
+    rows, statistics = summed(labelled, n / (2.0 * (n - blocked)), n / (2.0 * blocked))
+    model = {"start": 0.0, "trees": [], "statistics": statistics}
     for _ in range(trees):
         p = 1.0 / (1.0 + F.exp(-raw_score(model)))
         graded = rows.withColumn("g", F.col("b") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
@@ -172,6 +207,6 @@ def judge(pages: DataFrame, *, rules=RULES, **training) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     ruled = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     model = train(ruled.where("r IS NOT NULL").select("url", "host", "path", (F.col("r.verdict") == "block").cast("int").alias("blocked")), **training)
-    scored = features(ruled, model["statistics"], model["prior"]).withColumn("block_probability", 1.0 / (1.0 + F.exp(-raw_score(model))))
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("block_probability") > 0.5, "block").otherwise("allow"))
+    scored = features(ruled, model["statistics"]).withColumn("block_probability", 1.0 / (1.0 + F.exp(-raw_score(model))))
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("block_probability") >= BLOCK, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "block_probability")
