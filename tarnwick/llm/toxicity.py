@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,6 @@ PREFIXES = (3, 4, 5, 6, 7)
 FEATURES, EVIDENCE = 5_000, 0.0
 #: Steps of gradient descent, their length, and the pull of all weights towards zero at each.
 STEPS, RATE, SHRINK = 600, 0.5, 1e-5
-#: What the thresholds above the lowest count for in the shared weights. Which toxic texts are of the higher grade hangs
-#: on quality, which their words tell little of: at full weight these thresholds hold down what the lowest one learns.
-UPPER = 0.001
 #: A text is rejected if its expected severity is at least this.
 REJECT = 0.5
 
@@ -43,11 +41,6 @@ def words_of(text: bytes) -> set[str]:
     return set(WORD.findall(text.decode().lower()))
 
 
-def grade(toxic, quality):
-    """Severity 0 (not toxic), 1 (toxic), 2 (toxic and of low quality)."""
-    return F.when(toxic == 1, F.when(quality == 0, 2).otherwise(1)).when(toxic == 0, 0)
-
-
 def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, and texts of a higher grade than 0, that hold each feature."""
     n: Counter = Counter()
@@ -102,8 +95,11 @@ class OrdinalModel:
         return sum(above), [a - b for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, upper: float = UPPER) -> OrdinalModel:
-    """Fits shared weights and cuts to graded feature sets by gradient descent (AdaGrad with soft thresholding)."""
+def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> OrdinalModel:
+    """Fits shared weights and cuts to graded feature sets by gradient descent (AdaGrad with soft thresholding).
+
+    The loss is the mean over the texts of the sum of all thresholds' logistic losses: each threshold counts alike.
+    """
     top = int(grades.max(initial=0))
     if not len(grades) or top == 0:
         return OrdinalModel({}, [20.0] * max(1, top))
@@ -114,12 +110,11 @@ def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: i
     cuts = -np.log(rates / (1 - rates))
     w = np.zeros(len(names))
     w_sum, cut_sum = np.full(len(names), 1e-8), np.full(top, 1e-8)
-    counts_for = np.array([1.0] + [upper] * (top - 1))
     for _ in range(steps):
         z = np.bincount(row, weights=w[col], minlength=len(grades))
         p = 1.0 / (1.0 + np.exp(np.clip(cuts[:, None] - z[None, :], -30, 30)))
         error = (p - above) / len(grades)
-        g = np.bincount(col, weights=(counts_for @ error)[row], minlength=len(names))
+        g = np.bincount(col, weights=error.sum(axis=0)[row], minlength=len(names))
         gc = -error.sum(axis=1)
         w_sum += g * g
         cut_sum += gc * gc
@@ -130,14 +125,26 @@ def fit(grades: np.ndarray, docs: list[list[int]], names: list[str], *, steps: i
     return OrdinalModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, [float(c) for c in cuts])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = FEATURES, evidence: float = EVIDENCE) -> OrdinalModel:
+def by_dose(toxic: list[int], found: list[list[int]], evidence: set[int]) -> list[int]:
+    """Grades 0 (not toxic), 1 and 2: a toxic text is of grade 2 if it holds more toxic words than the median toxic text."""
+    doses = [sum(f in evidence for f in x) for x in found]
+    middle = median([d for d, t in zip(doses, toxic, strict=True) if t] or [0])
+    return [int(t) + int(t > 0 and d > middle) for d, t in zip(doses, toxic, strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, grade=None, sample: int = SAMPLE, features: int = FEATURES, evidence: float = EVIDENCE) -> OrdinalModel:
     """The model of at most ``sample`` labelled rows, those whose ids hash lowest.
 
+    ``grade`` is a column of labels with grades from 0 on. Without it a text is toxic or not by the column toxic (0 or
+    1, other values teach nothing), and toxic texts have grade 1 or 2 by how many distinct words they hold that speak
+    for toxicity.
+
     Rows without a text, an id or a grade teach nothing; of repeated labels of an id the highest grade counts; equal
     texts count once, with their highest grade. Features are the words and prefixes whose spread over the grades is
     least like chance. Without graded rows, or with one grade only, the model rejects nothing.
     """
-    graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("toxic"), F.col("quality")).alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
+    own = F.when(F.col("toxic").isin(0, 1), F.col("toxic").cast("int")) if grade is None else grade.cast("int")
+    graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
     graded = graded.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     picked = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -153,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features:
     counts = held.mapInArrow(feature_counts, "feature string, n long, high long").groupBy("feature").agg(F.sum("n").cast("double").alias("n"), F.sum("high").cast("double").alias("high"))
     counts = written(counts.withColumn("gain", part(F.col("high"), F.col("n"), share) + part(F.col("n") - F.col("high"), F.col("n"), 1 - share)), "features")
     least = math.log(max(1, counts.count())) + evidence
-    names = [r[0] for r in counts.where(F.col("gain") >= least).orderBy(F.desc("gain"), "feature").limit(features).select("feature").collect()]
+    chosen = counts.where(F.col("gain") >= least).orderBy(F.desc("gain"), "feature").limit(features).select("feature", (F.col("high") > F.col("n") * share).alias("speaks")).collect()
+    names = [r["feature"] for r in chosen]
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Known({f: i for i, f in enumerate(names)})
@@ -162,7 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features:
             yield pa.RecordBatch.from_arrays([data.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "found"])
 
     rows = sorted((r[0], list(r[1])) for r in held.mapInArrow(known, "grade int, found array<int>").collect())
-    return fit(np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows], names)
+    grades, found = [r[0] for r in rows], [r[1] for r in rows]
+    if grade is None:
+        grades = by_dose(grades, found, {i for i, r in enumerate(chosen) if r["speaks"] and not r["feature"].endswith("*")})
+    return fit(np.array(grades, dtype=np.int64), found, names)
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, severity: str = "severity", probabilities: str = "grade_probabilities") -> DataFrame:
@@ -192,7 +203,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, reject
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not rejected, with the columns they came with."""
+    """Pipeline stage: documents that are not rejected, with the columns they came with.
+
+    Null and empty texts, null ids and repeated rows stay unless rejected; an empty table gives no rows; without labels
+    that differ all stay.
+    """
     severity = fresh(docs, "severity")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), severity=severity, probabilities=fresh(docs, "grade_probabilities"))
     return scored.where(F.col(severity) < REJECT).select(*columns_of(docs))

@@ -509,3 +509,55 @@ def test_toxicity(spark, rows):
     assert np.mean([got[d].severity for d, t, q in grades if not q]) > np.mean([got[d].severity for d, t, q in grades if t and q])
     assert toxicity.toxicity(df, labels.limit(0)).where("rejected").count() == 0
     assert toxicity.toxicity(df.limit(0), labels).count() == 0
+
+
+def test_the_ordinal_fit_is_the_least_loss():
+    rng = random.Random(21)
+    docs, grades = [], []
+    for _ in range(600):
+        x = [f for f in range(4) if rng.random() < 0.4]
+        z = 1.5 * (0 in x) + 0.7 * (1 in x) - 1.0 * (2 in x) + math.log((u := rng.random()) / (1 - u))
+        docs.append(x)
+        grades.append(int(z > 0.5) + int(z > 2.0))
+    model = toxicity.fit(np.array(grades), docs, list("abcd"), steps=3000, shrink=0.0)
+
+    def loss(p):
+        w, cuts = p[:4], p[4:]
+        return sum(math.log1p(math.exp(-s * (sum(w[f] for f in x) - c))) for x, g in zip(docs, grades, strict=True) for j, c in enumerate(cuts) for s in [1 if g > j else -1]) / len(docs)
+
+    p, step = [0.0] * 4 + [0.5, 2.0], 0.5  # one coordinate at a time, by trial
+    while step > 1e-3:
+        before = loss(p)
+        for k in range(6):
+            for d in (step, -step):
+                q = [*p]
+                q[k] += d
+                if loss(q) < loss(p):
+                    p = q
+        if before - loss(p) < 1e-9:
+            step /= 2
+    assert np.allclose([model.weights[x] for x in "abcd"] + model.cuts, p, atol=0.02)
+
+
+def test_toxic_grades_by_dose():
+    assert toxicity.by_dose([0, 1, 1, 1, 0], [[1], [1], [1, 2], [1, 2, 3, 9], []], {1, 2, 3}) == [0, 1, 1, 2, 0]
+    assert toxicity.by_dose([0, 0], [[], []], {1}) == [0, 0] and toxicity.by_dose([], [], set()) == []
+
+
+def test_toxicity_of_given_grades_and_its_stage(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(22)
+    texts = [(i, words(rng, 40) + ["", " sharp", " sharp vile", " sharp vile foul"][i % 4]) for i in range(400)]
+    df = frame(spark, [*texts, (None, None), (900, ""), (901, None), (3, texts[3][1])])
+    labels = spark.createDataFrame([(i, i % 4, int(i % 4 > 0), 1) for i, _ in texts[:200]] + [(5, 0, 0, 1), (None, 3, 1, 1)], "doc_id long, harm int, toxic int, quality int")
+    model = toxicity.train(df, labels, grade=F.col("harm"))
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    means = [np.mean([got[i].severity for i, _ in texts[200:] if i % 4 == g]) for g in range(4)]
+    assert len(model.cuts) == 3 and model.cuts == sorted(model.cuts) and means == sorted(means) and means[3] - means[0] > 2
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = toxicity.stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert ids == collections.Counter([*(i for i, _ in texts if i % 4 == 0), None, 900, 901])
+    assert toxicity.stage(spark, df.limit(0), str(tmp_path)).count() == 0
