@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, fresh, written
-from .nearcopies import near_copies
 
-#: Leading tokens that lead to a leaf of the tree; together with the token count its fixed depth.
-DEPTH = 3
-#: A template recurs if it stands in so many different surroundings, each counted at its first document.
+#: A template recurs if documents with so many different leads hold it; a leaf of the tree is grown from as many.
 SUPPORT = 20
-#: Share of its surroundings among the documents that hold it: near copies of one text share theirs.
-SPREAD = 0.5
+#: Parts of a line: the tree is entered by token count and the tokens of one of them, the leading, middle or last ones.
+PARTS = 3
+LEAVES = tuple(f"leaf{i}" for i in range(PARTS))
+#: A document follows the lead of an earlier one that has at least one in so many of the characters of its lines.
+FOLLOWS = 3
+#: Tokens of a leaf stay if SUPPORT leads have them at their place; or, for a second reading, so large a share of all leads.
+STAYS = (4, 5)
+#: Share of a line's tokens that its template must keep, as a fraction.
+KEEPS = (3, 5)
 #: Recurring templates (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TEMPLATES = 500_000
 
@@ -29,46 +33,78 @@ def bare(line: Column) -> Column:
     return F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
-def template(line: Column) -> Column:
-    """The line's path in the tree and its leaf, as text: token count, leading tokens, and all tokens, wildcards in.
-
-    ``line`` is bare. Each token with a digit or an address becomes a wildcard, whatever its length.
-    """
+def masked(line: Column) -> Column:
+    """The bare line with a wildcard for each token that has a digit or is an address, whatever its length."""
     fields = F.transform(F.split(line, " "), lambda x: F.when(x.rlike(VARIABLE), WILDCARD).otherwise(x))
-    masked = F.when(line.rlike(VARIABLE), F.array_join(fields, " ")).otherwise(line)
-    path = F.substring_index(masked, " ", DEPTH)
-    return F.concat_ws("|", (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("string"), path, masked)
+    return F.when(line.rlike(VARIABLE), F.array_join(fields, " ")).otherwise(line)
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(key, doc, line_no, template, around) for each line with tokens; around is made of the lines before and after."""
-    spread = docs.withColumn("lines", F.split("text", "\n")).withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, F.size("h") - 1))
-    after = F.concat(F.slice("h", 2, F.size("h")), F.array(F.lit(0).cast("long")))
-    each = spread.select("key", "doc", F.posexplode(F.arrays_zip("lines", before.alias("before"), after.alias("after"))).alias("line_no", "x"))
-    each = each.select("key", "doc", "line_no", bare(F.col("x.lines")).alias("line"), F.xxhash64("x.before", "x.after").alias("around"))
-    return each.where(F.col("line") != "").select("key", "doc", "line_no", F.xxhash64(template(F.col("line"))).alias("template"), "around")
-
-
-def recurring(lines: DataFrame, support: int, spread: float) -> DataFrame:
-    """Hashes of the templates that recur across documents.
+    """(key, doc, line_no, template, chars, leaf0 and on, line) for each line with tokens, of docs (key, doc, text).
 
-    Surroundings are the lines before and after. Copies of a text show a line in the same
-    surroundings, so they count once, and so does what one document repeats: each surrounding is credited to its
-    first document, and the support is the number of documents credited.
+    line is masked and template its hash; its leaves are the hashes of paths, each of the token count and
+    the tokens of one part. Lines with fewer tokens than parts have none.
     """
-    seen = lines.groupBy("template", "around").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
-    credited = seen.groupBy("template", "doc").agg(F.sum("n").alias("n"), F.count("*").alias("around"))
-    totals = credited.groupBy("template").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("around").alias("around"))
-    return totals.where((F.col("docs") >= support) & (F.col("around") >= F.lit(spread) * F.col("n"))).select("template")
+    each = docs.select("key", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "x"))
+    each = each.select("key", "doc", "line_no", masked(bare(F.col("x"))).alias("line")).where(F.col("line") != "").withColumn("t", F.split("line", " "))
+    n = F.size("t")
+    paths = []
+    for i in range(PARTS):
+        first, end = F.floor(n * i / PARTS).cast("int"), F.floor(n * (i + 1) / PARTS).cast("int")
+        path = F.xxhash64(n, F.lit(i), F.array_join(F.slice("t", first + 1, end - first), " "))
+        paths.append(F.when(n >= PARTS, path).alias(f"leaf{i}"))
+    return each.select("key", "doc", "line_no", F.xxhash64("line").alias("template"), F.length("line").alias("chars"), *paths, "line")
+
+
+def leads(lines: DataFrame) -> DataFrame:
+    """(doc, lead) for the documents that follow another one: near copies count once, under one lead.
+
+    Each line points to the first document that holds it. A document's lead is the one before it that most of its
+    characters point to, each line once, if these are at least one in FOLLOWS of all; the smaller of equal ones.
+    """
+    first = lines.groupBy("template").agg(F.min("doc").alias("first"))
+    votes = lines.select("template", "doc", "chars").distinct().join(first, "template").groupBy("doc", "first").agg(F.sum("chars").alias("chars"))
+    other = F.when(F.col("first") != F.col("doc"), F.struct("chars", F.bitwise_not("first").alias("mark"), "first"))
+    best = votes.groupBy("doc").agg(F.sum("chars").alias("all"), F.max(other).alias("best"))
+    return best.where(F.col("best.chars") * FOLLOWS >= F.col("all")).select("doc", F.col("best.first").alias("lead"))
+
 
+def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
+    """(template, pattern): the patterns that leaves make of the lines in them, by which lines of one template meet.
 
-def recurring_in_classes(lines: DataFrame, classes: DataFrame, support: int) -> DataFrame:
-    """Hashes of the templates that stand in at least ``support`` classes (key, group) of documents, each counted once."""
-    held = lines.select("template", "key").distinct()
-    often = held.groupBy("template").count().where(F.col("count") >= support).select("template")
-    counted = held.join(often, "template").join(classes.select("key", "group").distinct(), "key").select("template", "group").distinct()
-    return counted.groupBy("template").count().where(F.col("count") >= support).select("template")
+    credited has (template, lead, leaf0 and on). A leaf is grown if lines of at least ``support`` leads reach it. Its tokens
+    stay where as many leads have them at their place, the others become wildcards; a second pattern keeps only the
+    tokens that nearly all leads have. Patterns that keep too few tokens of a line are left out.
+    """
+    reach = credited.select("template", "lead", F.explode(F.array(*LEAVES)).alias("leaf")).where("leaf IS NOT NULL")
+    ripe = written(reach.select("leaf", "lead").distinct().groupBy("leaf").agg(F.count("*").alias("leads")).where(F.col("leads") >= support), "leaves")
+    inside = written(reach.join(ripe, "leaf"), "inside")
+    wanted = inside.select("template").distinct()
+    texts = written(lines.select("template", "line").join(wanted, "template", "left_semi").dropDuplicates(["template"]), "leaf-lines")
+    each = inside.join(texts, "template").select("leaf", "lead", "leads", "template", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    counts = each.groupBy("leaf", "at", "token", "lead").agg(F.max("leads").alias("leads")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
+    stays = counts.select("leaf", "at", "token", (F.col("n") >= support).alias("often"), (F.col("n") * STAYS[1] >= F.col("leads") * STAYS[0]).alias("nearly"))
+    own = inside.select("leaf", "template").distinct().join(texts, "template").select("leaf", "template", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    joined = own.join(stays, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often", "nearly"))).alias("x"))
+
+    def read(how: str) -> DataFrame:
+        kept = F.size(F.filter("x", lambda v: v[how]))
+        pattern = F.xxhash64(F.transform("x", lambda v: F.when(v[how], v["token"]).otherwise(WILDCARD)))
+        return joined.where(kept * KEEPS[1] >= F.size("x") * KEEPS[0]).select("template", pattern.alias("pattern"))
+
+    return read("often").unionByName(read("nearly")).distinct()
+
+
+def recurring(lines: DataFrame, support: int) -> DataFrame:
+    """Hashes of the masked lines whose template recurs: that of the line itself, or a pattern of its leaves."""
+    following = written(leads(lines), "leads")
+    greatest = [F.max(x).alias(x) for x in LEAVES]
+    held = lines.groupBy("template", "doc").agg(*greatest).join(following, "doc", "left")
+    credited = written(held.groupBy("template", F.coalesce("lead", "doc").alias("lead")).agg(*greatest), "credited")
+    alone = credited.groupBy("template").count().where(F.col("count") >= support).select("template")
+    patterns = written(grown(credited, lines, support), "patterns")
+    often = patterns.join(credited.select("template", "lead"), "template").select("pattern", "lead").distinct().groupBy("pattern").count().where(F.col("count") >= support)
+    return alone.unionByName(patterns.join(often, "pattern", "left_semi").select("template")).distinct()
 
 
 def text_key() -> Column:
@@ -76,14 +112,14 @@ def text_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: float = SPREAD, classes: DataFrame | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs without the lines whose template recurs across documents, with ``n_lines`` and ``n_dropped``.
 
-    A template is what is left of a line when its variable fields (tokens with a digit, a mail or web address) are
-    wildcards, found by its token count and leading tokens. It recurs if it stands in at least ``support``
-    documents in different surroundings, and these make up at least the share ``spread`` of its lines. With
-    ``classes`` (key, group), where key is text_key's, it recurs if it stands in at least ``support`` groups,
-    whatever its surroundings.
+    Tokens with a digit, a mail or web address are wildcards. Lines then go down a tree of fixed depth, by their token
+    count and leading tokens (or those of their middle or last third, as fields may vary at the start), to leaves in
+    which tokens that vary become wildcards too. A template recurs if at least ``support`` documents hold lines of it,
+    where near copies count as one: all that follow the same lead (see leads). Rows with one doc_id are one document
+    here, and so are those with a null one.
 
     Lines end at a line feed. Lines without tokens always stay. A null text stays null, with no lines; an empty one
     is one line. All columns and rows stay, repeated rows and null ids included; columns that have the names of the
@@ -94,7 +130,7 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
     own = text_key()
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
-    bad = written(recurring(lines, support, spread) if classes is None else recurring_in_classes(lines, classes, support), "templates")
+    bad = written(recurring(lines, support), "templates")
     if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         bad = F.broadcast(bad)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
@@ -110,8 +146,6 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, spread: flo
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their recurring lines taken out, with the columns they came with.
 
-    A line counts once for each group of near copies that holds it, so lines that always have the same neighbours
-    recur too, and copies do not lose their lines to each other.
+    Null and empty texts, null ids, repeated rows and empty tables are as drop_recurring_lines has them.
     """
-    classes = written(near_copies(docs, text_key()), "line-classes")
-    return drop_recurring_lines(docs, classes=classes, n_lines=fresh(docs, "n_lines"), n_dropped=fresh(docs, "n_dropped")).select(*columns_of(docs))
+    return drop_recurring_lines(docs, n_lines=fresh(docs, "n_lines"), n_dropped=fresh(docs, "n_dropped")).select(*columns_of(docs))

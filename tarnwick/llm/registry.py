@@ -107,25 +107,51 @@ OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 e AS (
-  SELECT row_id, doc_id, unnest(range(len(lines))) AS i, lines FROM d WHERE text IS NOT NULL),
+  SELECT row_id, coalesce(doc_id, -1) AS doc, lines, unnest(range(len(lines))) AS i FROM d WHERE text IS NOT NULL),
 f AS (
-  SELECT row_id, coalesce(doc_id, -1) AS doc, i, CASE WHEN i > 0 THEN lines[i] END AS before, lines[i + 2] AS after,
-         trim(regexp_replace(lines[i + 1], '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS line
-  FROM e),
-g AS (
-  SELECT row_id, doc, i, before, after,
-         list_transform(string_split(line, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS template
+  SELECT row_id, doc, i, trim(regexp_replace(lines[i + 1], '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS line FROM e),
+g AS MATERIALIZED (
+  SELECT row_id, doc, i, array_to_string(list_transform(string_split(line, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END), ' ') AS template
   FROM f WHERE line <> ''),
-s AS (SELECT template, min(doc) AS doc, count(*) AS n FROM g GROUP BY template, before, after),
-k AS (
-  SELECT template FROM s GROUP BY template
-  HAVING count(DISTINCT doc) >= 20 AND count(*) >= 0.5 * sum(n)),
-x AS (SELECT row_id, list(i) AS gone FROM g WHERE template IN (SELECT template FROM k) GROUP BY row_id)
+-- near copies: each line points to its first document
+a AS (SELECT template, min(doc) AS first FROM g GROUP BY template),
+v AS (
+  SELECT h.doc, a.first, sum(length(h.template)) AS chars
+  FROM (SELECT DISTINCT template, doc FROM g) h JOIN a USING (template) GROUP BY h.doc, a.first),
+w AS (SELECT doc, first, chars, sum(chars) OVER (PARTITION BY doc) AS total FROM v),
+l AS (
+  SELECT doc, first AS lead FROM w WHERE first <> doc AND 3 * chars >= total
+  QUALIFY row_number() OVER (PARTITION BY doc ORDER BY chars DESC, first) = 1),
+c AS MATERIALIZED (
+  SELECT DISTINCT template, coalesce(l.lead, g.doc) AS lead, string_split(template, ' ') AS t FROM g LEFT JOIN l USING (doc)),
+-- the tree: token count, then the tokens of a third of the line; leaves that twenty leads reach are grown
+r AS (
+  SELECT template, lead, t, len(t) AS n, p, t[(len(t) * p) // 3 + 1 : (len(t) * (p + 1)) // 3] AS part
+  FROM c, (SELECT unnest([0, 1, 2]) AS p) WHERE len(t) >= 3),
+ripe AS (SELECT n, p, part, count(DISTINCT lead) AS leads FROM r GROUP BY n, p, part HAVING count(DISTINCT lead) >= 20),
+m AS MATERIALIZED (SELECT r.*, leads FROM r JOIN ripe USING (n, p, part)),
+k AS (SELECT n, p, part, lead, leads, unnest(t) AS token, unnest(range(n)) AS place FROM m),
+s AS (
+  SELECT n, p, part, place, token, count(DISTINCT lead) AS own, any_value(leads) AS leads FROM k GROUP BY n, p, part, place, token),
+o AS (
+  SELECT template, n, p, part, unnest(t) AS token, unnest(range(n)) AS place FROM (SELECT DISTINCT template, n, p, part, t FROM m)),
+x AS (
+  SELECT template, any_value(n) AS n, list(CASE WHEN own >= 20 THEN token ELSE '<*>' END ORDER BY place) AS often, count(*) FILTER (own >= 20) AS n_often,
+         list(CASE WHEN 5 * own >= 4 * leads THEN token ELSE '<*>' END ORDER BY place) AS nearly, count(*) FILTER (5 * own >= 4 * leads) AS n_nearly
+  FROM o JOIN s USING (n, p, part, place, token) GROUP BY template, n, p, part),
+y AS (
+  SELECT template, often AS pattern FROM x WHERE 5 * n_often >= 3 * n
+  UNION SELECT template, nearly FROM x WHERE 5 * n_nearly >= 3 * n),
+z AS (SELECT pattern FROM y JOIN c USING (template) GROUP BY pattern HAVING count(DISTINCT lead) >= 20),
+q AS (
+  SELECT template FROM c GROUP BY template HAVING count(DISTINCT lead) >= 20
+  UNION SELECT template FROM y WHERE pattern IN (SELECT pattern FROM z)),
+u AS (SELECT row_id, list(i) AS gone FROM g WHERE template IN (SELECT template FROM q) GROUP BY row_id)
 SELECT d.doc_id,
        CASE WHEN gone IS NULL THEN d.text
             ELSE coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda j: NOT list_contains(gone, j)), lambda j: lines[j + 1]), chr(10)), '') END AS text,
        CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_dropped
-FROM d LEFT JOIN x USING (row_id)
+FROM d LEFT JOIN u USING (row_id)
 """
 
 

@@ -4,6 +4,7 @@ import collections
 import json
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -484,12 +485,85 @@ def test_line_stage_counts_each_group_of_copies_once(spark):
     assert got[3000] == got[3001] == ""
 
 
-def test_line_templates(spark):
+def brute_recurring(rows, support):
+    """The masked lines whose templates recur, by the rule as lines.py states it."""
+    held = collections.defaultdict(set)
+    for d, t in rows:
+        for x in (t or "").split("\n") if t is not None else ():
+            masked = " ".join("<*>" if re.search(r"[0-9@]|://", y) else y for y in re.sub(r"[ \t\r\f\x0B]+", " ", x).strip(" ").split(" "))
+            if masked:
+                held[masked].add(-1 if d is None else d)
+    lead = {}
+    for d in {d for ds in held.values() for d in ds}:
+        points = collections.Counter()
+        for x, ds in held.items():
+            if d in ds:
+                points[min(ds)] += len(x)
+        others = sorted((-n, f) for f, n in points.items() if f != d)
+        lead[d] = others[0][1] if others and -others[0][0] * 3 >= sum(points.values()) else d
+    credit = {x: {lead[d] for d in ds} for x, ds in held.items()}
+    leaves = collections.defaultdict(set)
+    for x in credit:
+        w = x.split(" ")
+        for i in range(3 if len(w) >= 3 else 0):
+            leaves[len(w), i, tuple(w[len(w) * i // 3 : len(w) * (i + 1) // 3])].add(x)
+    meets = collections.defaultdict(set)
+    for (n, _, _), own in leaves.items():
+        everyone = set().union(*(credit[x] for x in own))
+        if len(everyone) < support:
+            continue
+        at = collections.defaultdict(set)
+        for x in own:
+            for p, token in enumerate(x.split(" ")):
+                at[p, token] |= credit[x]
+        for x in own:
+            for stays in (lambda c: len(c) >= support, lambda c, k=len(everyone): 5 * len(c) >= 4 * k):
+                pattern = tuple(token if stays(at[p, token]) else "<*>" for p, token in enumerate(x.split(" ")))
+                if 5 * sum(stays(at[p, token]) for p, token in enumerate(x.split(" "))) >= 3 * n:
+                    meets[pattern].add(x)
+    found = {x for x, c in credit.items() if len(c) >= support}
+    for own in meets.values():
+        if len(set().union(*(credit[x] for x in own))) >= support:
+            found |= own
+    return found
+
+
+def test_line_templates_with_words_in_their_fields(spark):
+    rng = random.Random(16)
+    names, cities = [words(rng, 1) for _ in range(300)], [words(rng, 1) for _ in range(300)]
+    kinds = (
+        lambda i: f"user {names[i]} logged in from office",
+        lambda i: f"Posted by {names[i]} in {cities[i]}",
+        lambda i: f"{names[i]} replied to the post by {names[-i]}",
+        lambda i: f"Filed under {'news' if i % 3 else cities[i]} on page {i}",  # one value is frequent
+        lambda i: f"{names[i]} likes {cities[i]}",  # too little stays
+        lambda i: f"{names[i]} and {names[-i]} saw {cities[i]}",
+    )
+    rows = []
+    for k, kind in enumerate(kinds):
+        for i in range(40):
+            rows.append((100 * k + i, "\n".join([words(rng, 9), kind(i), words(rng, 9)])))
+    rows += [(700 + i, f"{words(rng, 9)}\nrare {names[i]} of them seen\n{words(rng, 9)}") for i in range(10)]  # too few
+    rows += [(800 + i, words(random.Random(1), 90) + f"\nCopy of {names[i]} was here\n" + words(random.Random(2), 90)) for i in range(50)]  # near copies
+    rows += [(None, rows[0][1]), (None, None), (900, ""), (901, " \n\t"), (902, "user x logged in from office"), (0, rows[0][1])]
+    got = collections.defaultdict(list)
+    for r in lines.drop_recurring_lines(frame(spark, rows)).collect():
+        got[r.doc_id].append(r.text)
+    bad = brute_recurring(rows, 20)
+    for d, t in rows:
+        mask = lambda x: " ".join("<*>" if re.search(r"[0-9@]|://", y) else y for y in re.sub(r"\s+", " ", x).strip().split(" "))
+        want = None if t is None else "\n".join(x for x in t.split("\n") if mask(x) not in bad)
+        assert want in got[d], (d, t)
+    left = {d: len(x[0].split("\n")) for d, x in got.items() if x[0]}
+    assert all(left[100 * k + i] == 2 for k in range(4) for i in range(40)) and all(left[100 * k + i] == 3 for k in (4, 5) for i in range(40))
+    assert all(left[d] == 3 for d in [*range(700, 710), *range(800, 850)]) and got[902] == [""]
+
+
+def test_masked_lines(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(" a  12\tb ",), ("a 7x b",), ("a mail@x b",), ("a b",)], "x string")
-    found = [r[0] for r in df.select(lines.template(lines.bare(F.col("x")))).collect()]
-    assert found == ["3|a <*> b|a <*> b"] * 3 + ["2|a b|a b"]
+    df = spark.createDataFrame([(" a  12\tb ",), ("a 7x b",), ("a mail@x b",), ("a b",), ("",)], "x string")
+    assert [r[0] for r in df.select(lines.masked(lines.bare(F.col("x")))).collect()] == ["a <*> b"] * 3 + ["a b", ""]
 
 
 def test_toxicity(spark, rows):
