@@ -1,4 +1,7 @@
-"""Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by prefix filtering."""
+"""Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+SimHash fingerprints in BK-trees find the closest ones, prefix filtering those that differ in more bits.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, fresh, mixed, written
 from .components import connected_components
-from .simhash import document_key
+from .simhash import document_key, near_duplicates
 from .wordscan import Scanner, split_white
 
 WORDS, SIMILARITY = 5, 0.8
@@ -159,19 +162,19 @@ def checker(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, key, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, key and ``group`` of each row of docs: the near copies that it reaches over links of at least the similarity.
 
     Texts are sets of shingles of words (A-Z lower-cased; ASCII white space); a link is an exact Jaccard similarity, and
     no link is missed: with shingles in one order, two such sets share one of their first n - ceil(similarity * n) + 1.
-    The order is by counters, rare shingles first. Texts without words are one group. ``key`` is a column of longs
-    that tells texts apart.
+    The order is by counters, rare shingles first. Texts without words are one group. key is document_key's.
 
-    Equal sets are one vertex. Each vertex is first checked against one vertex of each shingle that it shares; then
-    against all others whose component that leaves another one, so a large group of near copies makes few pairs.
+    Equal sets are one vertex. Each vertex is first checked against one vertex of its SimHash group (fingerprints of
+    the same shingles, 3 bits), and against one of each shingle that it shares; then against all others whose component
+    that leaves another one, so a large group of near copies makes few pairs.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), document_key().alias("key"))
     counts = np.zeros(1 << COUNTER_BITS, np.uint32)
     found = source.mapInArrow(counter(words), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     counts[np.asarray(found["at"])] = np.minimum(np.asarray(found["c"]), 2**32 - 1)
@@ -189,7 +192,11 @@ def near_copies(docs: DataFrame, key, *, words: int = WORDS, similarity: float =
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
         return written(both.mapInArrow(checker(similarity), "a long, b long"), name + "-links")
 
-    links = checked(shared.where("v > lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct(), "leads")
+    close = near_duplicates(docs, words=words).select("key", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("group"))
+    members = prints.select("key", "v").join(close, "key").select("v", "group").distinct()
+    stars = members.join(members.groupBy("group").agg(F.min("v").alias("lead")), "group").where("v <> lead")
+    leading = shared.where("v > lead").select(F.col("lead").alias("a"), F.col("v").alias("b"))
+    links = checked(leading.unionByName(stars.select(F.col("lead").alias("a"), F.col("v").alias("b"))).distinct(), "leads")
     before = connected_components(links)
     rest = shared.join(before, "v", "left").select("s", "n", "v", F.coalesce("component", "v").alias("component"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -205,7 +212,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows repeated as they are one stays.
     """
     key = fresh(docs, "key")
-    found = written(near_copies(docs, document_key()), "near-copies")
+    found = written(near_copies(docs), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias(key))
     own = docs.withColumn(key, document_key()).join(kept.distinct(), key, "left_semi")
