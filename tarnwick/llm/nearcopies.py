@@ -6,6 +6,7 @@ SimHash fingerprints in BK-trees find the closest ones, prefix filtering those t
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -22,10 +23,16 @@ from .simhash import document_key, near_duplicates
 from .wordscan import Scanner, split_white
 
 WORDS, SIMILARITY = 5, 0.8
+#: Shingles of their prefixes that a pair must share to be checked, or as many as it has.
+SHARED = 4
 #: Bits of a shingle that choose the counter which tells about how frequent it is; 4 bytes a counter are broadcast.
 COUNTER_BITS = 20
 #: Texts whose shingles a task remembers to have sent already.
 HELD = 1_000_000
+#: A counter is hot with so many shingles more than four times the mean: its shingles may be too many for one task.
+HOT = 100_000
+#: Keys (8 bytes each) that are broadcast at most to pick texts; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -73,8 +80,8 @@ def printer(words: int):
     return run
 
 
-def prefixer(shared, words: int, similarity: float):
-    """The least frequent shingles of each text, so many that two texts of the similarity share one."""
+def prefixer(shared, words: int, similarity: float, hottest: int, hot: bool):
+    """The least frequent shingles of each text, so many that two texts of the similarity share SHARED of them (or all): those of hot counters, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -83,8 +90,9 @@ def prefixer(shared, words: int, similarity: float):
         size = 0
 
         def out() -> pa.RecordBatch:
-            columns = [np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]), np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["s", "v", "n"])
+            lengths = [len(p[0]) for p in parts]
+            columns = [np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat(np.array([p[1] for p in parts], np.int64), lengths), np.repeat(np.array([p[2] for p in parts], np.int32), lengths)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "v", "n"])
 
         for _, _, own in shingles(batches, words):
             n, v = len(own), vertex_of(own)
@@ -92,9 +100,13 @@ def prefixer(shared, words: int, similarity: float):
                 continue
             if len(seen) < HELD:
                 seen.add(v)
-            order = np.lexsort((own, counts[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
-            parts.append((own[order[: n - math.ceil(similarity * n - 1e-9) + 1]], v, n))
-            size += len(parts[-1][0])
+            frequency = counts[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+            first = np.lexsort((own, frequency))[: n - (least := math.ceil(similarity * n - 1e-9)) + min(SHARED, least)]
+            first = first[(frequency[first] > hottest) == hot]
+            if not len(first):
+                continue
+            parts.append((own[first], v, n))
+            size += len(first)
             if size >= 100_000:
                 yield out()
                 parts, size = [], 0
@@ -104,6 +116,32 @@ def prefixer(shared, words: int, similarity: float):
     return run
 
 
+def sharer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and vertex those whose shingle has several vertices, each once, with the first of these and its size."""
+    last = None  # shingle, its first vertex and size, the vertex before, whether the first went out
+    for data in batches:
+        s, v, n = (np.asarray(data.column(i)) for i in range(3))
+        if not len(s):
+            continue
+        begins = np.concatenate([[last is None or s[0] != last[0]], s[1:] != s[:-1]])
+        again = np.concatenate([[last is not None and not begins[0] and v[0] == last[3]], (s[1:] == s[:-1]) & (v[1:] == v[:-1])])
+        start = np.flatnonzero(begins)
+        lead, size, gone = v.copy(), n.copy(), np.zeros(len(s), bool)
+        at = np.cumsum(begins) - 1
+        known = at >= 0
+        lead[known], size[known] = v[start[at[known]]], n[start[at[known]]]
+        if not known.all():
+            lead[~known], size[~known], gone[~known] = last[1], last[2], last[4]
+        others = np.flatnonzero((v != lead) & ~again)
+        first = others[np.concatenate([[True], s[others[1:]] != s[others[:-1]]])] if len(others) else others
+        first = first[~gone[first]]  # of each shingle the row that tells that its first vertex is not alone
+        out = [np.concatenate([s[others], s[first]]), np.concatenate([n[others], size[first]]), np.concatenate([v[others], lead[first]]), np.concatenate([lead[others], lead[first]]), np.concatenate([size[others], size[first]])]
+        if len(others):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["s", "n", "v", "lead", "lead_n"])
+        went = bool(gone[-1] or (len(others) and s[others[-1]] == s[-1]))
+        last = (s[-1], lead[-1], size[-1], v[-1], went)
+
+
 def set_of(words: int):
     """The shingles of each text."""
 
@@ -116,7 +154,7 @@ def set_of(words: int):
 
 
 def pairer(similarity: float):
-    """Pairs of vertices of one shingle (rows sorted by shingle and size) that differ in component and whose sizes allow the similarity."""
+    """Pairs of vertices of one shingle (rows sorted by shingle and size) that differ in component and whose sizes allow the similarity, with the lesser size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for data in batches:
@@ -125,22 +163,28 @@ def pairer(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
+        size: list[int] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32())], names=["a", "b", "n"])
 
         for _, group in groupby(rows(batches), key=itemgetter(0)):
-            near: list[tuple[int, int, int]] = []
+            near: dict[int, deque[tuple[int, int]]] = {}
             for _, n, v, component in group:
-                near = [x for x in near if x[0] >= similarity * n - 1e-9]
-                for _, w, other in near:
-                    if other != component:
+                for other in [c for c in near if c != component]:
+                    members = near[other]
+                    while members and members[0][0] < similarity * n - 1e-9:
+                        members.popleft()
+                    if not members:
+                        del near[other]
+                    for m, w in members:
                         a.append(min(v, w))
                         b.append(max(v, w))
-                near.append((n, v, component))
+                        size.append(m)
+                near.setdefault(component, deque()).append((n, v))
                 if len(a) >= 50_000:
                     yield out()
-                    a, b = [], []
+                    a, b, size = [], [], []
         if a:
             yield out()
 
@@ -166,7 +210,7 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     """doc_id, key and ``group`` of each row of docs: the near copies that it reaches over links of at least the similarity.
 
     Texts are sets of shingles of words (A-Z lower-cased; ASCII white space); a link is an exact Jaccard similarity, and
-    no link is missed: with shingles in one order, two such sets share one of their first n - ceil(similarity * n) + 1.
+    no link is missed: with shingles in one order, two such sets share k of their first n - ceil(similarity * n) + k.
     The order is by counters, rare shingles first. Texts without words are one group. key is document_key's.
 
     Equal sets are one vertex. Each vertex is first checked against one vertex of its SimHash group (fingerprints of
@@ -179,29 +223,44 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     found = source.mapInArrow(counter(words), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     counts[np.asarray(found["at"])] = np.minimum(np.asarray(found["c"]), 2**32 - 1)
     prints = written(source.mapInArrow(printer(words), "doc_id long, key long, v long"), "prints")
-    first = written(source.mapInArrow(prefixer(spark.sparkContext.broadcast(counts), words, similarity), "s long, v long, n long"), "prefixes")
-    leads = first.groupBy("s").agg(F.min("v").alias("lead"), F.max("v").alias("last")).where("lead < last").select("s", "lead")
-    shared = written(first.join(leads, "s").select("s", "n", "v", "lead").distinct(), "shared-shingles")
+    broadcast, hottest = spark.sparkContext.broadcast(counts), int(4 * counts.mean()) + HOT
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    few, rows = (source.mapInArrow(prefixer(broadcast, words, similarity, hottest, hot), "s long, v long, n int") for hot in (False, True))
+    shared = few.repartition(parts, "s").sortWithinPartitions("s", "v").mapInArrow(sharer, "s long, n int, v long, lead long, lead_n int")
+    if int(counts.max()) > hottest:  # the first vertex of each is found before the shuffle, and large groups stay divided
+        rows = written(rows, "hot-shingles")
+        leads = rows.groupBy("s").agg(F.min(F.struct("v", "n")).alias("lead"), F.max("v").alias("last")).where("lead.v < last").select("s", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
+        shared = shared.unionByName(rows.join(leads, "s").select("s", "n", "v", "lead", "lead_n").distinct())
+    shared = written(shared, "shared-shingles")
+    repeated = prints.groupBy("key").count().where("count > 1").select("key")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, name)
         ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = prints.join(ends, "v", "left_semi").groupBy("v").agg(F.min("key").alias("key")).select("key").distinct()
-        sets = written(source.join(wanted, "key", "left_semi").select("doc_id", "text").mapInArrow(set_of(words), "v long, own binary").dropDuplicates(["v"]), name + "-sets")
+        wanted = written(prints.join(ends, "v", "left_semi").groupBy("v").agg(F.min("key").alias("key")).select("key").distinct(), name + "-keys")
+        if wanted.count() <= BROADCAST_KEYS:
+            wanted = F.broadcast(wanted)
+        texts = source.join(wanted, "key", "left_semi")
+        once, again = texts.join(repeated, "key", "left_anti"), texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+        sets = written(once.unionByName(again).select("doc_id", "text").mapInArrow(set_of(words), "v long, own binary"), name + "-sets")
         x, y = (sets.select(F.col("v").alias(end), F.col("own").alias("own_" + end)) for end in "ab")
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
         return written(both.mapInArrow(checker(similarity), "a long, b long"), name + "-links")
 
+    def enough(shares: DataFrame) -> DataFrame:
+        """The pairs (a, b) that stand in enough rows (a, b, n), one for each shingle that they share; n is the lesser size."""
+        return shares.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.lit(similarity) * F.col("n") - 1e-9))).select("a", "b")
+
     close = near_duplicates(docs, words=words).select("key", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("group"))
     members = prints.select("key", "v").join(close, "key").select("v", "group").distinct()
     stars = members.join(members.groupBy("group").agg(F.min("v").alias("lead")), "group").where("v <> lead")
-    leading = shared.where("v > lead").select(F.col("lead").alias("a"), F.col("v").alias("b"))
+    leading = shared.where((F.col("v") > F.col("lead")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9))
+    leading = enough(leading.select(F.col("lead").alias("a"), F.col("v").alias("b"), F.least("n", "lead_n").alias("n")))
     links = checked(leading.unionByName(stars.select(F.col("lead").alias("a"), F.col("v").alias("b"))).distinct(), "leads")
     before = connected_components(links)
     rest = shared.join(before, "v", "left").select("s", "n", "v", F.coalesce("component", "v").alias("component"))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = rest.repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(pairer(similarity), "a long, b long").distinct()
-    groups = connected_components(links.unionByName(checked(pairs, "pairs")))
+    pairs = rest.repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(pairer(similarity), "a long, b long, n int")
+    groups = connected_components(links.unionByName(checked(enough(pairs), "pairs")))
     return prints.join(groups, "v", "left").select("doc_id", "key", F.coalesce("component", "v").alias("group"))
 
 
