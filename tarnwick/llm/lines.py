@@ -46,24 +46,24 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     the tokens of one part. Lines with fewer tokens than parts have none.
     """
     each = docs.select("key", "doc", F.posexplode(F.split("text", "\n")).alias("line_no", "x"))
-    each = each.select("key", "doc", "line_no", masked(bare(F.col("x"))).alias("line")).where(F.col("line") != "").withColumn("t", F.split("line", " "))
+    each = each.where(F.trim(F.col("x"), F.lit(" \t\r\f\x0b")) != "").select("key", "doc", "line_no", masked(bare(F.col("x"))).alias("line")).withColumn("t", F.split("line", " "))
     n = F.size("t")
     paths = []
     for i in range(PARTS):
         first, end = F.floor(n * i / PARTS).cast("int"), F.floor(n * (i + 1) / PARTS).cast("int")
-        path = F.xxhash64(n, F.lit(i), F.array_join(F.slice("t", first + 1, end - first), " "))
+        path = F.xxhash64(n, F.lit(i), F.slice("t", first + 1, end - first))
         paths.append(F.when(n >= PARTS, path).alias(f"leaf{i}"))
     return each.select("key", "doc", "line_no", F.xxhash64("line").alias("template"), F.length("line").alias("chars"), *paths, "line")
 
 
-def leads(lines: DataFrame) -> DataFrame:
-    """(doc, lead) for the documents that follow another one: near copies count once, under one lead.
+def leads(held: DataFrame) -> DataFrame:
+    """(doc, lead) for the documents that follow another one, from the lines (template, doc, chars) that each holds.
 
-    Each line points to the first document that holds it. A document's lead is the one before it that most of its
+    Near copies count once, under one lead. Each line points to the first document that holds it. A document's lead is the one before it that most of its
     characters point to, each line once, if these are at least one in FOLLOWS of all; the smaller of equal ones.
     """
-    first = lines.groupBy("template").agg(F.min("doc").alias("first"))
-    votes = lines.select("template", "doc", "chars").distinct().join(first, "template").groupBy("doc", "first").agg(F.sum("chars").alias("chars"))
+    first = held.groupBy("template").agg(F.min("doc").alias("first"))
+    votes = held.select("template", "doc", "chars").join(first, "template").groupBy("doc", "first").agg(F.sum("chars").alias("chars"))
     other = F.when(F.col("first") != F.col("doc"), F.struct("chars", F.bitwise_not("first").alias("mark"), "first"))
     best = votes.groupBy("doc").agg(F.sum("chars").alias("all"), F.max(other).alias("best"))
     return best.where(F.col("best.chars") * FOLLOWS >= F.col("all")).select("doc", F.col("best.first").alias("lead"))
@@ -97,10 +97,10 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
 
 def recurring(lines: DataFrame, support: int) -> DataFrame:
     """Hashes of the masked lines whose template recurs: that of the line itself, or a pattern of its leaves."""
-    following = written(leads(lines), "leads")
     greatest = [F.max(x).alias(x) for x in LEAVES]
-    held = lines.groupBy("template", "doc").agg(*greatest).join(following, "doc", "left")
-    credited = written(held.groupBy("template", F.coalesce("lead", "doc").alias("lead")).agg(*greatest), "credited")
+    held = written(lines.groupBy("template", "doc").agg(F.max("chars").alias("chars"), *greatest), "held")
+    following = written(leads(held), "leads")
+    credited = written(held.join(following, "doc", "left").groupBy("template", F.coalesce("lead", "doc").alias("lead")).agg(*greatest), "credited")
     alone = credited.groupBy("template").count().where(F.col("count") >= support).select("template")
     patterns = written(grown(credited, lines, support), "patterns")
     often = patterns.join(credited.select("template", "lead"), "template").select("pattern", "lead").distinct().groupBy("pattern").count().where(F.col("count") >= support)
