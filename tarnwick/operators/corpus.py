@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,17 +42,25 @@ def first_area(text: Column, areas: dict[str, tuple[str, ...]], default: str = "
     return found.otherwise(default)
 
 
-def completeness() -> Column:
-    """What makes one record fuller than another; compared from left to right."""
-    return F.struct((F.col("abstract") != "").cast("int").alias("has"), F.length("abstract").alias("n"))
+def completeness(papers: DataFrame) -> Column:
+    """What makes one record fuller than another, compared from left to right; lists that papers lack count for nothing."""
+    lists = [F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("references", "authors", "source_ids") if c in papers.columns]
+    return F.struct((F.coalesce("abstract", F.lit("")) != "").cast("int").alias("has"), F.length(F.coalesce("abstract", F.lit(""))).alias("n"), *lists)
+
+
+def own_key() -> Column:
+    """The title's key; a blank title equals no other and has its paper's id, which no key can be."""
+    key = T.title_key(F.col("title"))
+    return F.when(key == "", F.concat(F.lit("#"), F.col("paper_id").cast("string"))).otherwise(key)
 
 
 def dedupe_exact(papers: DataFrame) -> DataFrame:
     """One paper for each title key: the most complete, ties to the first; slot is the first's position.
 
-    Papers have paper_id, pos, title and abstract. Columns: key, paper_id, slot, n.
+    Papers have paper_id, pos, title and abstract, and may have lists of references, authors and source_ids. A paper
+    with a blank title is its own. Columns: key, paper_id, slot, n.
     """
-    keyed = papers.select("paper_id", "pos", T.title_key(F.col("title")).alias("key"), completeness().alias("c"))
+    keyed = papers.select("paper_id", "pos", own_key().alias("key"), completeness(papers).alias("c"))
     best = F.max_by("paper_id", F.struct("c", (-F.col("pos")).alias("p")))
     return keyed.groupBy("key").agg(best.alias("paper_id"), F.min("pos").alias("slot"), F.count("*").alias("n"))
 
@@ -65,9 +74,10 @@ def title_classes(papers: DataFrame) -> DataFrame:
 def duplicate_titles(papers: DataFrame) -> DataFrame:
     """(a, b) for different titles of one work, each by the smallest paper that has it; a < b.
 
-    Titles match if the shorter is one long word that the longer holds, or if both have at least three significant
-    words, 90 % of the shorter's are shared, and their lengths are within three quarters. Equal titles are one class
-    and make no pairs.
+    Of two titles the one of fewer characters is the shorter; of equal ones that of b. They match if the shorter has
+    one significant word, of four letters at least, that the longer holds; or if it has three such words at least, 90 %
+    of which the longer holds, and their lengths are within three quarters. Equal titles are one class and make no
+    pairs; titles with the same one word are paired with the first of them.
 
     A shorter title of s words misses at most s - ceil(0.9 s) of them in a match, so one more of its rarest words
     suffices to find every match: those meet all words of longer titles of a fitting length.
@@ -76,77 +86,135 @@ def duplicate_titles(papers: DataFrame) -> DataFrame:
     words = titles.select("rep", "chars", F.size("words").alias("s"), F.explode("words").alias("w"))
     rarity = words.groupBy("w").agg(F.count("*").alias("df"))
     least = F.ceil(F.col("s") * OVERLAP).cast("int")
-    ordered = words.join(rarity, "w").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "w")))
-    rare = ordered.where((F.col("nth") <= F.col("s") - least + 1) & (F.col("s") >= LEAST_WORDS)).select("w", F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("chars").alias("ca"))
-    long = words.where(F.col("s") >= LEAST_WORDS).select("w", F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("chars").alias("cb"))
-    fits = (F.least("ca", "cb") >= LENGTH_RATIO * F.greatest("ca", "cb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
-    candidates = rare.join(long, "w").where(fits).select("a", "b").distinct()
-    own = titles.select(F.col("rep").alias("a"), F.col("words").alias("wa"))
-    other = titles.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
-    checked = candidates.join(own, "a").join(other, "b").where(F.size(F.array_intersect("wa", "wb")) >= OVERLAP * F.least(F.size("wa"), F.size("wb")) - 1e-9)
-    short = words.where((F.col("s") == 1) & (F.length("w") >= 4)).select("w", F.col("rep").alias("a"))
-    held = words.where("s > 1").select("w", F.col("rep").alias("b"))
-    both = checked.select("a", "b").unionByName(short.join(held, "w").select("a", "b"))
-    same = words.where((F.col("s") == 1) & (F.length("w") >= 4)).groupBy("w").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
-    spread = same.select("a", F.explode("all").alias("b")).where("a <> b")
-    return both.unionByName(spread).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = words.where(F.col("s") >= LEAST_WORDS).join(rarity, "w").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "w")))
+    rare = ordered.where(F.col("nth") <= F.col("s") - least + 1).select("w", F.col("rep").alias("short"), F.col("chars").alias("cs"))
+    long = words.select("w", F.col("rep").alias("long"), F.col("chars").alias("cl"), F.col("s").alias("sl"))
+    is_short = (F.col("cs") < F.col("cl")) | ((F.col("cs") == F.col("cl")) & (F.col("short") > F.col("long")))
+    candidates = rare.join(long, "w").where(is_short & (F.col("cs") >= LENGTH_RATIO * F.col("cl"))).select("short", "long").distinct()
+    own = titles.select(F.col("rep").alias("short"), F.col("words").alias("ws"))
+    other = titles.select(F.col("rep").alias("long"), F.col("words").alias("wl"))
+    checked = candidates.join(own, "short").join(other, "long").where(F.size(F.array_intersect("ws", "wl")) >= OVERLAP * F.size("ws") - 1e-9)
+    one = words.where((F.col("s") == 1) & (F.length("w") >= 4)).select("w", F.col("rep").alias("short"), F.col("chars").alias("cs"))
+    held = one.join(long.where("sl > 1"), "w").where(is_short)
+    same = one.join(one.groupBy("w").agg(F.min("short").alias("long")), "w").where("short <> long")
+    both = checked.select("short", "long").unionByName(held.select("short", "long")).unionByName(same.select("short", "long"))
+    return both.select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+
+
+class KnownTitles:
+    """Title keys in the order in which they came, found again by the significant words that they share."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.titles: list[tuple[int, int]] = []  # characters, significant words
+        self.holders: dict[str, list[int]] = {}
+
+    def learn(self, key: str) -> int:
+        """The number of the key, a new one if it is not known."""
+        if key not in self.number:
+            own = self.number[key] = len(self.titles)
+            words = significant(key)
+            self.titles.append((len(key), len(words)))
+            for w in words:
+                self.holders.setdefault(w, []).append(own)
+        return self.number[key]
+
+    def match(self, key: str) -> int | None:
+        """The number of the same key, else of the first that duplicate_titles' rule matches; of equal lengths this is the shorter."""
+        if key in self.number:
+            return self.number[key]
+        words = significant(key)
+        shared: dict[int, int] = {}
+        for w in words:
+            for other in self.holders.get(w, ()):
+                shared[other] = shared.get(other, 0) + 1
+        return min((other for other, both in shared.items() if self.fits(key, words, other, both)), default=None)
+
+    def fits(self, key: str, words: frozenset[str], other: int, both: int) -> bool:
+        chars, count = self.titles[other]
+        short = len(words) if len(key) <= chars else count
+        if short == 1:
+            # the one word is shared, so it is any of this title's that the other one holds
+            return both == 1 and any(len(w) >= 4 and other in self.holders[w] for w in words if w in self.holders)
+        return short >= LEAST_WORDS and min(len(key), chars) >= LENGTH_RATIO * max(len(key), chars) and both >= OVERLAP * short - 1e-9
+
+
+def significant(key: str) -> frozenset[str]:
+    return frozenset(key.split()) - frozenset(T.GENERIC_TITLE_WORDS)
 
 
 def greedy_dedupe(records: Iterator[dict]) -> list[dict]:
-    """One pass in order over records with ``ids``, ``key``, ``words``, ``fuller`` (comparable): first match keeps its slot.
+    """One pass in order over records with ``ids``, ``key`` and ``fuller`` (comparable): each match keeps the fuller in its slot.
 
-    A record meets the first kept one that shares an id, else its key, else matches as duplicate_titles has it. The
-    fuller of both stays in the slot; ids and keys of a loser are not remembered, those of a winner are.
+    A record goes to the slot last known for an id of its own, else for its title (see KnownTitles). One that is not
+    fuller than the slot's leaves no trace; any other is what the slot's id and title stand for from then on. A blank
+    title matches nothing.
     """
-    kept: list[dict] = []
-    by_id: dict = {}
-    by_key: dict = {}
-    words = SignificantWords()
-    for r in records:
-        at = next((by_id[i] for i in r["ids"] if i in by_id), by_key.get(r["key"]) if r["key"] else None)
-        if at is None and r["key"]:
-            at = next((n for key, n in by_key.items() if titles_match(key, r["key"], words)), None)
-        if at is None:
-            at = len(kept)
-            kept.append(r)
-        elif r["fuller"] > kept[at]["fuller"]:
-            kept[at] = r
-        else:
+    slots: list[dict] = []
+    titles, slot_of_title, slot_of_id = KnownTitles(), {}, {}
+    for record in records:
+        places = [slot_of_id[i] for i in record["ids"] if i in slot_of_id]
+        if not places and record["key"]:
+            known = titles.match(record["key"])
+            places = [] if known is None else [slot_of_title[known]]
+        place = places[0] if places else len(slots)
+        if not places:
+            slots.append(record)
+        elif record["fuller"] <= slots[place]["fuller"]:
             continue
-        for i in r["ids"]:
-            by_id.setdefault(i, at)
-        if r["key"]:
-            by_key.setdefault(r["key"], at)
-    return kept
-
-
-class SignificantWords(dict):
-    """The words of title keys that are not generic, remembered by key."""
-
-    def __missing__(self, key: str) -> frozenset[str]:
-        value = self[key] = frozenset(key.split()) - frozenset(T.GENERIC_TITLE_WORDS)
-        return value
+        slots[place] = record
+        slot_of_id.update(dict.fromkeys(record["ids"], place))
+        if record["key"]:
+            slot_of_title[titles.learn(record["key"])] = place
+    return slots
+
+
+def linked_titles(pairs: DataFrame) -> DataFrame:
+    """(rep, component): the smallest class that each class of (a, b) reaches; each round hooks and contracts."""
+    edges = written(pairs.select("a", "b").where("a < b").distinct(), "pairs")
+    found = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("to")), "hook")
+        if found is None:
+            found = hook.select("rep", F.col("to").alias("component"))
+        else:
+            onward = hook.select(F.col("rep").alias("component"), F.col("to").alias("next"))
+            found = written(found.join(onward, "component", "left").select("rep", F.coalesce("next", "component").alias("component")), "found")
+        x, y = hook.select(F.col("rep").alias("a"), F.col("to").alias("x")), hook.select(F.col("rep").alias("b"), F.col("to").alias("y"))
+        edges = written(edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "pairs")
+    return found if found is not None else pairs.select(F.col("a").alias("rep"), F.col("a").alias("component"))
 
 
-def titles_match(a: str, b: str, words: SignificantWords) -> bool:
-    """duplicate_titles' rule for two title keys."""
-    if a == b:
-        return True
-    wa, wb = words[a], words[b]
-    short, long = (wa, wb) if len(wa) <= len(wb) else (wb, wa)
-    if len(short) == 1 and len(next(iter(short))) >= 4:
-        return short <= long
-    if len(short) < LEAST_WORDS or min(len(a), len(b)) < LENGTH_RATIO * max(len(a), len(b)):
-        return False
-    return len(short & long) >= OVERLAP * len(short) - 1e-9
+def _new_seeds(key, part):
+    """Of one component's titles the seeds that match neither the corpus nor a seed taken before."""
+    titles, taken = KnownTitles(), []
+    for r in part.sort_values(["seed", "pos"]).itertuples():
+        if not r.seed:
+            titles.learn(r.key)
+        elif titles.match(r.key) is None:
+            titles.learn(r.key)
+            taken.append(r.paper_id)
+    return pd.DataFrame({"paper_id": taken}).astype("int64")
 
 
 def merge_seeds(corpus: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Seeds that are new by id and by title key, the first of each id and of each key (by pos)."""
+    """Seeds, in order of pos, that no paper of the corpus and no seed taken before has by id or by a matching title.
+
+    Ids are longs. Titles match as in duplicate_titles, so blank ones match nothing.
+    """
     first = seeds.withColumn("n", F.row_number().over(Window.partitionBy("paper_id").orderBy("pos"))).where("n = 1").drop("n")
-    keyed = first.withColumn("key", T.title_key(F.col("title")))
-    keyed = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("pos"))).where("n = 1").drop("n")
-    return keyed.join(corpus.select("paper_id"), "paper_id", "left_anti").join(corpus.select(T.title_key(F.col("title")).alias("key")), "key", "left_anti").drop("key")
+    new = first.join(corpus.select("paper_id"), "paper_id", "left_anti")
+    columns = ["paper_id", "pos", "title"]
+    both = corpus.select(*columns, F.lit(False).alias("seed")).unionByName(new.select(*columns, F.lit(True).alias("seed")))
+    titles = both.groupBy(own_key().alias("key"), "seed").agg(F.min("paper_id").alias("least"), F.min_by("paper_id", "pos").alias("paper_id"), F.min("pos").alias("pos"))
+    reps = titles.groupBy("key").agg(F.min("least").alias("rep"), F.max(~F.col("seed")).alias("there"))
+    groups = linked_titles(duplicate_titles(both))
+    known = titles.join(reps, "key").join(groups, "rep", "left")
+    alone = known.where("component IS NULL AND seed AND NOT there").select("paper_id")
+    met = known.where("component IS NOT NULL").select("component", F.col("paper_id").cast("long"), F.col("pos").cast("long"), "key", "seed")
+    taken = alone.unionByName(met.groupBy("component").applyInPandas(_new_seeds, "paper_id long"))
+    return new.join(taken, "paper_id", "left_semi")
 
 
 def merge_ids(corpus: DataFrame, wanted: DataFrame, works: DataFrame) -> DataFrame:

@@ -185,9 +185,9 @@ def weak_ner_spans(spark, sf_dir):
 
 
 def classifier_metrics(spark, sf_dir):
-    """A rule on length against the quality labels."""
+    """A rule on length against three classes: neither label, one of them, both."""
     both = V.table(spark, sf_dir, "labels").join(V.texts(spark, sf_dir), F.col("doc_id") == F.col("paper_id"))
-    m = evaluation.classification(both.select(F.col("quality").alias("label"), (F.length("text") > 400).cast("int").alias("predicted")))
+    m = evaluation.classification(both.select((F.col("quality") + F.col("toxic")).cast("int").alias("label"), (F.length("text") > 400).cast("int").alias("predicted")), [0, 1, 2])
     return m.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("accuracy", 6).alias("accuracy"), "n")
 
 
@@ -234,17 +234,35 @@ ORACLE = {
     "title_normalize": f"{P} SELECT paper_id, {KEY} AS key FROM papers",
     "title_normalize_html": f"SELECT page_id, md5({V.marked_up_key_sql('html')}) AS key_md5 FROM pages",
     "title_dup_pairs": f"""{P}, k AS (SELECT paper_id, {KEY} AS key FROM papers),
-c AS (SELECT min(paper_id) AS rep, key, {WORDS} AS words, length(key) AS chars FROM k WHERE key <> '' GROUP BY key)
-SELECT a.rep AS a, b.rep AS b FROM c a JOIN c b ON a.rep < b.rep
-WHERE (least(len(a.words), len(b.words)) = 1 AND length(CASE WHEN len(a.words) = 1 THEN a.words[1] ELSE b.words[1] END) >= 4
-       AND list_contains(CASE WHEN len(a.words) = 1 THEN b.words ELSE a.words END, CASE WHEN len(a.words) = 1 THEN a.words[1] ELSE b.words[1] END))
-   OR (least(len(a.words), len(b.words)) >= 3 AND least(a.chars, b.chars) >= 0.75 * greatest(a.chars, b.chars)
-       AND len(list_intersect(a.words, b.words)) >= 0.9 * least(len(a.words), len(b.words)) - 1e-9)""",
-    "dedupe_exact": f"{P}, k AS (SELECT *, {KEY} AS key FROM papers) SELECT first(paper_id ORDER BY (abstract <> '') DESC, length(abstract) DESC, pos) AS paper_id, min(pos) AS slot, count(*) AS n FROM k GROUP BY key",
+c AS (SELECT min(paper_id) AS rep, key, {WORDS} AS words, length(key) AS chars FROM k WHERE key <> '' GROUP BY key),
+o AS (SELECT *, CASE WHEN len(words) = 1 THEN min(rep) OVER (PARTITION BY words) END AS lead FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b, a.lead, CASE WHEN a.chars < b.chars THEN a.words ELSE b.words END AS s, CASE WHEN a.chars < b.chars THEN b.words ELSE a.words END AS l,
+         least(a.chars, b.chars) AS cs, greatest(a.chars, b.chars) AS cl
+  FROM o a JOIN o b ON a.rep < b.rep AND list_has_any(a.words, b.words))
+SELECT a, b FROM p
+WHERE (len(s) = 1 AND length(s[1]) >= 4 AND list_contains(l, s[1]) AND (len(l) > 1 OR a = lead))
+   OR (len(s) >= 3 AND cs >= 0.75 * cl AND len(list_intersect(s, l)) >= 0.9 * len(s) - 1e-9)""",
+    "dedupe_exact": f"{P}, k AS (SELECT *, {KEY} AS key FROM papers) SELECT first(paper_id ORDER BY (abstract <> '') DESC, length(abstract) DESC, pos) AS paper_id, min(pos) AS slot, count(*) AS n FROM k GROUP BY key, CASE WHEN key = '' THEN paper_id END",
     "first_seen_area": f"{P}, k AS (SELECT *, {KEY} AS key FROM papers) SELECT key, min_by(origin, pos) AS area FROM k GROUP BY key",
-    "merge_seeds": f"""{P}, k AS (SELECT *, {KEY} AS key FROM papers),
-s AS (SELECT paper_id, key FROM k WHERE lang <> 'en' QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1)
-SELECT paper_id FROM s WHERE key NOT IN (SELECT key FROM k WHERE lang = 'en') AND paper_id NOT IN (SELECT paper_id FROM k WHERE lang = 'en')""",
+    "merge_seeds": f"""WITH RECURSIVE {P[5:]}, k AS (SELECT *, {KEY} AS key FROM papers),
+t AS (SELECT paper_id, pos, lang = 'en' AS there, key, {WORDS} AS words, length(key) AS chars FROM k),
+h AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM t WHERE NOT there),
+u AS (SELECT paper_id, 0 AS i, key, words, chars FROM t WHERE there UNION ALL SELECT paper_id, i, key, words, chars FROM h),
+m AS (
+  SELECT x.i, y.i AS j FROM (
+    SELECT a.i, a.key AS ka, b.i AS bi, b.key AS kb, CASE WHEN a.chars <= b.chars THEN a.words ELSE b.words END AS s,
+           CASE WHEN a.chars <= b.chars THEN b.words ELSE a.words END AS l, least(a.chars, b.chars) AS cs, greatest(a.chars, b.chars) AS cl
+    FROM h a JOIN u b ON b.i < a.i AND (a.key = b.key OR list_has_any(a.words, b.words)) WHERE a.key <> '') x, LATERAL (SELECT x.bi AS i) y
+  WHERE ka = kb OR (len(s) = 1 AND length(s[1]) >= 4 AND list_contains(l, s[1]))
+     OR (len(s) >= 3 AND cs >= 0.75 * cl AND len(list_intersect(s, l)) >= 0.9 * len(s) - 1e-9)),
+free AS (SELECT i FROM h WHERE i NOT IN (SELECT i FROM m WHERE j = 0)),
+e AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS n FROM m WHERE i IN (SELECT i FROM free) GROUP BY i),
+r AS (
+  SELECT 0 AS n, (SELECT coalesce(list(i), []) FROM free WHERE i NOT IN (SELECT i FROM e)) AS taken
+  UNION ALL
+  SELECT e.n, CASE WHEN list_has_any(e.js, r.taken) THEN r.taken ELSE list_append(r.taken, e.i) END FROM r JOIN e ON e.n = r.n + 1)
+SELECT paper_id FROM h WHERE i IN (SELECT unnest(taken) FROM r WHERE n = (SELECT max(n) FROM r))""",
     "merge_ids": """WITH w AS (SELECT DISTINCT unnest([doc_id, -doc_id - 1]) AS paper_id FROM labels)
 SELECT paper_id, CASE WHEN lang = 'en' THEN 'present' WHEN doc_id IS NOT NULL THEN 'added' ELSE 'failed' END AS outcome FROM w LEFT JOIN documents ON doc_id = paper_id""",
     "balanced_select": f"""{P}, x AS (SELECT paper_id, pos, {LOW} FROM papers), a AS (SELECT paper_id, pos, {AREA} AS area FROM x),
@@ -278,9 +296,9 @@ e AS (SELECT paper_id, CAST(pos AS INTEGER) AS pos, trim(replace(w || ' ##s', '
 SELECT paper_id, pos, text, kind FROM e WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper_id, lower(text), kind ORDER BY pos) = 1""",
     "weak_ner_spans": f"""WITH t AS (SELECT doc_id AS paper_id, text, list_max(list_transform({V.tokens_sql("text")}, lambda x: {{'n': length(x), 'w': x}})).w AS term FROM documents)
 SELECT paper_id, term, CAST(position(term IN lower(text)) - 1 AS INTEGER) AS start, CAST(position(term IN lower(text)) - 1 + length(term) AS INTEGER) AS "end" FROM t WHERE term IS NOT NULL AND position(term IN lower(text)) > 0""",
-    "classifier_metrics": """WITH p AS (SELECT quality AS label, (length(text) > 400)::INT AS predicted FROM labels JOIN documents USING (doc_id)),
-c AS (SELECT unnest([0, 1]) AS c), f AS (SELECT c, (SELECT count(*) FROM p WHERE label = c AND predicted = c) AS tp, (SELECT count(*) FROM p WHERE label = c) AS nl, (SELECT count(*) FROM p WHERE predicted = c) AS np FROM c)
-SELECT round(avg(CASE WHEN nl + np > 0 THEN 2.0 * tp / (nl + np) END), 6) AS macro_f1, round(sum(tp) / sum(nl), 6) AS accuracy, CAST(sum(nl) AS BIGINT) AS n FROM f WHERE nl + np > 0""",
+    "classifier_metrics": """WITH p AS (SELECT quality + toxic AS label, (length(text) > 400)::INT AS predicted FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT unnest([0, 1, 2]) AS c), f AS (SELECT c, (SELECT count(*) FROM p WHERE label = c AND predicted = c) AS tp, (SELECT count(*) FROM p WHERE label = c) AS nl, (SELECT count(*) FROM p WHERE predicted = c) AS np FROM c)
+SELECT round(avg(CASE WHEN nl + np > 0 THEN 2.0 * tp / (nl + np) ELSE 0 END), 6) AS macro_f1, round(sum(tp) / sum(nl), 6) AS accuracy, CAST(sum(nl) AS BIGINT) AS n FROM f""",
     "history_latest": "SELECT event_type AS method, user_id % 10 AS notes, event_id AS pos, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY event_id DESC) = 1",
 }
 

@@ -8,29 +8,12 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
 from tarnwick.operators import corpus
-from tarnwick.sources.shared import written
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(rep, component): the smallest class that each class of (a, b) reaches; each round hooks and contracts."""
-    edges = written(pairs.select("a", "b").where("a < b").distinct(), "pairs")
-    found = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = written(both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("m")).select("rep", F.least("rep", "m").alias("to")), "hook")
-        if found is None:
-            found = hook.select("rep", F.col("to").alias("component"))
-        else:
-            onward = hook.select(F.col("rep").alias("component"), F.col("to").alias("next"))
-            found = written(found.join(onward, "component", "left").select("rep", F.coalesce("next", "component").alias("component")), "found")
-        x, y = hook.select(F.col("rep").alias("a"), F.col("to").alias("x")), hook.select(F.col("rep").alias("b"), F.col("to").alias("y"))
-        edges = written(edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "pairs")
-    return found if found is not None else pairs.select(F.col("a").alias("rep"), F.col("a").alias("component"))
 
 
 def fold(key, part):
     """The greedy pass over one component's records, in order."""
-    records = [{"paper_id": r.paper_id, "pos": r.pos, "ids": [], "key": r.key, "fuller": (r.has, r.n)} for r in part.sort_values("pos").itertuples()]
+    rows = zip(part["paper_id"], part["key"], part["work_id"], part["fuller"], part["pos"], strict=True)
+    records = [{"paper_id": i, "ids": [w] if w else [], "key": k, "fuller": tuple(f)} for i, k, w, f, _ in sorted(rows, key=lambda r: r[4])]
     kept = corpus.greedy_dedupe(iter(records))
     return pd.DataFrame({"component": [key[0]] * len(kept), "paper_id": [r["paper_id"] for r in kept]}).astype("int64")
 
@@ -38,14 +21,21 @@ def fold(key, part):
 def greedy(papers: DataFrame) -> DataFrame:
     """(component, paper_id): the papers that the greedy pass keeps, one or more for each group of titles that can meet.
 
-    Records of one title key meet in one slot, and one that is no fuller than an earlier one of its key never changes
-    it; so of equal keys and fullness the first counts, and copies are combined before they meet. Blank titles match
-    nothing and are left out. A title that meets no other needs no pass: its fullest record stays, the first of equal ones.
+    Papers may have a work_id (text), by which they meet first. Records of one title key meet in one slot, and one that
+    is no fuller than an earlier one of its key and work never changes it; so of these the first counts, and copies are
+    combined before they meet. A blank title matches nothing. A title that meets no other needs no pass: its fullest
+    record stays, the first of equal ones.
     """
-    keyed = papers.select("paper_id", "pos", T.title_key(F.col("title")).alias("key"), corpus.completeness().alias("c")).where("key <> ''")
-    first = keyed.groupBy("key", "c").agg(F.min_by("paper_id", "pos").alias("paper_id"), F.min("pos").alias("pos"))
-    reps = keyed.groupBy("key").agg(F.min("paper_id").alias("rep"))
-    linked = first.join(reps, "key").join(components(corpus.duplicate_titles(papers)), "rep", "left")
+    work = F.coalesce(F.col("work_id").cast("string"), F.lit("")) if "work_id" in papers.columns else F.lit("")
+    full = corpus.completeness(papers)
+    keyed = papers.select("paper_id", "pos", corpus.own_key().alias("own"), T.title_key(F.col("title")).alias("key"), full.alias("c"), work.alias("work_id"))
+    first = keyed.groupBy("own", "key", "c", "work_id").agg(F.min_by("paper_id", "pos").alias("paper_id"), F.min("pos").alias("pos"))
+    reps = keyed.groupBy("own").agg(F.min("paper_id").alias("rep"))
+    named = first.join(reps, "own")
+    works = named.where("work_id <> ''").select("work_id", "rep").distinct()
+    shared = works.join(works.groupBy("work_id").agg(F.min("rep").alias("a")), "work_id").where("a < rep").select("a", F.col("rep").alias("b"))
+    linked = named.join(corpus.linked_titles(corpus.duplicate_titles(papers).unionByName(shared)), "rep", "left")
     alone = linked.where("component IS NULL").groupBy(F.col("rep").cast("long").alias("component")).agg(F.max_by("paper_id", F.struct("c", (-F.col("pos")).alias("p"))).cast("long").alias("paper_id"))
-    records = linked.where("component IS NOT NULL").select(F.col("component").cast("long"), F.col("paper_id").cast("long"), F.col("pos").cast("long"), "key", F.col("c.has").alias("has"), F.col("c.n").alias("n"))
+    parts = [F.col(f"c.{f.name}").cast("int") for f in keyed.schema["c"].dataType.fields]
+    records = linked.where("component IS NOT NULL").select(F.col("component").cast("long"), F.col("paper_id").cast("long"), F.col("pos").cast("long"), "key", "work_id", F.array(*parts).alias("fuller"))
     return alone.unionByName(records.groupBy("component").applyInPandas(fold, "component long, paper_id long"))

@@ -101,14 +101,28 @@ def rerank_topk(spark, sf_dir):
     return search.rerank(hits, queries, docs, shared_words, K).select("query_id", "rank", "paper_id", F.round("score", 6).alias("score"))
 
 
+METHODS = ["dense", "bm25", "method_match", "method_match_norm", "method_match_norm2", "hybrid"]
+
+
+def _anchored(spark, sf_dir):
+    """The test items whose number is a card with a field."""
+    cards = V.fields(spark, sf_dir).where(F.coalesce(*[F.size(f) for f in V.FIELDS]).isNotNull())
+    return V.text_queries(spark, sf_dir).join(cards, F.col("query_id") == F.col("paper_id"), "left_semi").select("query_id")
+
+
 def runs(spark, sf_dir):
     s = signals(spark, sf_dir, anchored=True)
-    fused = search.fuse(s, K).select("query_id", "paper_id", F.lit("hybrid").alias("method"), "rank")
-    return s.where(F.col("rank") <= K).select("query_id", "paper_id", F.col("signal").alias("method"), "rank").unionByName(fused)
+    found = s.where(F.col("rank") <= K).select("query_id", "paper_id", F.col("signal").alias("method"), "rank")
+    cards = V.fields(spark, sf_dir)
+    items = V.text_queries(spark, sf_dir).select("query_id").join(cards.withColumnRenamed("paper_id", "query_id"), "query_id")
+    for name, least in (("method_match_norm", 1), ("method_match_norm2", 2)):
+        hits = search.field_match(items, cards, K, normalised=True, least_fields=least)
+        found = found.unionByName(hits.select("query_id", "paper_id", F.lit(name).alias("method"), "rank"))
+    return found.unionByName(search.fuse(s, K).select("query_id", "paper_id", F.lit("hybrid").alias("method"), "rank"))
 
 
 def _metrics(spark, sf_dir):
-    return evaluation.per_query(runs(spark, sf_dir), V.gold(spark, sf_dir))
+    return evaluation.per_query(runs(spark, sf_dir), V.gold(spark, sf_dir), methods=METHODS, anchored=_anchored(spark, sf_dir))
 
 
 def _rounded(df, *names):
@@ -124,11 +138,11 @@ def eval_full(spark, sf_dir):
 
 
 def eval_same_subset(spark, sf_dir):
-    return _rounded(evaluation.by_method(evaluation.same_subset(_metrics(spark, sf_dir))))
+    return _rounded(evaluation.by_method(evaluation.same_subset(_metrics(spark, sf_dir), _anchored(spark, sf_dir))))
 
 
 def eval_verdict(spark, sf_dir):
-    return evaluation.verdict(evaluation.by_method(_metrics(spark, sf_dir)))
+    return evaluation.verdict(evaluation.by_method(evaluation.same_subset(_metrics(spark, sf_dir), _anchored(spark, sf_dir))))
 
 
 def eval_low_score(spark, sf_dir):
@@ -143,13 +157,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, round(score, 6) AS score FROM r WHERE rank <= {K}
 """
 
-STATISTICS = f"""tok AS (SELECT doc_id AS paper_id, unnest({V.tokens_sql("text")}) AS term FROM documents),
-tf AS (SELECT paper_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT doc_id AS paper_id, len({V.tokens_sql("text")}) AS dl FROM documents),
-raw AS (
-  SELECT term, count(*) AS df,
-         ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+STATISTICS = f"""words AS MATERIALIZED (SELECT doc_id AS paper_id, {V.tokens_sql("text")} AS t FROM documents),
+dl AS (SELECT paper_id, len(t) AS dl FROM words),
+tf AS MATERIALIZED (SELECT paper_id, term, count(*) AS tf FROM (SELECT paper_id, unnest(t) AS term FROM words) GROUP BY ALL),
+totals AS MATERIALIZED (SELECT count(*) AS n FROM words),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)"""
 
 
 def _bm25(k: int) -> str:
@@ -218,17 +232,24 @@ FUSED = "SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, round(score,
 METRICS = f"""{_signals(True)}, {V.GOLD},
 runs AS (
   SELECT query_id, paper_id, signal AS method, rank FROM signals WHERE rank <= {K}
+  UNION ALL SELECT query_id, paper_id, 'method_match_norm', row_number() OVER (PARTITION BY query_id ORDER BY round({NORM.format(1)}, 9) DESC, paper_id) AS r FROM matches QUALIFY r <= {K}
+  UNION ALL SELECT query_id, paper_id, 'method_match_norm2', row_number() OVER (PARTITION BY query_id ORDER BY round({NORM.format(2)}, 9) DESC, paper_id) AS r FROM matches QUALIFY r <= {K}
   UNION ALL SELECT query_id, paper_id, 'hybrid', rank FROM fused),
 sizes AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
+anchored AS (SELECT paper_id AS query_id FROM fields WHERE coalesce(task, backbone, loss, key_idea) IS NOT NULL),
+asked AS (
+  SELECT method, query_id, n_gold FROM sizes, (SELECT unnest({METHODS}) AS method)
+  WHERE NOT starts_with(method, 'method_match') OR query_id IN (SELECT query_id FROM anchored)),
+hits AS (SELECT r.* FROM runs r JOIN gold g ON g.query_id = r.query_id AND g.paper_id = r.paper_id),
 per_query AS (
-  SELECT method, r.query_id,
-         sum(CASE WHEN rank <= 5 AND g.paper_id IS NOT NULL THEN 1 / log2(rank + 1.0) ELSE 0 END)
+  SELECT method, query_id,
+         coalesce(sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1.0) ELSE 0 END), 0)
            / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1 / log2(i + 1.0))) AS ndcg,
-         coalesce(1.0 / min(CASE WHEN g.paper_id IS NOT NULL THEN rank END), 0) AS mrr,
-         count(g.paper_id) / n_gold AS recall
-  FROM runs r JOIN sizes USING (query_id) LEFT JOIN gold g ON g.query_id = r.query_id AND g.paper_id = r.paper_id
-  GROUP BY method, r.query_id, n_gold),
-by_method AS (SELECT method, count(*) AS n, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(recall) AS recall FROM per_query GROUP BY 1)"""
+         coalesce(1.0 / min(rank), 0) AS mrr, count(rank) / n_gold AS recall
+  FROM asked LEFT JOIN hits USING (method, query_id) GROUP BY method, query_id, n_gold),
+same AS (SELECT * FROM per_query WHERE method <> 'bm25' AND query_id IN (SELECT query_id FROM anchored)),
+by_method AS (SELECT method, count(*) AS n, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(recall) AS recall FROM per_query GROUP BY 1),
+by_same AS (SELECT method, count(*) AS n, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(recall) AS recall FROM same GROUP BY 1)"""
 
 ROUNDED = "round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(recall, 6) AS recall"
 
@@ -246,8 +267,8 @@ ORACLE = {
     "score_spread": f"WITH {_signals(True)} SELECT query_id, signal, round(max(score) - min(score), 6) AS spread FROM signals WHERE rank <= 5 AND (query_id <> paper_id OR signal = 'bm25') GROUP BY ALL",
     "eval_per_query": f"WITH {METRICS} SELECT method, query_id, {ROUNDED} FROM per_query",
     "eval_full": f"WITH {METRICS} SELECT method, n, {ROUNDED} FROM by_method",
-    "eval_same_subset": f"WITH {METRICS}, same AS (SELECT query_id FROM per_query GROUP BY 1 HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM per_query)) SELECT method, count(*) AS n, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall FROM per_query WHERE query_id IN (SELECT query_id FROM same) GROUP BY 1",
-    "eval_verdict": f"WITH {METRICS}, d AS (SELECT method, round(ndcg - (SELECT ndcg FROM by_method WHERE method = 'dense'), 6) AS delta FROM by_method) SELECT method, delta, CASE WHEN delta > 0 THEN 'BEATS' WHEN delta = 0 THEN 'matches' ELSE 'BELOW' END AS verdict, CASE WHEN delta < 0 THEN 2 ELSE 0 END AS code FROM d",
+    "eval_same_subset": f"WITH {METRICS} SELECT method, n, {ROUNDED} FROM by_same",
+    "eval_verdict": f"WITH {METRICS}, d AS (SELECT s.method, round(s.ndcg - b.ndcg, 6) AS delta FROM by_same s, by_same b WHERE b.method = 'dense' AND b.ndcg > 0 AND s.method <> 'dense') SELECT method, delta, CASE WHEN delta > 0 THEN 'BEATS' WHEN delta = 0 THEN 'matches' ELSE 'BELOW' END AS verdict, CASE WHEN delta < 0 THEN 2 ELSE 0 END AS code FROM d",
     "eval_low_score": f"WITH {METRICS} SELECT method, query_id, round(ndcg, 6) AS ndcg, '!' AS flag FROM per_query WHERE coalesce(ndcg, 0) < 0.3",
 }
 

@@ -71,19 +71,23 @@ def test_rerank_drops_missing_texts(spark):
 
 
 def test_metrics(spark):
-    runs = spark.createDataFrame([("m", 1, p, r) for r, p in enumerate([9, 1, 8, 2, 7], 1)] + [("m", 2, 5, 1)], "method string, query_id long, paper_id long, rank int")
-    gold = spark.createDataFrame([(1, 1), (1, 2)], "query_id long, paper_id long")
-    r = evaluation.per_query(runs, gold).collect()
-    assert len(r) == 1 and math.isclose(r[0].ndcg, (1 / math.log2(3) + 1 / math.log2(5)) / (1 + 1 / math.log2(3)))
-    assert (r[0].mrr, r[0].recall) == (0.5, 1.0)
+    runs = spark.createDataFrame([("m", 1, p, r) for r, p in enumerate([9, 1, 8, 2, 7], 1)] + [("m", 2, 5, 1), ("m", 3, 5, 1)], "method string, query_id long, paper_id long, rank int")
+    gold = spark.createDataFrame([(1, 1), (1, 2), (3, 6)], "query_id long, paper_id long")
+    anchored = spark.createDataFrame([(1,), (2,)], "query_id long")
+    r = {(x.method, x.query_id): x for x in evaluation.per_query(runs, gold, methods=["m", "x", "method_match_norm"], anchored=anchored).collect()}
+    assert set(r) == {("m", 1), ("m", 3), ("x", 1), ("x", 3), ("method_match_norm", 1)}  # no answer counts, no anchor does not
+    assert math.isclose(r["m", 1].ndcg, (1 / math.log2(3) + 1 / math.log2(5)) / (1 + 1 / math.log2(3))) and (r["m", 1].mrr, r["m", 1].recall) == (0.5, 1.0)
+    assert {(x.ndcg, x.mrr, x.recall) for k, x in r.items() if k != ("m", 1)} == {(0.0, 0.0, 0.0)}
 
 
 def test_verdict_and_classification(spark):
-    t = spark.createDataFrame([("dense", 0.2), ("a", 0.3), ("b", 0.1)], "method string, ndcg double")
-    assert {r.method: (r.verdict, r.code) for r in evaluation.verdict(t).collect()} == {"dense": ("matches", 0), "a": ("BEATS", 0), "b": ("BELOW", 2)}
-    p = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1)], "label int, predicted int")
-    r = evaluation.classification(p).first()
-    assert (round(r.macro_f1, 6), r.accuracy, r.n) == (round((2 / 3 + 0.5 + 0) / 3, 6), 0.5, 4)
+    t = spark.createDataFrame([("dense", 0.2), ("a", 0.3), ("b", 0.1), ("c", 0.2)], "method string, ndcg double")
+    assert {r.method: (r.verdict, r.code) for r in evaluation.verdict(t).collect()} == {"a": ("BEATS", 0), "b": ("BELOW", 2), "c": ("matches", 0)}
+    m = spark.createDataFrame([("dense", 1), ("bm25", 1), ("a", 1), ("dense", 2)], "method string, query_id long")
+    assert {tuple(r) for r in evaluation.same_subset(m, spark.createDataFrame([(1,)], "query_id long")).select("method", "query_id").collect()} == {("dense", 1), ("a", 1)}
+    p = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "label int, predicted int")
+    r = evaluation.classification(p, [0, 1, 2]).first()
+    assert (round(r.macro_f1, 6), round(r.accuracy, 6), r.n) == (round((2 / 3 + 2 / 3 + 0) / 3, 6), 0.666667, 3)
 
 
 def papers(spark, *titles):
@@ -98,18 +102,66 @@ def test_titles(spark):
     assert {(r.paper_id, r.slot, r.n) for r in corpus.dedupe_exact(p).collect()} == {(0, 0, 1), (1, 1, 1), (4, 2, 2), (3, 3, 1)}
 
 
+def test_titles_match_by_the_shorter_in_characters(spark):
+    p = papers(spark, ("lightgcn of the and for networks", ""), ("lightgcn abc", ""), ("", "x"), ("", "y"), (" ", ""), ("Alpha beta gamma delta", ""), ("alpha beta gamma delta eps", ""))
+    assert {(r.a, r.b) for r in corpus.duplicate_titles(p).collect()} == {(5, 6)}
+    assert {(r.paper_id, r.n) for r in corpus.dedupe_exact(p).collect()} == {(i, 1) for i in range(7)}
+
+
+def test_fuller_records_have_more_of_five_things(spark):
+    rows = [(0, 0, "T one two", "ab", ["x"], ["a"], {}), (1, 1, "t one two", "ab", ["x", "y"], [], {}), (2, 2, "T, one two", "ab", ["x", "y"], [], {"s": "1"})]
+    p = spark.createDataFrame(rows, "paper_id long, pos long, title string, abstract string, references array<string>, authors array<string>, source_ids map<string,string>")
+    assert [(r.paper_id, r.slot, r.n) for r in corpus.dedupe_exact(p).collect()] == [(2, 0, 3)]
+
+
+def plain_match(a, b):
+    """The rule of two title keys, a the newer one, word for word."""
+    wa, wb = corpus.significant(a), corpus.significant(b)
+    (s, ws), (l, wl) = ((a, wa), (b, wb)) if len(a) <= len(b) else ((b, wb), (a, wa))
+    if a == b:
+        return bool(a)
+    if not wa or not wb:
+        return False
+    return (len(ws) == 1 and len(next(iter(ws))) >= 4 and ws <= wl) or (len(ws) >= 3 and len(ws & wl) >= 0.9 * len(ws) - 1e-9 and len(s) >= 0.75 * len(l))
+
+
+def test_known_titles_find_the_first_match():
+    rng = random.Random(4)
+    keys = [" ".join(rng.choice(("graph", "lightgcn", "kgat", "abc", "social", "the", "deep", "rank", "user")) for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    known, order = corpus.KnownTitles(), []
+    for k in keys:
+        want = k if k in order else next((x for x in order if plain_match(k, x)), None)
+        assert known.match(k) == (None if want is None else order.index(want)), k
+        if rng.random() < 0.3:
+            known.learn(k)
+            order += [k] * (k not in order)
+
+
 def test_greedy_dedupe_keeps_the_fuller_in_the_first_slot():
     rec = [{"id": "a", "ids": ["1"], "key": "lightgcn", "fuller": (1, 5)}, {"id": "b", "ids": ["2"], "key": "lightgcn simplifying graph convolution", "fuller": (1, 50)}, {"id": "c", "ids": ["2"], "key": "other", "fuller": (1, 1)}, {"id": "d", "ids": [], "key": "other", "fuller": (0, 0)}]
     assert [r["id"] for r in corpus.greedy_dedupe(iter(rec))] == ["b", "d"]
+    blank = [{"id": i, "ids": [], "key": "", "fuller": (0, 0)} for i in range(3)]
+    assert [r["id"] for r in corpus.greedy_dedupe(iter(blank))] == [0, 1, 2]
+    moved = [{"id": "a", "ids": ["1"], "key": "alpha beta", "fuller": (1,)}, {"id": "b", "ids": ["2"], "key": "gamma delta", "fuller": (1,)}, {"id": "c", "ids": ["2"], "key": "alpha beta", "fuller": (2,)}, {"id": "d", "ids": [], "key": "alpha beta", "fuller": (3,)}]
+    assert [r["id"] for r in corpus.greedy_dedupe(iter(moved))] == ["a", "d"]  # the title went over to the second slot
 
 
 def test_greedy_dedupe_over_a_corpus(spark):
-    from tarnwick.plans.greedy import components, greedy
+    from tarnwick.plans.greedy import greedy
 
-    p = papers(spark, ("LightGCN", "short"), ("lightgcn: simplifying and powering", "a longer one"), ("Alpha beta gamma", "x"), ("alpha, beta gamma", "x"), ("Other", ""), ("", "y"))
-    assert sorted(r.paper_id for r in greedy(p).collect()) == [1, 2, 4]
+    p = papers(spark, ("LightGCN", "short"), ("lightgcn: simplifying and powering", "a longer one"), ("Alpha beta gamma", "x"), ("alpha, beta gamma", "x"), ("Other", ""), ("", "y"), ("", "z"))
+    assert sorted(r.paper_id for r in greedy(p).collect()) == [1, 2, 4, 5, 6]
+    by_work = p.withColumn("work_id", F.when(F.col("paper_id").isin(4, 6), "W7"))
+    assert sorted(r.paper_id for r in greedy(by_work).collect()) == [1, 2, 5, 6]
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9), (3, 0)], "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    assert {r.rep: r.component for r in components(pairs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 5: 5, 9: 5}
+    assert {r.rep: r.component for r in corpus.linked_titles(pairs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 5: 5, 9: 5}
+
+
+def test_merged_seeds_match_titles_and_each_other(spark):
+    c = papers(spark, ("LightGCN: simplifying graph convolution", ""), ("", ""))
+    rows = [(10, 0, "LightGCN"), (11, 1, "KGAT"), (12, 2, "KGAT attention for users"), (13, 3, ""), (14, 4, " "), (0, 5, "new title"), (15, 6, "Fresh paper of seeds"), (15, 7, "again"), (16, 8, "fresh paper of seeds")]
+    s = spark.createDataFrame([(i, p, t, "") for i, p, t in rows], "paper_id long, pos long, title string, abstract string")
+    assert sorted(r.paper_id for r in corpus.merge_seeds(c, s).collect()) == [11, 13, 14, 15]
 
 
 def test_title_resolution(spark):
