@@ -258,7 +258,7 @@ def repeated_passages(docs: DataFrame, *, passage: int = PASSAGE, gram: int = GR
         spread, found = np.sort(found[often]), np.sort(found)
         shards = max(32, -(-len(found) * 2 * (passage - block) // shard_windows))
         sent = source.mapInArrow(window_sender(spark.sparkContext.broadcast((found, spread)), shards, passage, gram, block), RUNS)
-        part = sent.groupBy("shard").applyInPandas(compare_shard, "row long, doc_id long, first long, last long")
+        part = sent.repartitionById(shards, "shard").groupBy("shard").applyInPandas(compare_shard, "row long, doc_id long, first long, last long")
         spans = part if spans is None else spans.unionByName(part)
     if spans is None:
         return spark.createDataFrame([], "row long, doc_id long, first_word long, n_words long")
