@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.sources.shared import shared_folder, written  # noqa: F401
+from tarnwick.sources.shared import discard, shared_folder, written  # noqa: F401
 
 #: Bits of a row key that number the row within its partition.
 ROW_BITS = 36

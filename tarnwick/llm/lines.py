@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh, written
+from .common import columns_of, discard, fresh, written
 
 #: A template recurs if documents with so many different leads hold it; a leaf of the tree is grown from as many.
 SUPPORT = 20
@@ -14,7 +14,7 @@ PARTS = 3
 LEAVES = tuple(f"leaf{i}" for i in range(PARTS))
 #: A document follows the lead of an earlier one that has at least one in so many of the characters of its lines.
 FOLLOWS = 3
-#: Tokens of a leaf stay if SUPPORT leads have them at their place; or, for a second reading, so large a share of all leads.
+#: Tokens of a leaf stay if SUPPORT lines have them at their place; or, for a second reading, so large a share of all.
 STAYS = (4, 5)
 #: Share of a line's tokens that its template must keep, as a fraction.
 KEEPS = (3, 5)
@@ -73,18 +73,17 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
     """(template, pattern): the patterns that leaves make of the lines in them, by which lines of one template meet.
 
     credited has (template, lead, leaf0 and on). A leaf is grown if lines of at least ``support`` leads reach it. Its tokens
-    stay where as many leads have them at their place, the others become wildcards; a second pattern keeps only the
-    tokens that nearly all leads have. Patterns that keep too few tokens of a line are left out.
+    stay where as many lines have them at their place, each counted for every lead that holds it, the others become
+    wildcards; a second pattern keeps only the tokens that nearly all of these have. Patterns that keep too few tokens of a line are left out.
     """
     reach = credited.select("template", "lead", F.explode(F.array(*LEAVES)).alias("leaf")).where("leaf IS NOT NULL")
-    ripe = written(reach.select("leaf", "lead").distinct().groupBy("leaf").agg(F.count("*").alias("leads")).where(F.col("leads") >= support), "leaves")
-    inside = written(reach.join(ripe, "leaf"), "inside")
-    wanted = inside.select("template").distinct()
-    texts = written(lines.select("template", "line").join(wanted, "template", "left_semi").dropDuplicates(["template"]), "leaf-lines")
-    each = inside.join(texts, "template").select("leaf", "lead", "leads", "template", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    counts = each.groupBy("leaf", "at", "token", "lead").agg(F.max("leads").alias("leads")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
-    stays = counts.select("leaf", "at", "token", (F.col("n") >= support).alias("often"), (F.col("n") * STAYS[1] >= F.col("leads") * STAYS[0]).alias("nearly"))
-    own = inside.select("leaf", "template").distinct().join(texts, "template").select("leaf", "template", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    ripe = reach.select("leaf", "lead").distinct().groupBy("leaf").agg(F.count("*").alias("leads")).where(F.col("leads") >= support).select("leaf")
+    each = reach.groupBy("leaf", "template").agg(F.count("*").alias("n"))
+    inside = written(each.join(ripe, "leaf"), "inside")
+    texts = written(lines.select("template", "line").join(inside.select("template").distinct(), "template", "left_semi").dropDuplicates(["template"]), "leaf-lines")
+    own = inside.join(texts, "template").select("leaf", "template", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    counts = own.groupBy("leaf", "at", "token").agg(F.sum("n").alias("own"))
+    stays = counts.join(inside.groupBy("leaf").agg(F.sum("n").alias("all")), "leaf").select("leaf", "at", "token", (F.col("own") >= support).alias("often"), (F.col("own") * STAYS[1] >= F.col("all") * STAYS[0]).alias("nearly"))
     joined = own.join(stays, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often", "nearly"))).alias("x"))
 
     def read(how: str) -> DataFrame:
@@ -92,7 +91,9 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
         pattern = F.xxhash64(F.transform("x", lambda v: F.when(v[how], v["token"]).otherwise(WILDCARD)))
         return joined.where(kept * KEEPS[1] >= F.size("x") * KEEPS[0]).select("template", pattern.alias("pattern"))
 
-    return read("often").unionByName(read("nearly")).distinct()
+    found = written(read("often").unionByName(read("nearly")).distinct(), "patterns")
+    discard(inside, texts)
+    return found
 
 
 def recurring(lines: DataFrame, support: int) -> DataFrame:
@@ -102,9 +103,11 @@ def recurring(lines: DataFrame, support: int) -> DataFrame:
     following = written(leads(held), "leads")
     credited = written(held.join(following, "doc", "left").groupBy("template", F.coalesce("lead", "doc").alias("lead")).agg(*greatest), "credited")
     alone = credited.groupBy("template").count().where(F.col("count") >= support).select("template")
-    patterns = written(grown(credited, lines, support), "patterns")
+    patterns = grown(credited, lines, support)
     often = patterns.join(credited.select("template", "lead"), "template").select("pattern", "lead").distinct().groupBy("pattern").count().where(F.col("count") >= support)
-    return alone.unionByName(patterns.join(often, "pattern", "left_semi").select("template")).distinct()
+    found = written(alone.unionByName(patterns.join(often, "pattern", "left_semi").select("template")).distinct(), "templates")
+    discard(held, following, credited, patterns)
+    return found
 
 
 def text_key() -> Column:
@@ -130,11 +133,12 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, n_lines: st
     own = text_key()
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
-    bad = written(recurring(lines, support), "templates")
+    bad = recurring(lines, support)
     if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
         bad = F.broadcast(bad)
     hits = lines.select("key", "line_no", "template").join(bad, "template")
-    drops = hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("line_no").alias(drop))
+    drops = written(hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("line_no").alias(drop)), "drops")
+    discard(lines)
     joined = docs.withColumn(key, own).join(drops, key, "left")
     parts = F.split(F.col("text").cast("string"), "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), "\n")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, fresh, mixed, written
+from .common import columns_of, discard, fresh, mixed, written
 from .components import connected_components
 from .simhash import document_key, near_duplicates
 from .wordscan import Scanner, split_white
@@ -238,6 +238,7 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
         pairs = written(pairs, name)
         ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
         wanted = written(prints.join(ends, "v", "left_semi").groupBy("v").agg(F.min("key").alias("key")).select("key").distinct(), name + "-keys")
+        kept = wanted
         if wanted.count() <= BROADCAST_KEYS:
             wanted = F.broadcast(wanted)
         texts = source.join(wanted, "key", "left_semi")
@@ -245,7 +246,9 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
         sets = written(once.unionByName(again).select("doc_id", "text").mapInArrow(set_of(words), "v long, own binary"), name + "-sets")
         x, y = (sets.select(F.col("v").alias(end), F.col("own").alias("own_" + end)) for end in "ab")
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
-        return written(both.mapInArrow(checker(similarity), "a long, b long"), name + "-links")
+        found = written(both.mapInArrow(checker(similarity), "a long, b long"), name + "-links")
+        discard(pairs, kept, sets)
+        return found
 
     def enough(shares: DataFrame) -> DataFrame:
         """The pairs (a, b) that stand in enough rows (a, b, n), one for each shingle that they share; n is the lesser size."""
@@ -257,10 +260,18 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     leading = shared.where((F.col("v") > F.col("lead")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9))
     leading = enough(leading.select(F.col("lead").alias("a"), F.col("v").alias("b"), F.least("n", "lead_n").alias("n")))
     links = checked(leading.unionByName(stars.select(F.col("lead").alias("a"), F.col("v").alias("b"))).distinct(), "leads")
-    before = connected_components(links)
-    rest = shared.join(before, "v", "left").select("s", "n", "v", F.coalesce("component", "v").alias("component"))
+    # then one of each shingle that shares most: of edited copies of a text the text itself, or the least edited
+    central = shared.join(shared.groupBy("v").agg(F.count("*").alias("degree")), "v")
+    before = written(central.join(connected_components(links), "v", "left").select("s", "n", "v", "degree", F.coalesce("component", "v").alias("component")), "shared-again")
+    discard(shared)
+    leads = before.groupBy("s").agg(F.max(F.struct("degree", "v", "n", "component")).alias("m")).select("s", "m.*").toDF("s", "lead_degree", "lead", "lead_n", "lead_component")
+    leading = before.join(leads, "s").where((F.col("component") != F.col("lead_component")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9))
+    leading = leading.select(F.least("lead", "v").alias("a"), F.greatest("lead", "v").alias("b"), F.least("n", "lead_n").alias("n"))
+    links = links.unionByName(checked(enough(leading), "central"))
+    rest = before.drop("component").join(connected_components(links), "v", "left").select("s", "n", "v", F.coalesce("component", "v").alias("component"))
     pairs = rest.repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(pairer(similarity), "a long, b long, n int")
     groups = connected_components(links.unionByName(checked(enough(pairs), "pairs")))
+    discard(before)
     return prints.join(groups, "v", "left").select("doc_id", "key", F.coalesce("component", "v").alias("group"))
 
 

@@ -128,16 +128,16 @@ c AS MATERIALIZED (
 r AS (
   SELECT template, lead, t, len(t) AS n, p, t[(len(t) * p) // 3 + 1 : (len(t) * (p + 1)) // 3] AS part
   FROM c, (SELECT unnest([0, 1, 2]) AS p) WHERE len(t) >= 3),
-ripe AS (SELECT n, p, part, count(DISTINCT lead) AS leads FROM r GROUP BY n, p, part HAVING count(DISTINCT lead) >= 20),
-m AS MATERIALIZED (SELECT r.*, leads FROM r JOIN ripe USING (n, p, part)),
-k AS (SELECT n, p, part, lead, leads, unnest(t) AS token, unnest(range(n)) AS place FROM m),
+ripe AS (SELECT n, p, part, count(*) AS lines FROM r GROUP BY n, p, part HAVING count(DISTINCT lead) >= 20),
+m AS MATERIALIZED (SELECT r.*, lines FROM r JOIN ripe USING (n, p, part)),
+k AS (SELECT n, p, part, lines, unnest(t) AS token, unnest(range(n)) AS place FROM m),
 s AS (
-  SELECT n, p, part, place, token, count(DISTINCT lead) AS own, any_value(leads) AS leads FROM k GROUP BY n, p, part, place, token),
+  SELECT n, p, part, place, token, count(*) AS own, any_value(lines) AS lines FROM k GROUP BY n, p, part, place, token),
 o AS (
   SELECT template, n, p, part, unnest(t) AS token, unnest(range(n)) AS place FROM (SELECT DISTINCT template, n, p, part, t FROM m)),
 x AS (
   SELECT template, any_value(n) AS n, list(CASE WHEN own >= 20 THEN token ELSE '<*>' END ORDER BY place) AS often, count(*) FILTER (own >= 20) AS n_often,
-         list(CASE WHEN 5 * own >= 4 * leads THEN token ELSE '<*>' END ORDER BY place) AS nearly, count(*) FILTER (5 * own >= 4 * leads) AS n_nearly
+         list(CASE WHEN 5 * own >= 4 * lines THEN token ELSE '<*>' END ORDER BY place) AS nearly, count(*) FILTER (5 * own >= 4 * lines) AS n_nearly
   FROM o JOIN s USING (n, p, part, place, token) GROUP BY template, n, p, part),
 y AS (
   SELECT template, often AS pattern FROM x WHERE 5 * n_often >= 3 * n

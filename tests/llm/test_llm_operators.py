@@ -512,12 +512,12 @@ def brute_recurring(rows, support):
         everyone = set().union(*(credit[x] for x in own))
         if len(everyone) < support:
             continue
-        at = collections.defaultdict(set)
+        at = collections.Counter()
         for x in own:
             for p, token in enumerate(x.split(" ")):
-                at[p, token] |= credit[x]
+                at[p, token] += len(credit[x])
         for x in own:
-            for stays in (lambda c: len(c) >= support, lambda c, k=len(everyone): 5 * len(c) >= 4 * k):
+            for stays in (lambda c: c >= support, lambda c, k=sum(len(credit[x]) for x in own): 5 * c >= 4 * k):
                 pattern = tuple(token if stays(at[p, token]) else "<*>" for p, token in enumerate(x.split(" ")))
                 if 5 * sum(stays(at[p, token]) for p, token in enumerate(x.split(" "))) >= 3 * n:
                     meets[pattern].add(x)
