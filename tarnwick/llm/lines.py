@@ -20,6 +20,8 @@ STAYS = (4, 5)
 KEEPS = (3, 5)
 #: Recurring templates (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TEMPLATES = 500_000
+#: Tokens that stay in a leaf and are joined to its lines as one array; leaves with more are joined token by token.
+WIDE = 256
 
 #: What stands for a variable field, what makes a token one (a digit, or an address), and white space.
 WILDCARD = "<*>"
@@ -69,30 +71,65 @@ def leads(held: DataFrame) -> DataFrame:
     return best.where(F.col("best.chars") * FOLLOWS >= F.col("all")).select("doc", F.col("best.first").alias("lead"))
 
 
+def bounded(keys: DataFrame, most: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """The written rows, to be broadcast if they are at most so many."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
     """(template, pattern): the patterns that leaves make of the lines in them, by which lines of one template meet.
 
     credited has (template, lead, leaf0 and on). A leaf is grown if lines of at least ``support`` leads reach it. Its tokens
     stay where as many lines have them at their place, each counted for every lead that holds it, the others become
     wildcards; a second pattern keeps only the tokens that nearly all of these have. Patterns that keep too few tokens of a line are left out.
+
+    The tokens of the leaf's own part stay always, so only the others are counted, by a hash of place and token. What
+    stays in a leaf joins its lines as one array; leaves where more stays than WIDE join by place and token.
     """
-    reach = credited.select("template", "lead", F.explode(F.array(*LEAVES)).alias("leaf")).where("leaf IS NOT NULL")
-    ripe = reach.select("leaf", "lead").distinct().groupBy("leaf").agg(F.count("*").alias("leads")).where(F.col("leads") >= support).select("leaf")
-    each = reach.groupBy("leaf", "template").agg(F.count("*").alias("n"))
-    inside = written(each.join(ripe, "leaf"), "inside")
-    texts = written(lines.select("template", "line").join(inside.select("template").distinct(), "template", "left_semi").dropDuplicates(["template"]), "leaf-lines")
-    own = inside.join(texts, "template").select("leaf", "template", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    counts = own.groupBy("leaf", "at", "token").agg(F.sum("n").alias("own"))
-    stays = counts.join(inside.groupBy("leaf").agg(F.sum("n").alias("all")), "leaf").select("leaf", "at", "token", (F.col("own") >= support).alias("often"), (F.col("own") * STAYS[1] >= F.col("all") * STAYS[0]).alias("nearly"))
-    joined = own.join(stays, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often", "nearly"))).alias("x"))
+    reach = credited.select("template", "lead", F.posexplode(F.array(*LEAVES)).alias("part", "leaf")).where("leaf IS NOT NULL")
+    reached = written(reach.groupBy("leaf").agg(F.count("*").alias("all")).where(F.col("all") >= support), "reached")
+    near = reach.join(bounded(reached), "leaf")
+    ripe = written(near.select("leaf", "all", "lead").distinct().groupBy("leaf", "all").agg(F.count("*").alias("leads")).where(F.col("leads") >= support).select("leaf", "all"), "ripe")
+    inside = written(reach.join(bounded(ripe), "leaf").groupBy("leaf", "template", "part", "all").agg(F.count("*").alias("n")), "inside")
+    wanted = written(inside.select("template").distinct(), "leaf-templates")
+    texts = lines.select("template", "line").join(bounded(wanted), "template", "left_semi").dropDuplicates(["template"])
+    own = written(inside.join(texts, "template"), "leaf-lines")
+    tokens = F.split("line", " ")
+    size = F.size(tokens)
+    first, end = F.floor(size * F.col("part") / PARTS), F.floor(size * (F.col("part") + 1) / PARTS)
+
+    def slot(x: Column, i: Column) -> Column:
+        return F.xxhash64(i, x)
+
+    slots = own.select("leaf", "template", "all", "n", F.explode(F.filter(F.transform(tokens, lambda x, i: F.when((i < first) | (i >= end), slot(x, i))), lambda v: v.isNotNull())).alias("slot"))
+    counts = slots.groupBy("leaf", "slot").agg(F.sum("n").alias("own"), F.max("all").alias("all"))
+    often, nearly = F.col("own") >= support, F.col("own") * STAYS[1] >= F.col("all") * STAYS[0]
+    stays = written(counts.where(often | nearly).select("leaf", "slot", often.alias("often"), nearly.alias("nearly")), "stays")
+    sizes = written(stays.groupBy("leaf").agg(F.count("*").alias("wide")), "stay-counts")
+    few, many = sizes.where(F.col("wide") <= WIDE), sizes.where(F.col("wide") > WIDE)
+
+    def arrays(by: list[str], rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by).agg(*[F.collect_list(F.when(F.col(how), F.col("slot"))).alias(how) for how in ("often", "nearly")])
+
+    narrow = own.join(arrays(["leaf"], stays.join(few.select("leaf"), "leaf", "left_semi")), "leaf")
+    each = slots.join(many.select("leaf"), "leaf", "left_semi").select("leaf", "template", "slot").join(stays, ["leaf", "slot"])
+    wide = own.join(arrays(["leaf", "template"], each), ["leaf", "template"])
+    # the places that stay are counted first, and written: few lines keep enough of their tokens to have a pattern
+    ways = ("often", "nearly")
+    places = F.transform(tokens, lambda x, i: slot(x, i))
+    kept = narrow.unionByName(wide).select("template", "line", "part", *[F.array_intersect(places, how).alias(how) for how in ways])
+
+    def enough(how: str) -> Column:
+        return (F.size(how) + (end - first)) * KEEPS[1] >= size * KEEPS[0]
+
+    kept = written(kept.where(enough("often") | enough("nearly")), "kept")
 
     def read(how: str) -> DataFrame:
-        kept = F.size(F.filter("x", lambda v: v[how]))
-        pattern = F.xxhash64(F.transform("x", lambda v: F.when(v[how], v["token"]).otherwise(WILDCARD)))
-        return joined.where(kept * KEEPS[1] >= F.size("x") * KEEPS[0]).select("template", pattern.alias("pattern"))
+        stay = F.transform(tokens, lambda x, i: F.when(((i >= first) & (i < end)) | F.array_contains(how, slot(x, i)), x).otherwise(WILDCARD))
+        return kept.where(enough(how)).select("template", F.xxhash64(stay).alias("pattern"))
 
     found = written(read("often").unionByName(read("nearly")).distinct(), "patterns")
-    discard(inside, texts)
+    discard(reached, ripe, inside, wanted, own, stays, sizes, kept)
     return found
 
 
@@ -134,9 +171,7 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, n_lines: st
     source = docs.select(own.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     lines = written(numbered_lines(source), "lines")
     bad = recurring(lines, support)
-    if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
-        bad = F.broadcast(bad)
-    hits = lines.select("key", "line_no", "template").join(bad, "template")
+    hits = lines.select("key", "line_no", "template").join(bounded(bad), "template")
     drops = written(hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("line_no").alias(drop)), "drops")
     discard(lines)
     joined = docs.withColumn(key, own).join(drops, key, "left")

@@ -528,7 +528,9 @@ def brute_recurring(rows, support):
     return found
 
 
-def test_line_templates_with_words_in_their_fields(spark):
+@pytest.mark.parametrize("wide", [lines.WIDE, 1])
+def test_line_templates_with_words_in_their_fields(spark, monkeypatch, wide):
+    monkeypatch.setattr(lines, "WIDE", wide)  # what stays in a leaf is joined as one array, or token by token
     rng = random.Random(16)
     names, cities = [words(rng, 1) for _ in range(300)], [words(rng, 1) for _ in range(300)]
     kinds = (
