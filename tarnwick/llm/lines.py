@@ -83,8 +83,9 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
     stay where as many lines have them at their place, each counted for every lead that holds it, the others become
     wildcards; a second pattern keeps only the tokens that nearly all of these have. Patterns that keep too few tokens of a line are left out.
 
-    The tokens of the leaf's own part stay always, so only the others are counted, by a hash of place and token. What
-    stays in a leaf joins its lines as one array; leaves where more stays than WIDE join by place and token.
+    The tokens of the leaf's own part stay always, so only the others are counted, by a hash of place and token: those
+    of one line of the leaf, less the lines that differ from it there, and those that differ. What stays in a leaf joins
+    its lines as one array; leaves where more stays than WIDE join by place and token.
     """
     reach = credited.select("template", "lead", F.posexplode(F.array(*LEAVES)).alias("part", "leaf")).where("leaf IS NOT NULL")
     reached = written(reach.groupBy("leaf").agg(F.count("*").alias("all")).where(F.col("all") >= support), "reached")
@@ -101,8 +102,27 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
     def slot(x: Column, i: Column) -> Column:
         return F.xxhash64(i, x)
 
-    slots = own.select("leaf", "template", "all", "n", F.explode(F.filter(F.transform(tokens, lambda x, i: F.when((i < first) | (i >= end), slot(x, i))), lambda v: v.isNotNull())).alias("slot"))
-    counts = slots.groupBy("leaf", "slot").agg(F.sum("n").alias("own"), F.max("all").alias("all"))
+    def outside(take) -> Column:
+        """Of each token outside the leaf's part, what take gives for it and its place, nulls left out."""
+        each = F.transform(tokens, lambda x, i: F.when((i < first) | (i >= end), take(x, i)))
+        return F.explode(F.filter(each, lambda v: v.isNotNull()))
+
+    # one line of a leaf stands for what its lines share: the others add only the tokens in which they differ from it
+    chosen = own.groupBy("leaf").agg(F.min("template").alias("template"))
+    base = written(own.join(chosen, ["leaf", "template"]).select("leaf", "part", "all", "line"), "leaf-bases")
+
+    def place(x: Column, i: Column) -> Column:
+        return F.struct(i.alias("at"), slot(x, i).alias("slot"))
+
+    def differs(x: Column, i: Column) -> Column:
+        return F.when(~x.eqNullSafe(F.get("base", i)), place(x, i))
+
+    unlike = own.join(base.select("leaf", F.split("line", " ").alias("base")), "leaf").select("leaf", "all", "n", outside(differs).alias("d"))
+    unlike = written(unlike.groupBy("leaf", "d.at", "d.slot").agg(F.sum("n").alias("own"), F.max("all").alias("all")), "unlike")
+    missing = unlike.groupBy("leaf", "at").agg(F.sum("own").alias("missing"))
+    shared = base.select("leaf", "all", outside(place).alias("d")).select("leaf", "all", "d.at", "d.slot").join(missing, ["leaf", "at"], "left")
+    shared = shared.select("leaf", "slot", (F.col("all") - F.coalesce("missing", F.lit(0))).alias("own"), "all")
+    counts = shared.unionByName(unlike.drop("at"))
     often, nearly = F.col("own") >= support, F.col("own") * STAYS[1] >= F.col("all") * STAYS[0]
     stays = written(counts.where(often | nearly).select("leaf", "slot", often.alias("often"), nearly.alias("nearly")), "stays")
     sizes = written(stays.groupBy("leaf").agg(F.count("*").alias("wide")), "stay-counts")
@@ -112,7 +132,7 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
         return rows.groupBy(*by).agg(*[F.collect_list(F.when(F.col(how), F.col("slot"))).alias(how) for how in ("often", "nearly")])
 
     narrow = own.join(arrays(["leaf"], stays.join(few.select("leaf"), "leaf", "left_semi")), "leaf")
-    each = slots.join(many.select("leaf"), "leaf", "left_semi").select("leaf", "template", "slot").join(stays, ["leaf", "slot"])
+    each = own.join(many.select("leaf"), "leaf", "left_semi").select("leaf", "template", outside(slot).alias("slot")).join(stays, ["leaf", "slot"])
     wide = own.join(arrays(["leaf", "template"], each), ["leaf", "template"])
     # the places that stay are counted first, and written: few lines keep enough of their tokens to have a pattern
     ways = ("often", "nearly")
@@ -129,7 +149,7 @@ def grown(credited: DataFrame, lines: DataFrame, support: int) -> DataFrame:
         return kept.where(enough(how)).select("template", F.xxhash64(stay).alias("pattern"))
 
     found = written(read("often").unionByName(read("nearly")).distinct(), "patterns")
-    discard(reached, ripe, inside, wanted, own, stays, sizes, kept)
+    discard(reached, ripe, inside, wanted, own, base, unlike, stays, sizes, kept)
     return found
 
 
