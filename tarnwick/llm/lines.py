@@ -194,7 +194,8 @@ def drop_recurring_lines(docs: DataFrame, *, support: int = SUPPORT, n_lines: st
     hits = lines.select("key", "line_no", "template").join(bounded(bad), "template")
     drops = written(hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("line_no").alias(drop)), "drops")
     discard(lines)
-    joined = docs.withColumn(key, own).join(drops, key, "left")
+    # the drops grow with the documents, so no size of theirs is broadcast
+    joined = docs.withColumn(key, own).join(drops.hint("merge"), key, "left")
     parts = F.split(F.col("text").cast("string"), "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i)), "\n")
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)
