@@ -18,10 +18,9 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(V.nodes(spark, sf_dir), V.edges(spark, sf_dir))
 
 
-def _similarity(spark, sf_dir, k=10**6):
-    """(anchor, node, similarity): field match of every anchor with every node it has a field in common with."""
-    hits = search.field_match(V.field_queries(spark, sf_dir), V.fields(spark, sf_dir), k)
-    return hits.where("n_fields > 0").select(F.col("query_id").alias("anchor"), F.col("paper_id").alias("node"), F.col("score").alias("similarity"))
+def _similarity(spark, sf_dir):
+    """Field match of anchors with nodes they have a field in common with, for the pairs that are asked for."""
+    return search.FieldSimilarity(V.field_queries(spark, sf_dir), V.fields(spark, sf_dir))
 
 
 def _ancestors(spark, sf_dir):
