@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
+from math import ceil, log
 
 import pandas as pd
 import pyarrow as pa
@@ -102,56 +105,101 @@ def duplicate_titles(papers: DataFrame) -> DataFrame:
 
 
 class KnownTitles:
-    """Title keys in the order in which they came, found again by the significant words that they share."""
+    """Title keys in the order in which they came, found again by the rarest of the significant words that they share.
 
-    def __init__(self) -> None:
+    A match holds at least 0.9 of the shorter title's s words, so any s - ceil(0.9 s) + 1 of these meet it: those of
+    a known shorter title are one index, those of a new shorter title are looked up in an index of all words. Titles
+    stand in both by classes of their lengths, a factor of 4/3 each. ``rarity`` tells how frequent words are; it has a
+    say in the time only.
+    """
+
+    def __init__(self, rarity: dict[str, int] | None = None) -> None:
+        self.rarity = rarity or {}
         self.number: dict[str, int] = {}
-        self.titles: list[tuple[int, int]] = []  # characters, significant words
-        self.holders: dict[str, list[int]] = {}
+        self.chars = array("q")
+        self.words: list[array] = []
+        self.word_number: dict[str, int] = {}
+        self.holders: dict[int, dict[int, array]] = {}  # word, class of length
+        self.shorter: dict[int, dict[int, array]] = {}  # the same, by each title's rare words only
+        self.single: dict[int, array] = {}  # titles of one significant word, of four letters at least
 
     def learn(self, key: str) -> int:
         """The number of the key, a new one if it is not known."""
         if key not in self.number:
-            own = self.number[key] = len(self.titles)
-            words = significant(key)
-            self.titles.append((len(key), len(words)))
-            for w in words:
-                self.holders.setdefault(w, []).append(own)
+            own = self.number[key] = len(self.words)
+            words = sorted(significant(key))
+            numbers = array("q", [self.word_number.setdefault(w, len(self.word_number)) for w in words])
+            self.chars.append(len(key))
+            self.words.append(numbers)
+            for w in numbers:
+                self.holders.setdefault(w, {}).setdefault(length_class(len(key)), array("q")).append(own)
+            if len(words) >= LEAST_WORDS:
+                for w in self.rare(words):
+                    self.shorter.setdefault(self.word_number[w], {}).setdefault(length_class(len(key)), array("q")).append(own)
+            elif len(words) == 1 and len(words[0]) >= 4:
+                self.single.setdefault(numbers[0], array("q")).append(own)
         return self.number[key]
 
+    def rare(self, words) -> list[str]:
+        return sorted(words, key=lambda w: (self.rarity.get(w, 0), -len(w), w))[: len(words) - ceil(OVERLAP * len(words) - 1e-9) + 1]
+
     def match(self, key: str) -> int | None:
         """The number of the same key, else of the first that duplicate_titles' rule matches; of equal lengths this is the shorter."""
         if key in self.number:
             return self.number[key]
-        words = significant(key)
-        shared: dict[int, int] = {}
+        words, chars, best = significant(key), len(key), len(self.words)
+        known = {self.word_number[w] for w in words if w in self.word_number}
+        # longer ones
+        if len(words) == 1 and len(next(iter(words))) >= 4:
+            for w in known:
+                best = min((other for part in self.holders[w].values() for other in part if self.chars[other] >= chars), default=best)
+        elif len(words) >= LEAST_WORDS:
+            for other in self.near(self.holders, (self.word_number[w] for w in self.rare(words) if w in self.word_number), chars, range(3)):
+                if other < best and self.chars[other] >= chars >= LENGTH_RATIO * self.chars[other] and self.both(known, other) >= OVERLAP * len(words) - 1e-9:
+                    best = other
+        # shorter ones
+        for w in known:
+            best = min([best, *(other for other in self.single.get(w, ()) if self.chars[other] < chars)])
+        for other in self.near(self.shorter, known, chars, range(-2, 1)):
+            if other < best and chars > self.chars[other] >= LENGTH_RATIO * chars and self.both(known, other) >= OVERLAP * len(self.words[other]) - 1e-9:
+                best = other
+        return best if best < len(self.words) else None
+
+    def near(self, index: dict[int, dict[int, array]], words: Iterable[int], chars: int, classes: range) -> set[int]:
+        own, found = length_class(chars), set()
         for w in words:
-            for other in self.holders.get(w, ()):
-                shared[other] = shared.get(other, 0) + 1
-        return min((other for other, both in shared.items() if self.fits(key, words, other, both)), default=None)
+            by_class = index.get(w)
+            if by_class:
+                for c in classes:
+                    found.update(by_class.get(own + c, ()))
+        return found
+
+    def both(self, words: set[int], other: int) -> int:
+        return sum(w in words for w in self.words[other])
+
+
+def length_class(chars: int) -> int:
+    """Lengths whose ratio is 3/4 at least are two classes apart at most."""
+    return int(log(max(1, chars)) / log(1 / LENGTH_RATIO))
+
 
-    def fits(self, key: str, words: frozenset[str], other: int, both: int) -> bool:
-        chars, count = self.titles[other]
-        short = len(words) if len(key) <= chars else count
-        if short == 1:
-            # the one word is shared, so it is any of this title's that the other one holds
-            return both == 1 and any(len(w) >= 4 and other in self.holders[w] for w in words if w in self.holders)
-        return short >= LEAST_WORDS and min(len(key), chars) >= LENGTH_RATIO * max(len(key), chars) and both >= OVERLAP * short - 1e-9
+def word_counts(keys: Iterable[str]) -> Counter:
+    return Counter(w for key in keys for w in significant(key))
 
 
 def significant(key: str) -> frozenset[str]:
     return frozenset(key.split()) - frozenset(T.GENERIC_TITLE_WORDS)
 
 
-def greedy_dedupe(records: Iterator[dict]) -> list[dict]:
+def greedy_dedupe(records: Iterator[dict], rarity: dict[str, int] | None = None) -> list[dict]:
     """One pass in order over records with ``ids``, ``key`` and ``fuller`` (comparable): each match keeps the fuller in its slot.
 
     A record goes to the slot last known for an id of its own, else for its title (see KnownTitles). One that is not
     fuller than the slot's leaves no trace; any other is what the slot's id and title stand for from then on. A blank
-    title matches nothing.
+    title matches nothing. ``rarity``: see KnownTitles.
     """
     slots: list[dict] = []
-    titles, slot_of_title, slot_of_id = KnownTitles(), {}, {}
+    titles, slot_of_title, slot_of_id = KnownTitles(rarity), {}, {}
     for record in records:
         places = [slot_of_id[i] for i in record["ids"] if i in slot_of_id]
         if not places and record["key"]:
@@ -188,7 +236,7 @@ def linked_titles(pairs: DataFrame) -> DataFrame:
 
 def _new_seeds(key, part):
     """Of one component's titles the seeds that match neither the corpus nor a seed taken before."""
-    titles, taken = KnownTitles(), []
+    titles, taken = KnownTitles(word_counts(part["key"])), []
     for r in part.sort_values(["seed", "pos"]).itertuples():
         if not r.seed:
             titles.learn(r.key)
