@@ -14,7 +14,7 @@ def fold(key, part):
     """The greedy pass over one component's records, in order."""
     rows = zip(part["paper_id"], part["key"], part["work_id"], part["fuller"], part["pos"], strict=True)
     records = [{"paper_id": i, "ids": [w] if w else [], "key": k, "fuller": tuple(f)} for i, k, w, f, _ in sorted(rows, key=lambda r: r[4])]
-    kept = corpus.greedy_dedupe(iter(records))
+    kept = corpus.greedy_dedupe(iter(records), corpus.word_counts(part["key"]))
     return pd.DataFrame({"component": [key[0]] * len(kept), "paper_id": [r["paper_id"] for r in kept]}).astype("int64")
 
 
