@@ -9,7 +9,9 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from math import ceil, log
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ from tarnwick.sources.shared import written
 OVERLAP, LENGTH_RATIO, LEAST_WORDS = 0.9, 0.75, 3
 #: Likeness from which a title resolves to the closest one.
 CLOSE = 0.85
+#: Bounds by which gold keys are grouped: the nearer to one, the fewer lengths fit.
+BOUNDS = (0.9, 0.95, 0.98, 0.99)
 
 
 def with_abstract(papers: DataFrame) -> DataFrame:
@@ -358,13 +362,48 @@ def resolve_titles(gold: DataFrame, papers: DataFrame, aliases: dict[str, str] |
     return out.select("title_id", F.coalesce("anchor", "exact", "head", "part").alias("paper_id"), strategy.alias("strategy"))
 
 
+def _sketched(titles: DataFrame) -> DataFrame:
+    """(title_id, key, h): hashes of a key's word pairs, or triples if it has six words: the four least, or that of the whole of a shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            hashes = []
+            for key in data.column(1).to_pylist():
+                words = key.split(" ")
+                n = 3 if len(words) >= 6 else 2
+                hashes.append(sorted({crc32(" ".join(words[i : i + n]).encode()) for i in range(max(1, len(words) - n + 1))})[:4])
+            at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
+            yield pa.RecordBatch.from_arrays([data.column(0).take(at), data.column(1).take(at), pa.array([x for h in hashes for x in h], pa.int64())], names=["title_id", "key", "h"])
+
+    return titles.mapInArrow(run, "title_id long, key string, h long")
+
+
+def _first_ratios(gold: DataFrame, keys: DataFrame) -> DataFrame:
+    """(title_id, key, least): the ratio of one title key that shares the sketch, 0 if none does; a bound for the best."""
+    mine = _sketched(gold.select("title_id", "key")).withColumnRenamed("key", "wanted")
+    # of the titles of one hash one is enough, as this is but a bound: that next in length
+    other = _sketched(keys.select(F.lit(0).cast("long").alias("title_id"), "key")).groupBy("h", F.length("key").alias("chars")).agg(F.min("key").alias("key"))
+    pairs = mine.join(other, "h").where(F.abs(F.length("wanted") - F.col("chars")) <= 0.3 * F.length("wanted"))
+    shared = pairs.groupBy("title_id", "wanted", "key").agg(F.count("*").alias("n"), F.first(-F.abs(F.length("wanted") - F.col("chars"))).alias("near"))
+    best = shared.groupBy("title_id", "wanted").agg(F.max_by("key", F.struct("n", "near", "key")).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            ratios = [SequenceMatcher(None, other, wanted).ratio() if other else 0.0 for wanted, other in zip(data.column(1).to_pylist(), data.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), pa.array(ratios, pa.float64())], names=["title_id", "key", "least"])
+
+    found = gold.select("title_id", F.col("key").alias("wanted")).join(best, ["title_id", "wanted"], "left")
+    return written(found.mapInArrow(run, "title_id long, key string, least double"), "first-ratios")
+
+
 def close_titles(gold: DataFrame, papers: DataFrame, cutoff: float = CLOSE, block: int = 2_000_000) -> DataFrame:
     """(title_id, paper_id, ratio): the paper whose title key is most like each gold key, if any reaches the cutoff.
 
     gold has title_id and key, papers have paper_id, pos and key; of equal ratios the greater key counts, of equal keys
-    the first paper. Likeness is Ratcliff-Obershelp's 2M/T. Gold keys go to the papers in blocks of about ``block``
-    characters and each task keeps its own best, so neither what is broadcast nor what is shuffled grows with the
-    papers. Pairs whose lengths, or whose longest common subsequence, rule out the cutoff are not compared further.
+    the first paper. Likeness is Ratcliff-Obershelp's 2M/T. One title that shares word runs gives a gold key's bound
+    first; then gold keys go to the papers in blocks of about ``block`` characters and each task keeps its own best, so
+    neither what is broadcast nor what is shuffled grows with the papers. Pairs whose lengths, whose characters as a
+    bag, or whose longest common subsequence rule out the bound are not compared further.
     """
     spark = papers.sparkSession
     keys = papers.where("key <> ''").groupBy("key").agg(F.min_by("paper_id", "pos").alias("paper_id"))
@@ -375,22 +414,18 @@ def close_titles(gold: DataFrame, papers: DataFrame, cutoff: float = CLOSE, bloc
         shared = spark.sparkContext.broadcast(sorted(wanted, key=lambda g: len(g[1])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            targets = [CloseTitle(i, key) for i, key in shared.value]
-            lengths = [len(t.key) for t in targets]
+            targets = CloseTitles([CloseTitle(i, key, least) for i, key, least in shared.value], cutoff)
             for data in batches:
                 for key in data.column(0).to_pylist():
-                    first = bisect_left(lengths, len(key) * cutoff / (2 - cutoff) - 1)
-                    last = bisect_right(lengths, len(key) * (2 - cutoff) / cutoff + 1)
-                    for t in targets[first:last]:
-                        t.meet(key, cutoff)
-            hits = [t for t in targets if t.best]
+                    targets.meet(key)
+            hits = [t for t in targets.all if t.best]
             yield pa.RecordBatch.from_arrays([pa.array([t.title_id for t in hits], pa.int64()), pa.array([t.best[0] for t in hits], pa.float64()), pa.array([t.best[1] for t in hits], pa.string())], names=["title_id", "ratio", "key"])
 
         return spread.mapInArrow(run, "title_id long, ratio double, key string")
 
     parts, held, size = [], [], 0
-    for r in gold.where("key <> ''").select(F.col("title_id").cast("long"), "key").toLocalIterator():
-        held.append((r[0], r[1]))
+    for r in _first_ratios(gold.where("key <> ''").select(F.col("title_id").cast("long"), "key"), keys).toLocalIterator():
+        held.append((r[0], r[1], r[2]))
         size += len(r[1])
         if size >= block:
             parts.append(scan_for(held))
@@ -402,17 +437,18 @@ def close_titles(gold: DataFrame, papers: DataFrame, cutoff: float = CLOSE, bloc
 
 
 class CloseTitle:
-    """A gold key and the likest title key it has met."""
+    """A gold key, the ratio that its best is known to reach, and the likest title key it has met."""
 
-    def __init__(self, title_id: int, key: str):
-        self.title_id, self.key = title_id, key
+    def __init__(self, title_id: int, key: str, least: float):
+        self.title_id, self.key, self.least = title_id, key, least
         self.best: tuple[float, str] | None = None
         self.places: dict[str, int] = {}
-        for i, c in enumerate(key):
-            self.places[c] = self.places.get(c, 0) | 1 << i
 
     def common(self, other: str) -> int:
         """Length of the longest common subsequence, a column of the table at a time as the bits of one number."""
+        if not self.places:
+            for i, c in enumerate(self.key):
+                self.places[c] = self.places.get(c, 0) | 1 << i
         full = (1 << len(self.key)) - 1
         open_ = full
         for c in other:
@@ -420,13 +456,45 @@ class CloseTitle:
             open_ = (open_ + hit | open_ - hit) & full
         return len(self.key) - open_.bit_count()
 
-    def meet(self, other: str, cutoff: float) -> None:
-        least = self.best[0] if self.best else cutoff
-        if 2.0 * self.common(other) / (len(self.key) + len(other)) < least:
+    def meet(self, other: str) -> None:
+        if 2.0 * self.common(other) / (len(self.key) + len(other)) < self.least:
             return
         ratio = SequenceMatcher(None, other, self.key).ratio()
-        if ratio >= least and (self.best is None or (ratio, other) > self.best):
-            self.best = (ratio, other)
+        if ratio >= self.least and (self.best is None or (ratio, other) > self.best):
+            self.best, self.least = (ratio, other), ratio
+
+
+class CloseTitles:
+    """Gold keys by their bounds and lengths, with their characters as bags."""
+
+    def __init__(self, targets: list[CloseTitle], cutoff: float):
+        self.all, self.groups = targets, []
+        for t in targets:
+            t.least = max(t.least, cutoff)
+        for low, high in zip((cutoff, *BOUNDS), (*BOUNDS, 2.0), strict=True):
+            own = sorted((t for t in targets if low <= t.least < high or (low == cutoff and t.least < high)), key=lambda t: len(t.key)) if low < high else []
+            if own:
+                bags = np.stack([bag(t.key) for t in own])
+                self.groups.append((low, own, [len(t.key) for t in own], bags, bags.sum(axis=1), np.array([t.least for t in own])))
+                targets = [t for t in targets if t.least >= high]
+
+    def meet(self, other: str) -> None:
+        n, held = len(other), None
+        for low, own, lengths, bags, sizes, least in self.groups:
+            first = bisect_left(lengths, n * low / (2 - low) - 1)
+            last = bisect_right(lengths, n * (2 - low) / low + 1)
+            if first == last:
+                continue
+            held = bag(other) if held is None else held
+            both = np.minimum(bags[first:last], held).sum(axis=1)
+            for i in np.flatnonzero(2.0 * both / (sizes[first:last] + n) >= least[first:last]) + first:
+                own[i].meet(other)
+                least[i] = own[i].least
+
+
+def bag(key: str) -> np.ndarray:
+    """How many characters fall on each of 64 places: what two keys share is at least their longest common subsequence."""
+    return np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64).astype(np.int32)
 
 
 def resolve_close(gold: DataFrame, papers: DataFrame, aliases: dict[str, str] | None = None, anchors: DataFrame | None = None, cutoff: float = CLOSE) -> DataFrame:
