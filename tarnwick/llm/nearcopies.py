@@ -6,7 +6,6 @@ SimHash fingerprints in BK-trees find the closest ones, prefix filtering those t
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, fresh, mixed, written
+from .common import columns_of, discard, fresh, mixed, release, written
 from .components import connected_components
 from .simhash import document_key, near_duplicates
 from .wordscan import Scanner, split_white
@@ -33,6 +32,12 @@ HELD = 1_000_000
 HOT = 100_000
 #: Keys (8 bytes each) that are broadcast at most to pick texts; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Bits of a sketch for each shingle at least, and the least and most bits of one; all are powers of two.
+SKETCH_DENSITY, SKETCH_LEAST, SKETCH_MOST = 2, 128, 1 << 14
+#: Members of a cluster that meet in one block by their sketches, or by their sets; larger clusters are divided.
+SKETCH_BLOCK, SET_BLOCK = 4096, 256
+#: Columns of the matrix that counts what the sets of a block share.
+COLUMNS = 4096
 
 
 def shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -57,6 +62,13 @@ def vertex_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - 2**63
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """For each value of some bits of a shingle whether an odd number of shingles has it: two sets differ in at least as many shingles as their sketches in bits."""
+    bits = min(max(SKETCH_LEAST, 1 << (SKETCH_DENSITY * len(own) - 1).bit_length()), SKETCH_MOST) if len(own) else SKETCH_LEAST
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def counter(words: int):
     """How many shingles fall on each counter."""
 
@@ -71,11 +83,12 @@ def counter(words: int):
 
 
 def printer(words: int):
-    """The vertex of each text."""
+    """The vertex of each text and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, found in groupby(((r, vertex_of(own)) for r, _, own in shingles(batches, words)), key=itemgetter(0)):
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([v for _, v in found], pa.int64())], names=["doc_id", "key", "v"])
+        for rows, found in groupby(((r, vertex_of(own), sketch(own)) for r, _, own in shingles(batches, words)), key=itemgetter(0)):
+            _, v, sketches = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(v, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "key", "v", "sketch"])
 
     return run
 
@@ -153,44 +166,117 @@ def set_of(words: int):
     return run
 
 
-def pairer(similarity: float):
-    """Pairs of vertices of one shingle (rows sorted by shingle and size) that differ in component and whose sizes allow the similarity, with the lesser size."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for data in batches:
-            yield from zip(*(data.column(i).to_pylist() for i in range(4)), strict=True)
+def suspects(part: np.ndarray, n: np.ndarray, component: np.ndarray, sketches: list[bytes], similarity: float) -> np.ndarray:
+    """Whether each member has, by sizes and sketches, another of the similarity in another component (and part, if there are two)."""
+    found, two = np.zeros(len(n), bool), part.min() < part.max()
+    by_size, widths = np.argsort(n, kind="stable"), np.array([len(x) for x in sketches])
+    tables = {}
+    for width in np.unique(widths).tolist():
+        at = by_size[widths[by_size] == width]
+        tables[width] = at, n[at], np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1)
+    for width, (at, _, table) in tables.items():
+        for r, i in enumerate(at.tolist()):
+            for narrow, (others, sizes, rows) in tables.items():
+                low, high = int(np.searchsorted(sizes, similarity * n[i] - 1e-9)), r if narrow == width else len(others)
+                if narrow > width or low >= high:
+                    continue
+                to = others[low:high]
+                maybe = component[to] != component[i]
+                if two:
+                    maybe &= part[to] != part[i]
+                if not maybe.any():
+                    continue
+                folded = np.bitwise_xor.reduce(table[r].reshape(-1, rows.shape[1]), axis=0)
+                apart = np.bitwise_count(rows[low:high] ^ folded).sum(axis=1, dtype=np.int64)
+                maybe &= apart <= (1 - similarity) / (1 + similarity) * (n[i] + sizes[low:high]) + 1e-6
+                if maybe.any():
+                    found[i] = True
+                    found[to[maybe]] = True
+    return found
+
+
+def forest(part: np.ndarray, v: np.ndarray, component: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs of the similarity in two components (and parts, if there are two) so many that they join all that these join, fewer than members."""
+    n = np.array([len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    held, at = (times > 1)[number], column[number]
+    row, at = np.repeat(np.arange(len(sets)), n)[held], at[held]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        has = np.zeros((len(sets), int(at[b - 1]) + 1 - first), np.float32)
+        has[row[a:b], at[a:b] - first] = 1
+        both += has @ has.T
+    good = (both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9) & (component[:, None] != component[None, :])
+    if part.min() < part.max():
+        good &= part[:, None] != part[None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    found = []
+    for i, j in np.argwhere(np.triu(good)).tolist():
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            root[x] = y
+            found.append((min(int(v[i]), int(v[j])), max(int(v[i]), int(v[j]))))
+    return found
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+    """(lead, columns part, v, n, component, value) of each block with several components; rows are sorted by lead, i and j."""
+    rows = (row for data in batches for row in zip(*(data.column(k).to_pylist() for k in range(8)), strict=True))
+    for (lead, i, j), block in groupby(rows, key=itemgetter(0, 1, 2)):
+        _, _, _, part, v, n, component, value = zip(*block, strict=True)
+        part, component = np.array(part), np.array(component)
+        if component.min() < component.max() and (i == j or part.min() < part.max()):
+            yield lead, (part, np.array(v), np.array(n), component, value)
+    release()
+
+
+def suspecter(similarity: float):
+    """The members of blocks that may have a near copy in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        size: list[int] = []
+        for lead, (part, v, n, component, sketches) in blocks(batches):
+            found = suspects(part, n, component, sketches, similarity)
+            if found.any():
+                columns = [np.full(found.sum(), lead), v[found], n[found], component[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["lead", "v", "n", "component"])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32())], names=["a", "b", "n"])
-
-        for _, group in groupby(rows(batches), key=itemgetter(0)):
-            near: dict[int, deque[tuple[int, int]]] = {}
-            for _, n, v, component in group:
-                for other in [c for c in near if c != component]:
-                    members = near[other]
-                    while members and members[0][0] < similarity * n - 1e-9:
-                        members.popleft()
-                    if not members:
-                        del near[other]
-                    for m, w in members:
-                        a.append(min(v, w))
-                        b.append(max(v, w))
-                        size.append(m)
-                near.setdefault(component, deque()).append((n, v))
-                if len(a) >= 50_000:
-                    yield out()
-                    a, b, size = [], [], []
-        if a:
-            yield out()
+    return run
+
+
+def joiner(similarity: float):
+    """Links that join the members of blocks as all their pairs of the similarity do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (part, v, _, component, sets) in blocks(batches):
+            found = forest(part, v, component, [np.frombuffer(x, np.uint64) for x in sets], similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
+def meeting(members: DataFrame, values: DataFrame, block: int, parts: int) -> DataFrame:
+    """The members (lead, v, n, component) with their values (v, value), so dealt out that any two of a lead meet in a block (lead, i, j).
+
+    A lead with more members than ``block`` has them in several parts, and a block for any one or two of them.
+    """
+    large = members.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("of")).where("of > 1")
+    rows = members.join(large, "lead", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("v"), "of").cast("int"))
+    rows = rows.join(values, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    rows = rows.select("lead", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "n", "component", "value")
+    return rows.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+
 def checker(similarity: float):
     """The pairs whose sets have the similarity."""
 
@@ -214,15 +300,17 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     The order is by counters, rare shingles first. Texts without words are one group. key is document_key's.
 
     Equal sets are one vertex. Each vertex is first checked against one vertex of its SimHash group (fingerprints of
-    the same shingles, 3 bits), and against one of each shingle that it shares; then against all others whose component
-    that leaves another one, so a large group of near copies makes few pairs.
+    the same shingles, 3 bits), and against one of each shingle that it shares. What shares a shingle and is still in
+    several components meets in the cluster of the shingle's lead: first as sketches, which bound the similarity from
+    above, then, where these leave a partner, as sets. A member is a row of its cluster and never a row for each partner;
+    of the links found a forest comes out.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), document_key().alias("key"))
     counts = np.zeros(1 << COUNTER_BITS, np.uint32)
     found = source.mapInArrow(counter(words), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     counts[np.asarray(found["at"])] = np.minimum(np.asarray(found["c"]), 2**32 - 1)
-    prints = written(source.mapInArrow(printer(words), "doc_id long, key long, v long"), "prints")
+    prints = written(source.mapInArrow(printer(words), "doc_id long, key long, v long, sketch binary"), "prints")
     broadcast, hottest = spark.sparkContext.broadcast(counts), int(4 * counts.mean()) + HOT
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     few, rows = (source.mapInArrow(prefixer(broadcast, words, similarity, hottest, hot), "s long, v long, n int") for hot in (False, True))
@@ -234,20 +322,24 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     shared = written(shared, "shared-shingles")
     repeated = prints.groupBy("key").count().where("count > 1").select("key")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, name)
-        ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = written(prints.join(ends, "v", "left_semi").groupBy("v").agg(F.min("key").alias("key")).select("key").distinct(), name + "-keys")
+    def sets_of(vertices: DataFrame, name: str) -> DataFrame:
+        wanted = written(prints.join(vertices, "v", "left_semi").groupBy("v").agg(F.min("key").alias("key")).select("key").distinct(), name + "-keys")
         kept = wanted
         if wanted.count() <= BROADCAST_KEYS:
             wanted = F.broadcast(wanted)
         texts = source.join(wanted, "key", "left_semi")
         once, again = texts.join(repeated, "key", "left_anti"), texts.join(repeated, "key", "left_semi").dropDuplicates(["key"])
         sets = written(once.unionByName(again).select("doc_id", "text").mapInArrow(set_of(words), "v long, own binary"), name + "-sets")
+        discard(kept)
+        return sets
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(pairs, name)
+        sets = sets_of(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), name)
         x, y = (sets.select(F.col("v").alias(end), F.col("own").alias("own_" + end)) for end in "ab")
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
         found = written(both.mapInArrow(checker(similarity), "a long, b long"), name + "-links")
-        discard(pairs, kept, sets)
+        discard(pairs, sets)
         return found
 
     def enough(shares: DataFrame) -> DataFrame:
@@ -268,10 +360,22 @@ def near_copies(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     leading = before.join(leads, "s").where((F.col("component") != F.col("lead_component")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9))
     leading = leading.select(F.least("lead", "v").alias("a"), F.greatest("lead", "v").alias("b"), F.least("n", "lead_n").alias("n"))
     links = links.unionByName(checked(enough(leading), "central"))
-    rest = before.drop("component").join(connected_components(links), "v", "left").select("s", "n", "v", F.coalesce("component", "v").alias("component"))
-    pairs = rest.repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(pairer(similarity), "a long, b long, n int")
-    groups = connected_components(links.unionByName(checked(enough(pairs), "pairs")))
-    discard(before)
+    rest = before.drop("component").join(connected_components(links), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    several = rest.groupBy("s").agg(F.max(F.struct("degree", "v")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    held = rest.join(several.where("low < high").select("s", F.col("m.v").alias("lead")), "s").groupBy("lead", "v", "n", "component").agg(F.count("*").alias("c"))
+    held = written(held, "held")
+    # a pair shares SHARED shingles, or as many as the lesser set must: a vertex with fewer of all leads has no partner
+    least = F.least(F.lit(SHARED), F.ceil(F.lit(similarity) * F.ceil(F.lit(similarity) * F.col("n") - 1e-9) - 1e-9))
+    enough_held = held.groupBy("v", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("v")
+    members = written(held.join(enough_held, "v", "left_semi").select("lead", "v", "n", "component"), "members")
+    discard(before, held)
+    sketches = prints.join(members.select("v"), "v", "left_semi").groupBy("v").agg(F.max("sketch").alias("value"))
+    near = meeting(members, sketches, SKETCH_BLOCK, parts).mapInArrow(suspecter(similarity), "lead long, v long, n long, component long")
+    near = written(near.distinct(), "suspects")
+    sets = sets_of(near.select("v").distinct(), "suspects")
+    last = written(meeting(near, sets.withColumnRenamed("own", "value"), SET_BLOCK, parts).mapInArrow(joiner(similarity), "a long, b long"), "suspects-links")
+    discard(members, near, sets)
+    groups = connected_components(links.unionByName(last))
     return prints.join(groups, "v", "left").select("doc_id", "key", F.coalesce("component", "v").alias("group"))
 
 

@@ -197,6 +197,63 @@ def test_near_dedup_stage_finds_every_pair_of_similar_texts(spark):
     assert set(got[0].asDict()) == set(df.columns) and nearcopies.stage(spark, df.limit(0), "").count() == 0
 
 
+def edits_at(base, number, places):
+    """The base with so many words replaced, every number by its own: no two of these texts share an edit."""
+    for p in places:
+        base = [*base[:p], f"edit{number}x{p}", *base[p + 1 :]]
+    return " ".join(base)
+
+
+def test_texts_just_under_the_similarity_make_no_row_for_each_pair(spark, monkeypatch):
+    made = collections.Counter()
+
+    def counted(df, name, write=nearcopies.written):
+        found = write(df, name)
+        made[name] += found.count()
+        return found
+
+    monkeypatch.setattr(nearcopies, "written", counted)
+    rng = random.Random(31)
+    base = words(rng, 204).split()
+    # 5 edits replace 25 of 200 shingles: 0.78 to the base, less to each other
+    texts = [" ".join(base)] + [edits_at(base, i, rng.sample(range(5, 199, 11), 5)) for i in range(80)]
+    texts.append(texts[1] + " tail")
+    got = nearcopies.near_copies(frame(spark, list(enumerate(texts)))).collect()
+    assert len({r.group for r in got}) == len(set(brute_groups(texts))) == 81
+    assert all(count <= made["shared-shingles"] for count in made.values()), str(made)
+
+
+def test_blocks_of_a_cluster_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SKETCH_BLOCK", 5)
+    monkeypatch.setattr(nearcopies, "SET_BLOCK", 3)
+    monkeypatch.setattr(nearcopies, "SHARED", 1)
+    rng = random.Random(32)
+    base = words(rng, 204).split()
+    texts = [edits_at(base, i, rng.sample(range(5, 199, 11), 5)) for i in range(20)]
+    texts += [edits_at(x.split(), 100 + i, [100]) for i, x in enumerate(texts)] + [" ".join(x.split()[: 180 + i]) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.group for r in nearcopies.near_copies(frame(spark, list(enumerate(texts)))).collect()}
+    want = brute_groups(texts)
+    assert 1 < len(set(want)) < len(texts)
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(33)
+    for n in (1, 3, 12, 60, 63, 64, 65, 130, 600, 20_000):
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.unique(np.concatenate([own[len(own) // 10 :], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+        sets = [own, other, own[len(own) // 5 :], np.unique(rng.integers(0, 2**63, n).astype(np.uint64))]
+        size, part, component = np.array([len(x) for x in sets]), np.zeros(4, int), np.arange(4)
+        both = np.array([[len(np.intersect1d(x, y)) for x in sets] for y in sets])
+        similar = (both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-9) & ~np.eye(4, dtype=bool)
+        found = nearcopies.suspects(part, size, component, [nearcopies.sketch(x) for x in sets], 0.8)
+        assert found[similar.any(axis=1)].all() and (n < 60 or not found[3])
+        links = nearcopies.forest(part, component, component, sets, 0.8)
+        assert all(similar[a, b] for a, b in links) and {x for e in links for x in e} == set(np.flatnonzero(similar.any(axis=1)).tolist())
+        halves = np.array([0, 0, 1, 1])
+        assert all(halves[a] != halves[b] for a, b in nearcopies.forest(halves, component, component, sets, 0.8))
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 300 + i) for i in range(40)] + [(7, 7)]
